@@ -1,22 +1,16 @@
 """Queries of the core; ``QUERIES`` maps names to callables, ``SQL`` to equal statements for a second engine."""
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeworks.operators import nested, orphans
+from gaugeworks.plans import planning, privacy, retrieval, review  # noqa: F401  (they register their queries)
+from gaugeworks.plans.registry import QUERIES, SQL, query
 from gaugeworks.sources import read_table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
+__all__ = ["QUERIES", "SQL"]
 
 
-@query
+@query()
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.children(read_table(spark, d, "questions"), read_table(spark, d, "attempts"))
 
@@ -25,15 +19,14 @@ def _subtype(table: str, kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         return nested.subtype_table(read_table(spark, d, table), table, kind)
 
-    run.__name__ = f"p3_{kind}"
     return run
 
 
 for _t, _k in (("questions", "option"), ("questions", "justification"), ("questions", "evidence"), ("attempts", "per_question"), ("attempts", "selected"), ("attempts", "per_focus")):
-    query(_subtype(_t, _k))
+    query(name=f"p3_{_k}")(_subtype(_t, _k))
 
 
-@query
+@query()
 def p3_shapes(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for table, column in nested.COLUMNS:
@@ -46,11 +39,11 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_references(*(read_table(spark, d, t) for t in ("assessments", "attempts", "questions", "projects", "tombstones")))
 
 
-@query
+@query()
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).select("ref_table", "ref_id", "target_key", "reason").distinct()
 
 
-@query
+@query()
 def p4_by_month(spark: SparkSession, d: str) -> DataFrame:
     return orphans.by_month(_orphans(spark, d))
