@@ -50,7 +50,7 @@ def mark_weight(c: Column, base: Column) -> Column:
     """``base`` plus a third of the highest number of marks or points that the text names, 3.85 at most."""
     found = F.regexp_extract_all(F.lower(c), F.lit(r"([0-9]+(?:\.[0-9]+)?) ?(?:marks?|points?|pts|%)"), F.lit(1))
     top = F.array_max(F.transform(found, lambda x: x.cast("double")))
-    return F.round(base + F.coalesce(F.least(top / 3, F.lit(3.85)), F.lit(0.0)), 2)
+    return F.round(base + F.when(top.isNotNull(), F.least(top / 3, F.lit(3.85))).otherwise(0.0), 2)
 
 
 def assessable(c: Column) -> Column:

@@ -35,13 +35,13 @@ def segments(df: DataFrame, key: str, text: str) -> DataFrame:
     The lines of one text are numbered inside its row: nothing is shuffled.
     """
     lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct((i + 1).alias("no"), x.alias("line"))), lambda s: F.trim(s["line"]) != "")
-    groups = F.sequence(F.lit(0), F.least(F.ceil(F.size("l") / LINES).cast("int"), F.lit(SEGMENTS)) - 1)
-    rows = df.where(F.col(text).isNotNull()).select(key, lines.alias("l")).where(F.size("l") > 0).select(key, "l", F.explode(groups).alias("segment"))
-    part = F.slice("l", F.col("segment") * LINES + 1, LINES)
-    out = rows.select(key, "segment", part.alias("p"))
+    groups = F.sequence(F.lit(0), F.least(F.ceil(F.size("_l") / LINES).cast("int"), F.lit(SEGMENTS)) - 1)
+    rows = df.where(F.col(text).isNotNull()).select(key, lines.alias("_l")).where(F.size("_l") > 0).select(key, "_l", F.explode(groups).alias("segment"))
+    part = F.slice("_l", F.col("segment") * LINES + 1, LINES)
+    out = rows.select(key, "segment", part.alias("_p"))
     return out.select(
-        key, "segment", F.element_at("p", 1)["no"].alias("start_line"), F.element_at("p", -1)["no"].alias("end_line"), F.size("p").alias("n_lines"),
-        F.array_join(F.transform("p", lambda s: s["line"]), "\n").alias("content"),
+        key, "segment", F.element_at("_p", 1)["no"].alias("start_line"), F.element_at("_p", -1)["no"].alias("end_line"), F.size("_p").alias("n_lines"),
+        F.array_join(F.transform("_p", lambda s: s["line"]), "\n").alias("content"),
     )
 
 

@@ -17,10 +17,10 @@ def endpoint(c: Column) -> Column:
 
 def arrows(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, src, dst): neighbours along the arrows of each line."""
-    line = df.where(F.col(text).isNotNull()).select(*keys, F.explode(F.split(F.col(text), "\n")).alias("line")).where(F.contains("line", F.lit("->")) | F.contains("line", F.lit("→")))
-    parts = F.transform(F.split(F.regexp_replace("line", "→", "->"), "->"), endpoint)
-    pairs = F.arrays_zip(F.slice("p", 1, F.size("p") - 1).alias("src"), F.slice("p", 2, F.size("p") - 1).alias("dst"))
-    e = line.select(*keys, parts.alias("p")).select(*keys, F.explode(pairs).alias("e")).select(*keys, F.col("e.src").alias("src"), F.col("e.dst").alias("dst"))
+    line = df.where(F.col(text).isNotNull()).select(*keys, F.explode(F.split(F.col(text), "\n")).alias("_line")).where(F.contains("_line", F.lit("->")) | F.contains("_line", F.lit("→")))
+    parts = F.transform(F.split(F.regexp_replace("_line", "→", "->"), "->"), endpoint)
+    pairs = F.arrays_zip(F.slice("_p", 1, F.size("_p") - 1).alias("src"), F.slice("_p", 2, F.size("_p") - 1).alias("dst"))
+    e = line.select(*keys, parts.alias("_p")).select(*keys, F.explode(pairs).alias("_e")).select(*keys, F.col("_e.src").alias("src"), F.col("_e.dst").alias("dst"))
     return e.where("src <> '' and dst <> ''").distinct()
 
 

@@ -111,7 +111,8 @@ s as (select *, regexp_replace(block, '^\s+|\s+$', '', 'g') as st from b),
 k as (select *, regexp_replace(trim(replace(lower(block), 'ß', 'ss')), '\s+', ' ', 'g') as norm from s
  where not regexp_matches(st, '^#{1,6} ') and not (regexp_matches(st, ':$') and length(st) < 60) and not regexp_matches(lower(st), '^(total|sum|overall)([^a-z0-9_]|$)') and regexp_matches(st, '[A-Za-zÀ-ÿ\x{4E00}-\x{9FFF}]')),
 f as (select *, row_number() over (partition by doc_id, norm order by position) as dd from k),
-w as (select *, round(1.0 + coalesce(least(list_max(list_transform(regexp_extract_all(lower(block), '([0-9]+(?:\.[0-9]+)?) ?(?:marks?|points?|pts|%)', 1), lambda x: x::double)) / 3, 3.85), 0.0), 2)::double as weight from f where dd = 1),
+m as (select *, list_max(list_transform(regexp_extract_all(lower(block), '([0-9]+(?:\.[0-9]+)?) ?(?:marks?|points?|pts|%)', 1), lambda x: x::double)) as top from f where dd = 1),
+w as (select *, round(1.0 + case when top is not null then least(top / 3, 3.85) else 0.0 end, 2)::double as weight from m),
 r as (select *, row_number() over (partition by doc_id order by -weight, position) as r from w)
 select doc_id, 't' || (r - 1) as target_id, md5(block) as description_md5, weight from r where r <= 48"""
 )
