@@ -190,13 +190,14 @@ def judge(rows: list[tuple]) -> list[list]:
         rest = []
         for i, (pid, path, source, code) in enumerate(files):
             suffix = PurePosixPath(path).suffix.lower()
-            reason = None
-            if cover[i] >= COVER and suffix not in CONFIG and not PurePosixPath(path).name.startswith(".env"):
+            shape = by_shape(code, suffix)
+            reason = "minified" if shape == "minified" else None
+            if not reason and cover[i] >= COVER and suffix not in CONFIG and not PurePosixPath(path).name.startswith(".env"):
                 data = numbers[i] * 4 >= g.terminals[i] or code.lstrip()[:6].upper() == "INSERT"
                 if not data or g.terminals[i] >= DATA_TOKENS:
                     reason = "data" if data else "generated"
             # code as varied as hand-written code is told by the marks that tools leave
-            reason = reason or by_shape(code, suffix) or by_path(path) or by_header(code)
+            reason = reason or shape or by_path(path) or by_header(code)
             if reason:
                 out.append((pid, path, source, reason, None, None))
             else:

@@ -94,7 +94,7 @@ def describe(doc: str) -> str:
             line = _EDGE.sub("", line, count=1)
         line = re.sub(r"</?(?:summary|para|c|see|code|p|b|i|em|pre|br)\b[^>]*>", " ", line).strip()
         if not line or re.fullmatch(r"[\W_]+", line):
-            skipping = skipping and not line
+            skipping = skipping and bool(line)
             continue
         if _SECTION.match(line) or re.fullmatch(r"[-=~_*#\s]*[\w ]{1,40}[-=~_*#\s]{3,}", line):
             skipping = bool(_SECTION.match(line))

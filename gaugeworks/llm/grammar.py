@@ -101,7 +101,10 @@ def _infer(symbols: np.ndarray, text: np.ndarray, n_texts: int, rounds: int = 64
             break
         same = t[1:] == t[:-1]
         name = pair_name(s[:-1], s[1:])
-        inv, count = _groups(mix(name + t[:-1].astype(U) * _M1))
+        key = mix(name + t[:-1].astype(U) * _M1)
+        # the end of one text and the beginning of the next are no pair of either
+        key[~same] = U(0)
+        inv, count = _groups(key)
         n = count[inv]
         n[~same] = 0
         most = np.zeros(n_texts, np.int64)

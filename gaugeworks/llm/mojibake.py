@@ -286,6 +286,30 @@ def _widen(pair: Pair, line: str, a: int, b: int) -> tuple[int, int]:
     return (lo, hi) if (lo, hi) != (a, b) and _undo(pair, line[lo:hi]) is not None else (a, b)
 
 
+#: Letters and signs that text has often.
+_OFTEN = frozenset(WESTERN + "ąćęłńóśźż’“”–—…€→≥≤×±§«»¿¡")
+
+
+def _best(line: str, weighed: dict[Pair, list[tuple[int, int]]]) -> Pair:
+    """The pair that explains most of the line; of equal ones the one whose text is the more ordinary."""
+    covered = {p: sum(b - a for a, b in s) for p, s in weighed.items()}
+    most = max(covered.values())
+    tied = [p for p, n in covered.items() if n == most]
+    if len(tied) == 1:
+        return tied[0]
+
+    def ordinary(p: Pair) -> int:
+        n = 0
+        for a, b in weighed[p]:
+            text = _undo(p, line[a:b]) or ""
+            n += sum(c in _OFTEN for c in text)
+            # a capital after a small letter is none that was written
+            n -= bool(text and text[0].isupper() and a and line[a - 1].islower())
+        return n
+
+    return max(tied, key=lambda p: (ordinary(p), p.kind == "utf8", -UTF8_READ_AS.index(p.wrong) if p.kind == "utf8" else 0))
+
+
 def _line(line: str) -> tuple[str, bool, bool]:
     """(the line restored, whether it was garbled, whether some of it couldn't be restored)."""
     garbled = lost = False
@@ -296,8 +320,7 @@ def _line(line: str) -> tuple[str, bool, bool]:
         if not weighed:
             break
         garbled = True
-        # the pair that explains most
-        pair = max(weighed, key=lambda p: (sum(b - a for a, b in weighed[p]), p.kind == "utf8", -UTF8_READ_AS.index(p.wrong) if p.kind == "utf8" else 0))
+        pair = _best(line, weighed)
         out, at, changed = [], 0, False
         for a, b in _runs(weighed[pair]):
             if a < at:
