@@ -31,7 +31,7 @@ NAME = (
     r"(?:secret|passwd|password|passphrase|pass|pwd|token|api[_\-]?key|access[_\-]?key|signing[_\-]?key|private[_\-]?key"
     r"|auth[_\-]?key|encryption[_\-]?key|account[_\-]?key|client[_\-]?key|auth|bearer|credential|creds"
     # the same words in other languages
-    r"|passwort|kennwort|zugang|clave|contrasena|mot_?de_?passe|senha|haslo)"
+    r"|passwort|kennwort|zugang|clave|contrasena|mot[_\-]?de[_\-]?passe|senha|haslo)"
 )
 #: Ends of names that tell about a credential without being one.
 NOT_A_VALUE = re.compile(
@@ -87,7 +87,7 @@ PLACED = {
     "pair": _d(r"auth[ ]?=[ ]?\([ ]?[\"'][^\"'\n]{1,60}[\"'],[ ]*" + _QUOTED),
     "key_name": _d(r"key[\"'\]]{0,2}[ \t]*(?::?=|:|<-)[ \t]*(?P<q>[\"'`])(?P<v>[A-Za-z0-9+/=_\-]{20,200})(?P=q)"),
     # a literal of 32 random bytes needs no name
-    "opaque": _d(r"(?:=|:|<-|\()[ ]*(?P<q>[\"'])(?P<v>[A-Za-z0-9+/]{43}=)[\"'][;,)} \n]"),
+    "opaque": _d(r"(?:=|:|<-|\(|,)[ ]*(?P<q>[\"'])(?P<v>[A-Za-z0-9+/]{43}=)[\"'][;,)} \n]"),
     # two literals that the language joins to one value
     "joined": _d(
         r"(?P<q>[\"'])(?P<v>[A-Za-z0-9+/=_.\-]{4,100}[\"'](?: \+ |\n )[ \t]*[\"'][A-Za-z0-9+/=_.\-]{4,100})(?P=q)(?![ \t]*(?:\+|\n[ \t]*[\"']))"
@@ -272,7 +272,8 @@ def _scan(rows: list[tuple]):
             text = text_of(c.get("text"))
             if text and isinstance(c.get("id"), str):
                 where.append((pid, c["id"], text_of(c.get("file"))))
-                texts.append(text)
+                # expressions that ask for what follows a value also find it at the end
+                texts.append(text + "\n")
     wanted: dict[int, list[str]] = {}
     for name, at in _get_index().candidates(texts).items():
         for i in at.tolist():
@@ -281,7 +282,7 @@ def _scan(rows: list[tuple]):
         pid, cid, file = where[i]
         spans = find(texts[i], file, wanted[i])
         if spans:
-            yield pid, cid, file, texts[i], spans
+            yield pid, cid, file, texts[i][:-1], spans
 
 
 def _found_rows(rows: list[tuple]) -> list[list]:

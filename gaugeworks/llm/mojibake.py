@@ -35,7 +35,7 @@ WESTERN = "äöüßÄÖÜéèêëàâçîïôûùœñáíóúãõ"
 
 def _repertoire() -> list[str]:
     """Characters whose garbled forms are looked for: letters of European languages, punctuation, symbols, common Han."""
-    ranges = ((0xA0, 0x250), (0x370, 0x400), (0x400, 0x460), (0x1E80, 0x1EFA), (0x2010, 0x2046), (0x20A0, 0x20C0), (0x2100, 0x2130), (0x2190, 0x21D6), (0x2200, 0x2270), (0x25A0, 0x2620), (0x2713, 0x2718), (0x3000, 0x3020), (0xFF01, 0xFF60))
+    ranges = ((0xA0, 0x250), (0x386, 0x3CF), (0x400, 0x460), (0x1E80, 0x1EFA), (0x2010, 0x2046), (0x20A0, 0x20C0), (0x2100, 0x2130), (0x2190, 0x21D6), (0x2200, 0x2270), (0x25A0, 0x2620), (0x2713, 0x2718), (0x3000, 0x3020), (0xFF01, 0xFF60))
     out = [chr(c) for a, b in ranges for c in range(a, b) if unicodedata.category(chr(c)) != "Cn"]
     return out + _han()
 
@@ -67,6 +67,9 @@ TABLES = {e: _table(e) for e in dict.fromkeys(UTF8_READ_AS + WIDE_READ_AS + tupl
 BYTES = {e: {c: b for b, c in reversed(list(enumerate(t)))} for e, t in TABLES.items()}
 
 
+_CUT = "â€"
+
+
 @dataclass(frozen=True)
 class Pair:
     """How a text was garbled: written in ``true``, read in ``wrong``. kind: 'utf8', 'wide', 'narrow' or 'han'."""
@@ -97,6 +100,8 @@ def _forms():
             form = table[b]
             if form != c and not form.isascii() and (form not in ORDINARY or form in "¿±" and true in NARROW_LETTERS):
                 yield form, pair
+    # a closing quotation mark whose last byte the wrong encoding leaves open, and which was dropped
+    yield _CUT, Pair("utf-8", "cp1252", "utf8")
     # UTF-8 read as GBK: three bytes a character, two a garbled one; marks with their common followers
     pair = Pair("utf-8", "gb18030", "han")
     marks = "，。；：？！、“”（）的是我在如函评请每该不有了"
@@ -240,7 +245,8 @@ def _weigh(pair: Pair, line: str, spans: list[tuple[int, int]]) -> list[tuple[in
         elif any(near):
             weak += 1
     if strong >= 2 and (strong >= 3 or weak >= 1):
-        return [s for s in spans if (s[0] and line[s[0] - 1].isalpha()) or (s[1] < len(line) and line[s[1]].isalpha())]
+        # runs of them are parts of words too
+        return [x for a, b in _runs(spans) if (a and line[a - 1].isalpha()) or (b < len(line) and line[b].isalpha()) for x in spans if a <= x[0] < b]
     return []
 
 
@@ -272,7 +278,7 @@ def _undo(pair: Pair, piece: str) -> str | None:
     try:
         return bytes(table[c] for c in piece).decode(pair.true)
     except (KeyError, UnicodeDecodeError):
-        return None
+        return "”" if pair.wrong == "cp1252" and piece == _CUT else None
 
 
 def _widen(pair: Pair, line: str, a: int, b: int) -> tuple[int, int]:
