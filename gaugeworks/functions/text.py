@@ -22,8 +22,9 @@ def strip(c: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Lower-case identifiers and numbers, repeated ones kept, and the longer parts of snake_case identifiers."""
     whole = F.regexp_extract_all(F.lower(c), F.lit("([a-z_][a-z0-9_]+|[0-9]+)"), F.lit(1))
-    parts = F.transform(whole, lambda t: F.filter(F.split(t, "_"), lambda p: (F.length(p) >= MIN_PIECE) & (p != t)))
-    return F.concat(whole, F.flatten(parts))
+    # only tokens with an underscore have parts, and no part of them is the token itself
+    joined = F.array_join(F.filter(whole, lambda t: F.contains(t, F.lit("_"))), "_")
+    return F.concat(whole, F.filter(F.split(joined, "_"), lambda p: F.length(p) >= MIN_PIECE))
 
 
 #: The same in the second engine's SQL; ``{0}`` is the text.

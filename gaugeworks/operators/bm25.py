@@ -11,6 +11,8 @@ count as empty; an empty corpus gives no rows; queries without terms give none.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.materialise import materialise
+from gaugeworks.functions.spread import spread
 from gaugeworks.functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -22,8 +24,8 @@ BROADCAST_TERMS = 200_000
 
 def documents_as_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, tokens, n_tokens, *keep)"""
-    t = tokens(F.coalesce(F.col(text), F.lit("")))
-    return documents.select(F.col(doc_id).alias("doc_id"), *keep, t.alias("tokens")).withColumn("n_tokens", F.size("tokens"))
+    texts = spread(documents.select(F.col(doc_id).alias("doc_id"), *keep, F.coalesce(F.col(text), F.lit("")).alias("_text")))
+    return texts.select("doc_id", *keep, tokens(F.col("_text")).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -32,22 +34,27 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return t.groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def corpus_statistics(corpus: DataFrame) -> DataFrame:
-    """One row: number of documents and mean length."""
-    return corpus.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))
+def vocabulary(corpus: DataFrame) -> DataFrame:
+    """(term, df, total): documents with each term, in one pass; the row of the null term has their number and length.
 
+    Combined within a partition before anything is shuffled, and kept: it is as large as the vocabulary.
+    """
+    each = corpus.select("n_tokens", F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
+    total = F.sum(F.when(F.col("term").isNull(), F.col("n_tokens")))
+    return materialise(each.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), total.alias("total")))
 
-def document_frequencies(corpus: DataFrame) -> DataFrame:
-    """(term, df); combined within a partition before anything is shuffled."""
-    return corpus.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
 
+def statistics(vocabulary_: DataFrame) -> tuple[float, float]:
+    """Number of documents and their mean length."""
+    row = vocabulary_.where("term is null").first()
+    return (row.df, row.total / row.df) if row else (0.0, 0.0)
 
-def inverse_frequencies(corpus: DataFrame) -> DataFrame:
+
+def inverse_frequencies(vocabulary_: DataFrame, n_docs: float) -> DataFrame:
     """(term, idf); negative ones are lifted to a part of the mean over the whole vocabulary."""
-    stats = corpus_statistics(corpus)
-    raw = document_frequencies(corpus).join(F.broadcast(stats.select("n_docs"))).select("term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    raw = vocabulary_.where("term is not null").select("term", (F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    return raw.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -57,16 +64,15 @@ def _small(df: DataFrame) -> DataFrame:
 
 def score(corpus: DataFrame, terms: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, doc_id, *keep, score) of all documents that share a term with a query."""
-    wanted = _small(terms.select("term").distinct())
-    counts = (
-        corpus.select("doc_id", "n_tokens", *keep, F.explode("tokens").alias("term")).join(wanted, "term")
-        .groupBy("doc_id", "n_tokens", "term", *keep).agg(F.count(F.lit(1)).cast("double").alias("f"))
-    )
-    weighted = _small(terms.join(inverse_frequencies(corpus), "term").select("query_id", "term", (F.col("weight") * F.col("idf")).alias("w")))
-    length = K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens"))
+    known = vocabulary(corpus)
+    n_docs, avg_tokens = statistics(known)
+    weighted = _small(materialise(terms.join(inverse_frequencies(known, n_docs), "term").select("query_id", "term", (F.col("weight") * F.col("idf")).alias("w"))))
+    # dealt out by document once: neither the counts nor the scores need another exchange
+    found = corpus.select("doc_id", "n_tokens", *keep, F.explode("tokens").alias("term")).join(_small(weighted.select("term").distinct()), "term").repartition("doc_id")
+    counts = found.groupBy("doc_id", "n_tokens", "term", *keep).agg(F.count(F.lit(1)).cast("double").alias("f"))
+    length = K1 * (1 - B + B * F.col("n_tokens") / F.lit(avg_tokens or 1.0))
     part = F.col("w") * F.col("f") * (K1 + 1) / (F.col("f") + length)
-    hits = counts.join(weighted, "term").join(F.broadcast(corpus_statistics(corpus).select("avg_tokens")))
-    return hits.groupBy("query_id", "doc_id", *keep).agg(F.sum(part).alias("score"))
+    return counts.join(weighted, "term").groupBy("query_id", "doc_id", *keep).agg(F.sum(part).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.jsonio import Unreadable, decode, plain_number
+from gaugeworks.functions.spread import spread
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -321,7 +322,7 @@ def _parse(text):
 
 
 def _input(df: DataFrame, column: str) -> DataFrame:
-    return df.select(F.col("id").cast("bigint").alias("id"), F.col(column).cast("string").alias("j")).where("id is not null and j is not null")
+    return spread(df.select(F.col("id").cast("bigint").alias("id"), F.col(column).cast("string").alias("j")).where("id is not null and j is not null"))
 
 
 def child_keys(df: DataFrame, table: str, column: str) -> DataFrame:

@@ -17,6 +17,7 @@ from gaugeworks.functions.bloom import bloom_filter
 from gaugeworks.functions.jsonio import Unreadable, decode, plain_number
 from gaugeworks.functions.materialise import materialise
 from gaugeworks.functions.skew import salted_join
+from gaugeworks.functions.spread import spread
 
 
 def _value(text):
@@ -74,7 +75,7 @@ def _references(df: DataFrame, table: str, column: str, time: str, read, parent:
         F.col("id").cast("bigint").alias("ref_id"), F.unix_micros(F.to_timestamp(F.col(time))).alias("ref_time"),
         (F.col(parent).cast("bigint") if parent else F.lit(None).cast("bigint")).alias("parent_id"), F.col(column).cast("string").alias("j"),
     )
-    refs = cols.where("ref_id is not null and j is not null").mapInArrow(run, "ref_id bigint, ref_time bigint, parent_id bigint, target bigint")
+    refs = spread(cols.where("ref_id is not null and j is not null")).mapInArrow(run, "ref_id bigint, ref_time bigint, parent_id bigint, target bigint")
     return refs.select(F.lit(table).alias("ref_table"), "*")
 
 

@@ -7,6 +7,8 @@ nothing; unknown or unreadable durations are 'unknown'; a count of zero is a sma
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.spread import spread
+
 # Patterns of the detectors by category.
 DETECTORS = {
     "student_id": r"(^|[^0-9])[0-9]{9}([^0-9]|$)",
@@ -56,7 +58,7 @@ def categories(c: Column) -> Column:
 def scan(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, categories) of the rows of which some column gives something away."""
     found = F.array_sort(F.array_distinct(F.flatten(F.array(*[categories(F.col(x)) for x in columns]))))
-    return df.select(key, found.alias("categories")).where(F.size("categories") > 0)
+    return spread(df.select(key, *columns)).select(key, found.alias("categories")).where(F.size("categories") > 0)
 
 
 def with_forbidden_terms(df: DataFrame, key: str, column: str, terms: list[str]) -> DataFrame:
