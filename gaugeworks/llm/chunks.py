@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gaugeworks.functions.jsonio import Unreadable, decode
+from gaugeworks.functions.spread import spread
 
 #: Characters of JSON text that are worked on at once, so that memory doesn't depend on the rows of an Arrow batch.
 BLOCK_CHARS = 8_000_000
@@ -60,4 +61,4 @@ def map_blocks(df: DataFrame, work, schema: str) -> DataFrame:
             if columns and len(columns[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.spread import spread
+
 SEED = 5
 BLOCK = 2
 MIN_WORDS = 12
@@ -192,7 +194,7 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of the documents that hold wording of an item."""
     spark = documents.sparkSession
     rows = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text is not null and item_id is not null").distinct().orderBy("item_id")
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    docs = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null"))
     out = None
     for part in _passes(rows):
         found = _pass(spark, docs, part)

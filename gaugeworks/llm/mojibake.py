@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.spread import spread
+
 #: Rounds of restoring: text may have been decoded wrongly more than once.
 ROUNDS = 3
 
@@ -384,7 +386,7 @@ def repaired(documents: DataFrame, with_text: bool = True) -> DataFrame:
 
     df = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # plain ASCII can't be garbled: it never leaves the JVM
-    return df.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x00-\x7F]")).mapInArrow(run, schema)
+    return spread(df.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x00-\x7F]"))).mapInArrow(run, schema)
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:
