@@ -213,9 +213,9 @@ def _accept(detector: str, m: re.Match, text: str, file: str) -> bool:
 def find(text: str, file: str, detectors: Iterable[str]) -> list[tuple[int, int, str]]:
     """(start, end, detector) of the credential values in a text, in order and without overlaps."""
     spans: list[tuple[int, int, str]] = []
-    low = text.lower()
+    low, known = text.lower(), {}
     for name in detectors:
-        for m in matches(DETECTORS[name], PREFIXES[name], text, low):
+        for m in matches(DETECTORS[name], PREFIXES[name], text, low, known):
             if _accept(name, m, text, file):
                 a, b = m.span("v")
                 if name == "private_key":

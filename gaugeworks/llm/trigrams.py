@@ -12,7 +12,7 @@ from re import _parser as parser
 import numpy as np
 
 #: Most strings that a run of alternatives is expanded to before it is cut into clauses.
-MAX_STRINGS = 48
+MAX_STRINGS = 64
 #: Largest character class that is expanded.
 MAX_CLASS = 8
 
@@ -137,20 +137,32 @@ def prefixes_of(pattern: re.Pattern) -> list[str]:
     return sorted(a for a in out if not any(a != b and a.startswith(b) for b in out))
 
 
-def matches(pattern: re.Pattern, prefixes: list[str], text: str, low: str):
-    """The matches of ``pattern`` at the places where one of its prefixes stands; ``low`` is the text in lower case."""
-    if not prefixes or len(low) != len(text):
-        yield from pattern.finditer(text)
-        return
+def places(prefixes: list[str], low: str) -> list[int]:
+    """Where one of the prefixes stands in a text in lower case."""
     seen = set()
     for prefix in prefixes:
         at = low.find(prefix)
         while at >= 0:
-            if at not in seen:
-                seen.add(at)
-                if m := pattern.match(text, at):
-                    yield m
+            seen.add(at)
             at = low.find(prefix, at + 1)
+    return sorted(seen)
+
+
+def matches(pattern: re.Pattern, prefixes: list[str], text: str, low: str, known: dict | None = None):
+    """The matches of ``pattern`` at the places where one of its prefixes stands; ``low`` is the text in lower case.
+
+    ``known`` keeps the places of a text for expressions with the same prefixes.
+    """
+    if not prefixes or len(low) != len(text):
+        yield from pattern.finditer(text)
+        return
+    key = tuple(prefixes)
+    known = {} if known is None else known
+    if key not in known:
+        known[key] = places(prefixes, low)
+    for at in known[key]:
+        if m := pattern.match(text, at):
+            yield m
 
 
 def _code(trigram: str) -> int:
