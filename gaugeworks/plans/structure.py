@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.text import TOKENS_SQL, tokens
-from gaugeworks.operators import alignment, bm25, evidence, graph
+from gaugeworks.operators import alignment, bm25, entities, evidence, graph
 from gaugeworks.plans.registry import query
 from gaugeworks.sources import read_table
 
@@ -160,3 +160,36 @@ def question_alignment(spark, d):
     q = read_table(spark, d, "questions").select(F.col("id").alias("question_id"), F.col("project_id").alias("group"), F.col("stem").alias("text")).distinct()
     a = read_table(spark, d, "assessments").select(F.col("project_id").alias("group"), F.col("id").alias("target_id"), F.col("title").alias("text"), (F.lit(1.0) + F.col("id") % 3).alias("weight"))
     return alignment.align_to_targets(q, a)
+
+
+_NAMES = " union all ".join(f"select project_id, text, {i} as ord, '{k}' as kind, unnest(list_distinct(regexp_extract_all(text, '{p}', 1))) as value from chunks" for i, (k, p) in enumerate(entities.NAMES.items()))
+
+
+@query(
+    f"""with {_CHUNKS}, v as ({_NAMES}), c as (select id as project_id, list_distinct({TOKENS_SQL.format("coalesce(min(name), '')")}) as c from projects group by id),
+s as (select v.project_id, ord, kind, value, 3 * len(list_intersect(c, {TOKENS_SQL.format('text')})) + len(list_intersect(c, {TOKENS_SQL.format('value')})) as score from v join c using (project_id)),
+b as (select *, row_number() over (partition by project_id, kind, lower(value) order by score desc, value) as b from s),
+r as (select *, row_number() over (partition by project_id order by score desc, ord, value) as rank from b where b = 1)
+select project_id, rank::int as rank, kind, value, score::int as score from r"""
+)
+def entity_candidates(spark, d):
+    names = read_table(spark, d, "projects").groupBy(F.col("id").alias("project_id")).agg(F.min("name").alias("context"))
+    return entities.candidates(_chunks(spark, d, ["text"]).where("text is not null"), "project_id", names)
+
+
+@query()
+def evidence_bundles(spark, d):
+    """For each evaluation item two documents of code talk, one of notes, and further ones, from its best forty."""
+    corpus = bm25.documents_as_corpus(read_table(spark, d, "documents"), keep=("source",))
+    scored = bm25.score(corpus, bm25.query_terms(read_table(spark, d, "eval_items"), "item_id", "text"), keep=("source",))
+    top = bm25.top_k(scored, 40, keep=("source",))
+    group = F.when(F.col("source").isin("code_explanation", "review_comments", "forum"), "talk").when(F.col("source").isin("lecture_notes", "assignment_spec"), "notes").otherwise("other")
+    return entities.bundles(top.withColumn("group", group), "query_id", {"talk": 2, "notes": 1}, {"other": 2})
+
+
+@query()
+def branch_conditions(spark, d):
+    """Conditions of the branches in Python functions, and their negations."""
+    c = _chunks(spark, d, ["id", "kind", "text", "file"]).where("kind = 'function'")
+    code = F.regexp_replace("text", r"(?s)^.*?\nCode:\n", "")
+    return entities.branch_conditions(c.select("project_id", F.col("id").alias("chunk_id"), code.alias("code")), ["project_id", "chunk_id"], "code")

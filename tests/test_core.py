@@ -210,3 +210,20 @@ def test_review(spark):
 def test_timestamps_are_untouched(spark):
     df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 1, 2))], "id int, t timestamp")
     assert [r.id for r in review.newest(df.withColumn("g", F.lit(1)), ["g"], [F.desc("t")]).collect()] == [2]
+
+
+def test_entities(spark):
+    from gaugeworks.operators import entities
+
+    assert entities.conditions_of("def f(x):\n    if x > 1:\n        while not y: pass\n") == ["x > 1", "not y"] and entities.conditions_of("def (") == []
+    assert [entities.negated(c) for c in ("x > 1", "not y", "a in b", "f(x)")] == ["x <= 1", "y", "a not in b", "not f(x)"]
+    ranked = spark.createDataFrame([(1, "a", 10, 1), (1, "a", 11, 2), (1, "b", 10, 1), (1, "b", 12, 2), (2, "a", 10, 1)], "q bigint, group string, doc_id bigint, rank int")
+    got = {(r.q, r.position): (r.doc_id, r.missing) for r in entities.bundles(ranked, "q", {"a": 2}, {"b": 1}).collect()}
+    assert got == {(1, 1): (10, None), (1, 2): (11, None), (1, 3): (12, None), (2, 0): (None, "a")}
+    q = spark.createDataFrame([([("A", "x"), ("B", "y"), ("C", "z")], ["B"])], "o array<struct<key:string,text:string>>, a array<string>")
+    r = q.select(entities.normalised_question(F.col("o"), F.col("a"), F.lit(7)).alias("n")).first().n
+    assert [o.key for o in r.options] == ["A", "B", "C"] and {o.text for o in r.options if o.key in r.answer} == {"y"}
+    frame = F.array(F.lit("What does {name} do?"), F.lit("Why {name} and {other}?"))
+    render = lambda v: spark.range(1).select(entities.render(frame, F.lit(v), F.create_map(F.lit("name"), F.lit("load"))).alias("x")).first().x
+    assert render(2) == "What does load do?" and render(1) is None
+    assert one(spark, entities.compact(F.col("c"), F.lit("short")), c="Explain how **queues** work") == "queues work"
