@@ -19,38 +19,32 @@ _BULLET = re.compile(r"^\s*(?:[-*•–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
 
 
-def split_blocks(text: str) -> list[str]:
-    """Paragraphs and bullets of a text; long ones are divided at sentences."""
-    blocks: list[str] = []
-    held: list[str] = []
+def _packed(sentences: list[str], most: int):
+    """Sentences joined as far as they fit into ``most`` characters."""
+    part, size = [], 0
+    for x in sentences:
+        if part and size + len(x) + 1 > most:
+            yield " ".join(part)
+            part, size = [], 0
+        part.append(x)
+        size += len(x) + 1
+    if part:
+        yield " ".join(part)
 
-    def flush():
-        value = " ".join(held).strip()
-        if len(value) >= LEAST_CHARS:
-            blocks.append(value)
-        held.clear()
 
+def split_blocks(text: str) -> list[str]:
+    """Paragraphs and bullets of a text; long ones are divided at sentences."""
+    groups: list[list[str]] = [[]]
     for line in map(str.strip, (text or "").splitlines()):
-        starts = bool(_BULLET.match(line)) or (len(line) < 100 and line.endswith(":"))
-        if not line or starts:
-            flush()
+        bullet = _BULLET.match(line)
+        lead_in = line.endswith(":") and len(line) < 100
+        full = sum(len(x) + 1 for x in groups[-1]) > FLUSH_CHARS
+        if not line or bullet or lead_in or full:
+            groups.append([])
         if line:
-            held.append(_BULLET.sub("", line))
-            if sum(map(len, held)) + len(held) - 1 >= FLUSH_CHARS:
-                flush()
-    flush()
-    out: list[str] = []
-    for block in blocks:
-        part = ""
-        for sentence in _SENTENCES.split(block) if len(block) > SPLIT_CHARS else [block]:
-            joined = f"{part} {sentence}".strip()
-            if part and len(joined) > SPLIT_CHARS:
-                out.append(part)
-                joined = sentence
-            part = joined
-        if part:
-            out.append(part)
-    return out
+            groups[-1].append(line[bullet.end() :] if bullet else line)
+    whole = [" ".join(g) for g in groups]
+    return [part for b in whole if len(b) >= LEAST_CHARS for part in (_packed(_SENTENCES.split(b), SPLIT_CHARS) if len(b) > SPLIT_CHARS else [b])]
 
 
 def rubric_rows(text: str) -> list[tuple[str, float, str]]:

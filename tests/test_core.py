@@ -17,7 +17,7 @@ def one(spark, column, **values):
 
 def test_tokens(spark):
     got = one(spark, text.tokens(F.col("t")), t="Load_data ab 12 x Groß _id load")
-    assert sorted(got) == sorted(["load_data", "load", "data", "ab", "12", "gro", "_id", "load"]) or "load_data" in got
+    assert sorted(got) == sorted(["load_data", "load", "data", "ab", "12", "gro", "_id", "load"])
     assert one(spark, F.size(text.tokens(F.col("t"))), t="") == 0
 
 
@@ -187,7 +187,7 @@ def test_segments(spark):
 
 
 def test_targets(spark):
-    assert alignment.split_blocks("# Head\n\n- build a loader that reads all files\n- TEST it well, please now\nTotal: 3") == ["build a loader that reads all files", "TEST it well, please now Total: 3"] or True
+    assert alignment.split_blocks("# Head\n\n- build a loader that reads all files\n- TEST it well, please now\nTotal: 3") == ["build a loader that reads all files", "TEST it well, please now Total: 3"]
     assert alignment.split_blocks("") == []
     long = " ".join(["A sentence that goes on for a while."] * 60)
     assert all(len(b) <= 900 for b in alignment.split_blocks(long))
