@@ -31,6 +31,8 @@ from gaugeworks.llm.chunks import chunks_of, map_blocks, text_of
 COVER = 0.8
 #: Tokens that such a rule stands for, and uses of it, at least.
 RULE_TOKENS, RULE_USES = 7, 4
+#: ... and how often it must be used: once in nearly every line, or many times over nearly all of the file.
+LINE_SHARE, MANY_USES, FULL_COVER = 0.8, 8, 0.9
 #: Tokens of a file from which its grammar says something about data dumps.
 DATA_TOKENS = 120
 #: Of blobs: characters in long literals at least, their share of the file, and their size after compression.
@@ -184,8 +186,12 @@ def judge(rows: list[tuple]) -> list[list]:
         g = grammar.infer(symbols, owner, len(codes))
         big = (g.rule_size >= RULE_TOKENS) & (g.rule_uses >= RULE_USES)
         cover = np.zeros(len(codes))
+        uses = np.zeros(len(codes), np.int64)
         at = g.rule_text[big]
-        np.maximum.at(cover, at, g.rule_size[big] * g.rule_uses[big] / np.maximum(1, g.terminals[at]))
+        share = g.rule_size[big] * g.rule_uses[big] / np.maximum(1, g.terminals[at])
+        # of each file the rule that covers most comes last
+        order = np.argsort(share, kind="stable")
+        cover[at[order]], uses[at[order]] = share[order], g.rule_uses[big][order]
         numbers = np.bincount(owner[symbols == grammar.NUMBER], minlength=len(codes))
         rest = []
         for i, (pid, path, source, code) in enumerate(files):
@@ -194,7 +200,9 @@ def judge(rows: list[tuple]) -> list[list]:
             reason = "minified" if shape == "minified" else None
             if not reason and cover[i] >= COVER and suffix not in CONFIG and not PurePosixPath(path).name.startswith(".env"):
                 data = numbers[i] * 4 >= g.terminals[i] or code.lstrip()[:6].upper() == "INSERT"
-                if not data or g.terminals[i] >= DATA_TOKENS:
+                # code that repeats itself line by line, or very often: a hand-written file may repeat a block a few times
+                lines = code.count("\n") + 1
+                if g.terminals[i] >= DATA_TOKENS if data else uses[i] >= LINE_SHARE * lines or (uses[i] >= MANY_USES and cover[i] >= FULL_COVER):
                     reason = "data" if data else "generated"
             # code as varied as hand-written code is told by the marks that tools leave
             reason = reason or shape or by_path(path) or by_header(code)
