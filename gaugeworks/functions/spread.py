@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out to as many partitions as there are cores, if it is read in fewer; else as it is.
 
-    Large inputs are read in many partitions and stay where they are. The plan alone is asked, nothing runs.
+    Large inputs are read in many partitions and stay where they are, and so do inputs that were shuffled before. The
+    plan alone is asked, nothing runs.
     """
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    return df if execution.toRdd().getNumPartitions() >= cores else df.repartition(cores)
