@@ -2,7 +2,8 @@
 
 For every pair (true encoding, wrong encoding) the garbled form of each character of a repertoire is computed once, and
 all forms go into one Aho-Corasick automaton. Its matches in a paragraph are weighed per pair; a paragraph is garbled if
-the evidence of a pair is enough (``_weigh``). Only matched spans are replaced, and spans that a sentence merely quotes
+the evidence of a pair is enough (``_weigh``). Only matched spans are replaced (a span takes in its neighbours only if the
+wrong encoding can have made all of it and all of it can be undone), and spans that a sentence merely quotes
 are left alone, so text that is right stays untouched. Text that was decoded twice is restored in several rounds.
 
 A replacement character inside a word is a garbled place that can't be restored.
