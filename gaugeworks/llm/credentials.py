@@ -62,35 +62,43 @@ MARKED = {
 }
 _EXACT = {k: re.compile(p.pattern, re.A | re.M) for k, p in MARKED.items()}
 
-_QUOTED = r"[brfu@]{0,2}(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\s\\]){6,400})"
+#: A quoted value: up to its closing quote, blanks and escapes included; where the line has none, up to a blank.
+_QUOTED = (
+    r"[brfu@]{0,2}(?P<q>[\"'`])(?:(?:bearer|basic|digest|token|apikey)[ ]+)?"
+    r"(?P<v>(?=\S)(?:(?!(?P=q))[^\\\n]|\\[\s\S]){6,}+(?=(?P=q))|(?:(?!(?P=q))[^\s\\]){6,})"
+)
+#: An unquoted value up to the end of the line or a comment, in runs of one kind, so that a long line is read fast.
+_BARE = (
+    r"(?P<v>(?=(?:[^\s\"'`(){}\[\],;<>$|]|\$(?![{(A-Za-z_])){6})(?:[^\s\"'`(){}\[\],;<>$|#/]++|[#/]|\$(?![{(A-Za-z_]))+)[ \t]*(?:#[^\n]*|//[^\n]*)?$"
+)
 #: Expressions that find a value by what stands before it.
 PLACED = {
-    "url_user": _d(r"[a-z][a-z0-9+.\-]{1,15}://[^\s/:@\"'`]{0,60}:(?P<v>[^\s/@\"'`]{4,200})@"),
-    "url_query": _d(r"[?&](?:key|api_?key|token|access_token|auth|secret|sig|signature|password)=(?P<v>[A-Za-z0-9_\-.%+/]{12,200})"),
-    "header": _d(r"(?:bearer|basic|token|apikey)[ ]+(?P<v>[A-Za-z0-9+/=_\-.~]{12,2000})(?=[\"'`\s]|$)"),
+    "url_user": _d(r"[a-z][a-z0-9+.\-]{1,15}://[^\s/:@\"'`]{0,60}:(?P<v>[^\s/@\"'`]{4,})@"),
+    "url_query": _d(r"[?&](?:key|api_?key|token|access_token|auth|secret|sig|signature|password)=(?P<v>[A-Za-z0-9_\-.%+/]{12,})"),
+    "header": _d(r"(?:bearer|basic|token|apikey)[ ]+(?P<v>[A-Za-z0-9+/=_\-.~]{12,})(?=[\"'`\s]|$)"),
     "header_item": _d(
         r"[\"'](?:x-auth|x-api-key|x-auth-token|x-access-token|x-token|x-secret|api-key|apikey|authorization|private-token)[\"']\]?[ ]*[=:,][ ]*"
         + _QUOTED
     ),
-    "curl_user": _d(r"curl\b[^\n|;]{0,200}?[ ](?:-u|--user)[ =]+[\"']?[A-Za-z0-9_.\-]+:(?P<v>[^\s\"'@]{6,200})"),
-    "client_flag": _d(r"(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;]{0,120}?[ ]-p(?P<v>[^\s\"'\-]\S{5,200})"),
+    "curl_user": _d(r"curl\b[^\n|;]{0,200}?[ ](?:-u|--user)[ =]+[\"']?[A-Za-z0-9_.\-]+:(?P<v>[^\s\"'@]{6,})"),
+    "client_flag": _d(r"(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;]{0,120}?[ ]-p(?P<v>[^\s\"'\-]\S{5,})"),
     "basic_call": _d(r"(?:basicauth|basic_auth|credentials?|login|getconnection|usernamepassword[a-z]*)[ ]?\([^()\n]{0,120}?,[ ]*" + _QUOTED),
-    "connection": _d(r"(?:pwd|password)=(?P<v>(?:[^;\s\"'$<{&]|\$(?![{(A-Za-z_])){6,200})[;\"']"),
+    "connection": _d(r"(?:pwd|password)=(?P<v>(?=(?:[^;\s\"'$<{&]|\$(?![{(A-Za-z_])){6})(?:[^;\s\"'$<{&]++|\$(?![{(A-Za-z_]))++)[;\"']"),
     "sql": _d(r"(?:password|identified by)[ ]+" + _QUOTED),
-    "prose": _d(r"(?:password|passwort|passphrase|mot de passe|contraseña|senha|token|secret|api key)(?:[ ]+is|[ ]*:)?[ ]+[`\"']?(?P<v>[^\s`\"',;()]{8,200})"),
-    "compare": _d(r"[!=]=[ ]*(?P<q>[\"'])(?P<v>[^\"'\s]{8,200})(?P=q)[^\n]{0,40}(?:#|//|--)[^\n]{0,60}(?:login|passw|admin|auth|secret)"),
+    "prose": _d(r"(?:password|passwort|passphrase|mot de passe|contraseña|senha|token|secret|api key)(?:[ ]+is|[ ]*:)?[ ]+[`\"']?(?P<v>[^\s`\"',;()]{8,})"),
+    "compare": _d(r"[!=]=[ ]*(?P<q>[\"'])(?P<v>(?=\S)(?:(?!(?P=q))[^\\\n]|\\[\s\S]){8,}+)(?P=q)[^\n]{0,40}(?:#|//|--)[^\n]{0,60}(?:login|passw|admin|auth|secret)"),
     "named": _d(NAME + r"[a-z0-9_\-]{0,24}[\"'\]]{0,2}[ \t]*(?::[ ]*[a-z]{3,12}[ ]*)?(?:=>|<-|:=|={1,2}|:|,)[ \t]*\(?\s*" + _QUOTED),
-    "named_bare": _d(NAME + r"[a-z0-9_\-]{0,24}[ \t]*(?:=|:)[ \t]*(?P<v>(?:[^\s\"'`(){}\[\],;<>$|]|\$(?![{(A-Za-z_])){6,400})[ \t]*(?:#[^\n]*|//[^\n]*)?$"),
+    "named_bare": _d(NAME + r"[a-z0-9_\-]{0,24}[ \t]*(?:=|:)[ \t]*" + _BARE),
     "pw": _d(r"(?<![a-z0-9])pw(?:[\"'][ ]?[,:=]|[ ]?=|[ ]?:|[ ]?<-)=?[ \t]*" + _QUOTED),
-    "pw_bare": _d(r"(?<![a-z0-9])pw(?:[ ]?=|[ ]?:)[ \t]*(?P<v>(?:[^\s\"'`(){}\[\],;<>$|]|\$(?![{(A-Za-z_])){6,400})[ \t]*(?:#[^\n]*|//[^\n]*)?$"),
-    "mail_key": _d(r"(?:smtp|datasource|ldap|imap)\.[a-z0-9_.\-]{1,40}[ ]*[=:][ ]*(?P<v>[^\s\"'`(){}\[\],;<>$|]{20,400})[ \t]*$"),
+    "pw_bare": _d(r"(?<![a-z0-9])pw(?:[ ]?=|[ ]?:)[ \t]*" + _BARE),
+    "mail_key": _d(r"(?:smtp|datasource|ldap|imap)\.[a-z0-9_.\-]{1,40}[ ]*[=:][ ]*(?P<v>[^\s\"'`(){}\[\],;<>$|]{20,})[ \t]*$"),
     "pair": _d(r"auth[ ]?=[ ]?\([ ]?[\"'][^\"'\n]{1,60}[\"'],[ ]*" + _QUOTED),
-    "key_name": _d(r"key[\"'\]]{0,2}[ \t]*(?::?=|:|<-)[ \t]*(?P<q>[\"'`])(?P<v>[A-Za-z0-9+/=_\-]{20,200})(?P=q)"),
+    "key_name": _d(r"key[\"'\]]{0,2}[ \t]*(?::?=|:|<-)[ \t]*(?P<q>[\"'`])(?P<v>[A-Za-z0-9+/=_\-]{20,})(?P=q)"),
     # a literal of 32 random bytes needs no name
     "opaque": _d(r"(?:=|:|<-|\(|,)[ ]*(?P<q>[\"'])(?P<v>[A-Za-z0-9+/]{43}=)[\"'][;,)} \n]"),
     # two literals that the language joins to one value
     "joined": _d(
-        r"(?P<q>[\"'])(?P<v>[A-Za-z0-9+/=_.\-]{4,100}[\"'](?: \+ |\n )[ \t]*[\"'][A-Za-z0-9+/=_.\-]{4,100})(?P=q)(?![ \t]*(?:\+|\n[ \t]*[\"']))"
+        r"(?P<q>[\"'])(?P<v>[A-Za-z0-9+/=_.\-]{4,}[\"'](?: \+ |\n )[ \t]*[\"'][A-Za-z0-9+/=_.\-]{4,})(?P=q)(?![ \t]*(?:\+|\n[ \t]*[\"']))"
     ),
     "aws_secret": _d(
         r"A(?:KIA|SIA)[A-Z0-9]{16}[^\n]{0,40}\n[^\n]{0,60}?[=:][ ]*[\"']?(?P<v>[A-Za-z0-9+/]{40})(?![A-Za-z0-9+/=])"
@@ -138,6 +146,27 @@ def is_live(value: str) -> bool:
     return len(value) >= 20 and mixed and not _WORDY.match(value) and entropy(value) >= 3.5
 
 
+def is_live_quoted(value: str) -> bool:
+    """``is_live`` for a whole literal, in which blanks and escapes may stand."""
+    if not re.search(r"[\s\\]", value):
+        return is_live(value)
+    # what stands before the first escape of an expression (\\d, \\s, \\.) is judged alone
+    if m := re.search(r"\\[^\"'`\\/nrt\nux]", value):
+        value = value[: m.start()]
+    value = re.sub(r"\\[nrt\n]", " ", value)
+    value = re.sub(r"\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|(.))", lambda m: m.group(1) or "~", value)
+    words = value.split()
+    if len(words) < 2:
+        return bool(words) and is_live(words[0])
+    if is_live(words[0]):
+        return True
+    if _LOOKUP.search(value):
+        return False
+    # a pass phrase, or a key written in groups
+    mixed = [w for w in words if any(c.isdigit() for c in w) and any(c.isalpha() for c in w)]
+    return any(is_live(w) and not re.search(r"[{}()<>\[\]]|://", w) for w in words[1:]) or 2 * len(mixed) >= len(words) and is_live("".join(words))
+
+
 def _full_name(text: str, start: int) -> str:
     i = start
     while i and (text[i - 1].isalnum() or text[i - 1] in "_-.") and start - i < 60:
@@ -207,7 +236,7 @@ def _accept(detector: str, m: re.Match, text: str, file: str) -> bool:
         return False
     if detector == "named" and re.search(r"(?i)sha\d*[-:]|^(?:sha|md5)", value):
         return False
-    return is_live(value)
+    return is_live_quoted(value) if "q" in m.re.groupindex else is_live(value)
 
 
 def find(text: str, file: str, detectors: Iterable[str]) -> list[tuple[int, int, str]]:
@@ -248,7 +277,7 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     for a, b, name in spans:
         out.append(text[at:a])
         # kept: line breaks and what joins the parts of a value that spans lines, so that the code still parses
-        parts = re.split(r"([\"'](?: \+ |\n)[ \t]*[\"']|\n[ \t]*(?:[#/*]+[ \t]*)?)", text[a:b])
+        parts = re.split(r"([\"'](?: \+ |\n)[ \t]*[\"']|\\?\n[ \t]*(?:[#/*]+[ \t]*)?)", text[a:b])
         out.append("".join(p if i % 2 else (f"REDACTED_{name.upper()}" if i == 0 else "REDACTED" if p else "") for i, p in enumerate(parts)))
         at = b
     return "".join(out) + text[at:]
