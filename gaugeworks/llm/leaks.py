@@ -117,12 +117,16 @@ class Searcher:
         if len(seq) < SEED:
             return []
         hit: set[int] = set()
-        tried: set[tuple[int, int]] = set()
+        # of each diagonal the place in the document up to which an exact run was extended
+        tried: dict[tuple[int, int], int] = {}
         for k, start, at in self.seeds(seq):
-            # seeds on one diagonal belong to one match; the first one is extended both ways
-            if k in hit or (k, at - start) in tried:
+            # seeds of one exact run belong to one match; each run of a diagonal is extended both ways
+            if k in hit or at < tried.get((k, at - start), 0):
                 continue
-            tried.add((k, at - start))
+            item, b, j = self.items[k], start + SEED, at + SEED
+            while b < len(item) and j < len(seq) and item[b] == seq[j]:
+                b, j = b + 1, j + 1
+            tried[k, at - start] = j
             if self._matches(k, start, seq, at):
                 hit.add(k)
         return [self.ids[k] for k in sorted(hit)]

@@ -91,3 +91,18 @@ def test_frame(spark, monkeypatch, limit):
     i = spark.createDataFrame([*ITEMS, (77, ITEMS[0][1]), (78, None), (79, "short"), (None, ITEMS[0][1])], "item_id bigint, text string")
     assert sorted(map(tuple, L.find_leaks(d, i).collect())) == [(1, 0), (1, 77), (5, 1), (5, 2)]
     assert L.find_leaks(d.limit(0), i).count() == 0 and L.find_leaks(d, i.limit(0)).count() == 0
+
+
+def test_every_exact_run_of_a_diagonal_is_extended():
+    s = L.Searcher(ITEMS)
+    w = " ".join(L.words(ITEMS[7][1])).split()
+    w = [x for x in w if x not in L._MARKERS]
+    for n, gap in ((8, 3), (5, 4), (11, 6), (6, 12)):
+        doc = w[:n] + ["maybe"] * gap + w[n + gap : n + gap + 12]
+        assert brute(ITEMS[7][1], " ".join(doc)), (n, gap)
+        assert s.leaked(" ".join(doc)) == [7], (n, gap)
+        # and the other way round, and with a third run
+        doc = w[:6] + ["maybe"] * 4 + w[10:16] + ["maybe"] * 4 + w[20:32]
+        assert s.leaked(" ".join(doc)) == [7]
+    # a run with more changes than allowed is none
+    assert s.leaked(" ".join(w[:8] + ["maybe"] * 3 + w[11:18])) == []
