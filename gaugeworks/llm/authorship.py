@@ -1,11 +1,13 @@
 """Files that no one wrote by hand: generated, minified, vendored, or data kept as code.
 
-For every file a Re-Pair grammar is inferred over its lexical tokens, and another over its lines:
+For every file a Re-Pair grammar is inferred over its lexical tokens, and its lines are compared with those of all others:
 
 * a rule of the token grammar that is reused over nearly the whole file marks generated code (or, if most of what it
   covers are numbers, a data dump);
 * literals that are long and that no grammar or compressor can shorten mark blobs;
-* rules (and whole files) of the line grammar that several repositories share mark vendored copies.
+* runs of lines that several repositories share, wherever they stand in a file, mark vendored copies. Every window of
+  ``SHARED_LINES`` code lines is named by its content, as a rule of one grammar over all repositories would be; so copies
+  with a patched line, another header or other chunks still share the windows that are left.
 
 Marks that tools leave (a header, a name, a folder) are read as well; for files that were skipped for their size the
 path is all there is.
@@ -39,8 +41,10 @@ DATA_TOKENS = 120
 BLOB_CHARS, BLOB_SHARE, BLOB_RATIO = 300, 0.6, 0.6
 #: Of minified files: characters a line on average, and share of blanks at most.
 LONG_LINES, FEW_BLANKS = 250, 0.09
-#: Of shared rules: lines they stand for, repositories they occur in, share of a file's lines they cover.
+#: Of shared runs of lines: their least length, repositories they occur in, share of a file's lines they cover.
 SHARED_LINES, REPOSITORIES, SHARED_COVER = 8, 3, 0.6
+#: Different lines in a shared run at least: the same check written several times over is an idiom, not a copy.
+DIFFERENT = 6
 
 # Names of folders and files that tools and package managers give.
 VENDOR_DIRS = frozenset(
@@ -156,13 +160,19 @@ def _code_lines(code: str) -> list[str]:
     return [x for x in (line.strip() for line in code.split("\n")) if x and not _COMMENT_LINE.match(x)]
 
 
-def _line_symbols(codes: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    names, owner = [], []
-    for i, code in enumerate(codes):
-        lines = _code_lines(code)
-        names += [hash64(x) for x in lines]
-        owner += [i] * len(lines)
-    return np.array(names, np.uint64), np.array(owner, np.int64)
+def windows(code: str) -> list[int | None]:
+    """Names, by their content, of all code lines together and of each run of ``SHARED_LINES`` (None: too much of one line)."""
+    names = [hash64(x) for x in _code_lines(code)]
+    n = len(names) - SHARED_LINES + 1
+    if n < 1:
+        return []
+    lines = np.array(names, np.uint64)
+    runs = np.zeros(n, np.uint64)
+    for k in range(SHARED_LINES):
+        runs = grammar.pair_name(runs, lines[k : k + n])
+    whole = grammar.mix(lines + grammar.mix(np.arange(len(lines), dtype=np.uint64))).sum(dtype=np.uint64)
+    named = [r if len(set(names[i : i + SHARED_LINES])) >= DIFFERENT else None for i, r in enumerate(runs.astype(np.int64).tolist())]
+    return [int(whole.astype(np.int64)), *named]
 
 
 def hash64(s: str) -> int:
@@ -172,14 +182,14 @@ def hash64(s: str) -> int:
 
 
 def judge(rows: list[tuple]) -> list[list]:
-    """Columns project_id, file, source, reason, rule, share: a file with its reason, or a rule of it to be compared."""
+    """Columns project_id, file, source, reason, windows: a file with its reason, or its runs of lines to be compared."""
     out: list[tuple] = []
     files: list[tuple] = []
     for pid, source, path, code in _files(rows):
         if code:
             files.append((pid, path, source, code))
         elif reason := by_path(path):
-            out.append((pid, path, source, reason, None, None))
+            out.append((pid, path, source, reason, None))
     if files:
         codes = [x[3] for x in files]
         symbols, owner = grammar.lexemes([c.encode("utf-8", "replace") for c in codes])
@@ -193,7 +203,6 @@ def judge(rows: list[tuple]) -> list[list]:
         order = np.argsort(share, kind="stable")
         cover[at[order]], uses[at[order]] = share[order], g.rule_uses[big][order]
         numbers = np.bincount(owner[symbols == grammar.NUMBER], minlength=len(codes))
-        rest = []
         for i, (pid, path, source, code) in enumerate(files):
             suffix = PurePosixPath(path).suffix.lower()
             shape = by_shape(code, suffix)
@@ -207,19 +216,9 @@ def judge(rows: list[tuple]) -> list[list]:
             # code as varied as hand-written code is told by the marks that tools leave
             reason = reason or shape or by_path(path) or by_header(code)
             if reason:
-                out.append((pid, path, source, reason, None, None))
-            else:
-                rest.append((pid, path, source, code))
-        lines, of = _line_symbols([x[3] for x in rest])
-        lg = grammar.infer(lines, of, len(rest))
-        for i, (pid, path, source, _) in enumerate(rest):
-            if source and lg.terminals[i] >= SHARED_LINES:
-                out.append((pid, path, source, None, int(lg.whole[i].astype(np.int64)), 1.0))
-        for r in np.flatnonzero(lg.rule_size >= SHARED_LINES):
-            pid, path, source, _ = rest[lg.rule_text[r]]
-            if source:
-                share = float(lg.rule_size[r] * lg.rule_uses[r] / lg.terminals[lg.rule_text[r]])
-                out.append((pid, path, source, None, int(lg.rule_name[r].astype(np.int64)), share))
+                out.append((pid, path, source, reason, None))
+            elif source and (runs := windows(code)):
+                out.append((pid, path, source, None, runs))
     return [list(x) for x in zip(*out)] if out else []
 
 
@@ -227,14 +226,23 @@ def not_hand_written(projects: DataFrame) -> DataFrame:
     """(project_id, file, reason) of the files that are generated, minified, vendored or data."""
     source = F.lower(F.trim(F.col("source").cast("string"))).alias("source")
     df = projects.select(F.col("id").cast("bigint").alias("id"), source, F.col("chunks_json").cast("string").alias("chunks_json"), F.col("stats_json").cast("string").alias("stats_json"))
-    judged = materialise(map_blocks(df, judge, "project_id bigint, file string, source string, reason string, rule bigint, share double"))
+    judged = materialise(map_blocks(df, judge, "project_id bigint, file string, source string, reason string, windows array<bigint>"))
     own = judged.where("reason is not null").select("project_id", "file", "reason").distinct()
-    rules = judged.where("rule is not null")
-    # repositories of each rule, counted in two steps: a rule that a third of all files share fits no single task
-    shared = rules.select("rule", "source").distinct().groupBy("rule").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= REPOSITORIES).select("rule")
+    files = judged.where("windows is not null").withColumn("n", F.monotonically_increasing_id())
+    placed = files.select("n", "source", F.posexplode("windows").alias("at", "run")).where("run is not null")
+    # repositories of each run, counted in two steps: a run that a third of all files share fits no single task
+    shared = placed.select("run", "source").distinct().groupBy("run").agg(F.count(F.lit(1)).alias("sources")).where(F.col("sources") >= REPOSITORIES)
+    hits = placed.join(shared, "run")
+    # a repository is one of just enough through the fullest of its copies; a file that repeats a part of that is its own
+    few = hits.where(F.col("sources") == REPOSITORIES).join(hits.groupBy("n").agg(F.count(F.lit(1)).alias("held")), "n")
+    fullest = few.groupBy("run", "source").agg(F.max("held").alias("held"))
+    counted = hits.where(F.col("sources") > REPOSITORIES).select("n", "at").unionByName(few.join(fullest, ["run", "source", "held"], "left_semi").select("n", "at"))
+    # of each file the lines below shared runs, overlapping runs counted once; place 0 is the file as a whole
+    gaps = f"zip_with(slice(ats, 2, size(ats)), slice(ats, 1, size(ats) - 1), (b, a) -> least(b - a, {SHARED_LINES}))"
     covered = (
-        rules.join(shared, "rule", "left_semi").groupBy("project_id", "file", "rule").agg(F.max("share").alias("share"))
-        .groupBy("project_id", "file").agg(F.sum("share").alias("share"))
-        .where(F.col("share") >= SHARED_COVER).select("project_id", "file", F.lit("vendored").alias("reason"))
+        counted.groupBy("n").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+        .join(files.select("n", "project_id", "file", (F.size("windows") + SHARED_LINES - 2).alias("of")), "n")
+        .withColumn("lines", F.expr(f"if(ats[0] = 0, of, aggregate({gaps}, {SHARED_LINES}, (s, x) -> s + x))"))
+        .where(F.col("lines") >= SHARED_COVER * F.col("of")).select("project_id", "file", F.lit("vendored").alias("reason")).distinct()
     )
     return own.unionByName(covered)

@@ -47,7 +47,7 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_CHARS) -> Itera
 
 
 def arrow_schema(schema: str) -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
     return pa.schema([(n, kinds[k]) for n, k in (f.split() for f in schema.split(", "))])
 
 

@@ -80,3 +80,26 @@ def test_frame(spark):
     ]
     assert A.not_hand_written(df.where("source = 'a'")).where("file = 'util.py'").count() == 0
     assert A.not_hand_written(df.limit(0)).count() == 0
+
+
+def test_patched_copies(spark):
+    gen = random.Random(19)
+    name = lambda: "".join(gen.choice("abcdefghij") for _ in range(6))
+    line = lambda: gen.choice(["{0} = {1}[{2}]", "{0}({1}, {2})", "{0} = {1} + {2} * {3}", "{0}.{1} = [{2}]", "assert {0} in {1}", "{0} = {{'{1}': {2}, '{3}': {0}}}", "del {0}[{1}:{2}]", "{0} = {1}({2}).{3}"]).format(*(name() for _ in range(4)))
+    block = lambda n: "\n".join([f"def {name()}({name()}):"] + ["    " + line() for _ in range(n - 1)])
+    body = [block(4) for _ in range(10)]
+    code = "\n".join(body)
+    copies = [code, "# our header\n" + code.replace(body[2], body[2] + "  # patched"), code.replace(body[5], "x = 1"), "import os\n\n" + "\n".join(body[:8])]
+    rows = [(i, f"repo{i}", json.dumps([{"id": "c0", "file": f"p{i}.py", "text": x}]), None) for i, x in enumerate(copies)]
+    # seen through other chunks
+    rows.append((8, "repo8", json.dumps([{"id": f"c{k}", "file": "p8.py", "text": "\n".join(body[k : k + 5]), "start_line": 1 + 4 * k} for k in (0, 5)]), None))
+    # one block of a file that is otherwise its own, two repositories only, and a repeat of a project
+    own = "\n".join(block(6) for _ in range(6))
+    two = "\n".join(block(6) for _ in range(6))
+    rows += [(10 + i, f"repo{i % 2}", json.dumps([{"id": "c0", "file": "two.py", "text": two}]), None) for i in range(4)] + rows[:1]
+    # the same check over and over is no copy
+    idiom = "\tif rows == nil {\n\t\treturn nil\n\t}\n" * 3
+    rows += [(20 + i, f"repo{i}", json.dumps([{"id": "c0", "file": "i.go", "text": f"func {name()}(rows []string) []string {{\n{idiom}\treturn nil\n}}\n"}]), None) for i in range(4)]
+    df = spark.createDataFrame(rows, "id bigint, source string, chunks_json string, stats_json string")
+    got = sorted(map(tuple, A.not_hand_written(df).collect()))
+    assert got == [(i, f"p{i}.py", "vendored") for i in (0, 1, 2, 3, 8)]
