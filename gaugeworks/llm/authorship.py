@@ -68,6 +68,13 @@ OWNER = re.compile(r"(?i)copyright|\(c\)\s|©|licen[sc]e")
 UPSTREAM = re.compile(r"(?i)\bv?\d+\.\d+\.\d+\b|upstream|@preserve|@license|contributors")
 _HEAD = re.compile(r"^(?:[\w#+ ]+ file [^\n]*\n(?:Content \(lines[^\n]*\n)?|Notebook [^\n]*\n|Module-level constant[^\n]*\n(?:Code:\n)?|(?:Async f|F)unction [^\n]* in [^\n]*\n|Class [^\n]* in [^\n]*\n)")
 _COMMENT_LINE = re.compile(r"^\s*(?:#|//|/\*|\*|--|;|<!--|%|'|\"\"\")")
+#: Comments that go on to a closing mark.
+_BLOCKS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"))
+_EDGE = re.compile(r"^[\s#/*;%!\-'\"=]+")
+#: What may stand before a mark in the line that a tool writes, and what follows it in the text of a licence.
+_SUBJECT = re.compile(r"(?i)(?:(?:note|warning|attention|caution)\b\W*)?(?:please\s+)?(?:(?:this|the)\s+)?(?:(?:source|code|file|class|stub|module|header|script|was|is|been|has|automatically)\s+)*")
+_LEGAL = re.compile(r"(?i)\s+(?:(?:the|this|these|its|any)\s+)?(?:licen[sc]e|terms|notice|copyright)")
+_RELEASE = re.compile(r"(?i)\bv?\d+\.\d+\.\d+\b(?!\.\d)|@preserve")
 _LITERAL = re.compile(r"[\"'`]([A-Za-z0-9+/=_\-]{40,})[\"'`\\]")
 
 
@@ -96,20 +103,46 @@ def content_of(text: str) -> str:
     return text[m.end() :]
 
 
+def _leading_comment(code: str) -> list[tuple[str, bool]]:
+    """The lines of the comments that a file begins with, and whether each carries a comment mark of its own."""
+    out, closing = [], ""
+    for line in code.lstrip("\ufeff\n ").split("\n"):
+        bare = line.strip()
+        if closing:
+            out.append((line, bool(_COMMENT_LINE.match(line))))
+            if closing in bare:
+                closing = ""
+            continue
+        if bare and not _COMMENT_LINE.match(line):
+            break
+        out.append((line, True))
+        for opening, end in _BLOCKS:
+            if bare.startswith(opening):
+                closing = "" if end in bare[len(opening) :] else end
+                break
+    return out
+
+
+def _tool_line(line: str) -> bool:
+    """Whether a line is a tool's mark rather than a sentence that speaks of generated things."""
+    bare = _EDGE.sub("", line)
+    for m in GENERATOR_MARK.finditer(bare):
+        if not _LEGAL.match(bare, m.end()) and (_SUBJECT.fullmatch(bare, 0, m.start()) or m.group().startswith(("@", "<")) or m.group().isupper()):
+            return True
+    return False
+
+
 def by_header(code: str) -> str | None:
     """What the comments at the top of a file tell."""
-    top = []
-    for line in code.lstrip("﻿\n ").split("\n")[:14]:
-        if line.strip() and not _COMMENT_LINE.match(line):
-            break
-        top.append(line)
-    head = "\n".join(top)
-    if not head:
-        return None
-    # a tool's mark stands in the first lines; below, a comment may speak of generated things
-    if any(GENERATOR_MARK.search(x) for x in top[:6]):
+    top = _leading_comment(code)
+    # the first lines that carry comment marks themselves; below, a comment may speak of generated things
+    first = next((i for i, (_, marked) in enumerate(top[:14]) if not marked), min(14, len(top)))
+    if any(GENERATOR_MARK.search(x) for x, _ in top[: min(first, 6)]) or any(_tool_line(x) for x, _ in top[min(first, 6) :]):
         return "generated"
-    if OWNER.search(head) and UPSTREAM.search(head):
+    head = "\n".join(x for x, _ in top[:first])
+    owner = OWNER.search("\n".join(x for x, _ in top))
+    # below, the text of a licence speaks of contributors and licences
+    if owner and (UPSTREAM.search(head) or any(OWNER.search(x) and UPSTREAM.search(x) or _RELEASE.search(x) for x, _ in top[first:])):
         return "vendored"
     return None
 

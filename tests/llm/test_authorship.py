@@ -103,3 +103,20 @@ def test_patched_copies(spark):
     df = spark.createDataFrame(rows, "id bigint, source string, chunks_json string, stats_json string")
     got = sorted(map(tuple, A.not_hand_written(df).collect()))
     assert got == [(i, f"p{i}.py", "vendored") for i in (0, 1, 2, 3, 8)]
+
+
+def test_marks_below_a_licence():
+    licence = [
+        "Licensed to the Foundation under one or more agreements; see the NOTICE file.", "You may obtain a copy of the License at", "", "    https://licences.example/LICENSE-2.0", "",
+        "Unless required by applicable law or agreed to in writing, software", "distributed under the License is distributed on an AS IS basis,", "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "The contents of the NOTICE file are for information only and", "do not modify the License.", "See the License for the specific language governing permissions and", "limitations under the License.", "",
+    ]
+    slashes = "\n".join(f"// {x}" for x in licence) + "\n"
+    block = "/*\n" + "\n".join(licence) + "\n*/\n\n"
+    for head in (slashes, slashes * 3, block, "/*\n * " + "\n * ".join(licence) + "\n */\n"):
+        assert judge("src/x.go", head + HAND) is None
+        for mark in ("// Code generated by client-gen. DO NOT EDIT.", "// This file was automatically generated by foo v1", "/* @generated */", "// Automatisch erzeugt durch foo.", "// NOTE: this file is generated by protogen"):
+            assert judge("src/x.go", head + mark + "\n\n" + HAND) == "generated", (head, mark)
+        for said in ("// lists the pages generated by the weekly job", "// Readers should see the file generated by w.go", "// the code here must not change: callers do not edit rows"):
+            assert judge("src/x.go", head + said + "\n" + HAND) is None, said
+    assert judge("src/x.js", block.replace("*/", "kit v2.1.0, Copyright 2014 the kit team\n*/") + HAND) == "vendored"
