@@ -66,6 +66,16 @@ BY_SUFFIX = {
     ".java": _TYPED, ".cs": _TYPED, ".c": _TYPED, ".h": _TYPED, ".cc": _TYPED, ".cpp": _TYPED, ".hpp": _TYPED, ".kt": _TYPED,
     ".go": _GO, ".r": _R, ".sh": _SH, ".bash": _SH, ".sql": _SQL, ".py": _PY, ".ipynb": _PY,
 }
+#: What tells a language where the suffix doesn't.
+_SIGNS = (
+    (_PY, re.compile(r"(?m)^[ \t]*(?:async[ ]+)?def[ ]+\w+[ ]*(?:\[[^\]\n]*\])?\(")),
+    (_GO, re.compile(r"(?m)^func[ ]+(?:\([^)\n]*\)[ ]*)?\w+(?:\[[^\]\n]*\])?\(")),
+    (_R, re.compile(r"<<?-[ ]*function[ ]*\(")),
+    (_SQL, re.compile(r"(?mi)^[ \t]*create[ ]+(?:or[ ]+(?:replace|alter)[ ]+)?(?:function|procedure)[ ]")),
+    (_SH, re.compile(r"(?m)^[ \t]*(?:function[ ]+[\w\-.:]+[ ]*(?:\([ ]*\))?|[\w\-.:]+[ ]*\([ ]*\))\s*\{")),
+    (_JS, re.compile(r"\bfunction\b|=>|\b(?:const|let)[ ]")),
+    (_TYPED, re.compile(r"(?m)^[ \t]*(?:[\w.<>\[\],?*&:]+[ \t*&]+)+[A-Za-z_~][\w:]*[ ]*\([^;{}]*\)[^;{}()]*\{")),
+)
 #: What a chunk of a language must hold at least for a documented function.
 _NEEDS = {_JS: ("//", "/*"), _TYPED: ("//", "/*"), _GO: ("//", "/*"), _R: ("#",), _SH: ("#",), _SQL: ("--", "/*")}
 
@@ -142,8 +152,16 @@ def pairs(text: str, file: str, kind: str = "") -> list[tuple[str, str, str, str
     head = _HEAD.match(text)
     suffix = PurePosixPath(file).suffix.lower()
     pattern = BY_SUFFIX.get(suffix) or (_PY if text.startswith(("Function ", "Async function ")) else None)
-    if pattern is None:
-        return out
+    if pattern is None or suffix == ".ipynb" and not head:
+        # languages by what the text holds; a chunk without a file is none of a source
+        patterns = [p for p, sign in _SIGNS if sign.search(text)] if file else []
+        if patterns and patterns != [_PY]:
+            code = _python_code(text, file)
+            found = [_python(code) if p is _PY else _braced(code, p) for p in patterns]
+            return max(found, key=len)
+        if pattern is None and not patterns:
+            return out
+        pattern = _PY
     if pattern is _PY:
         out = _python(_python_code(text, file)) if "def " in text else []
         # the chunk's own documentation line stands for a docstring that was cut off
@@ -153,10 +171,17 @@ def pairs(text: str, file: str, kind: str = "") -> list[tuple[str, str, str, str
                 code = text[head.end() :].lstrip("\n")
                 out.append((name, description, code.split("\n", 1)[0].strip(), code))
         return out
-    if not any(x in text for x in _NEEDS[pattern]):
+    return _braced(text, pattern)
+
+
+def _braced(code: str, pattern) -> list[tuple[str, str, str, str]]:
+    out: list[tuple[str, str, str, str]] = []
+    if not any(x in code for x in _NEEDS[pattern]):
         return out
-    code = text
-    for m in pattern.finditer(code):
+    at = 0
+    while m := pattern.search(code, at):
+        # functions nested in a body are looked at too
+        at = max(m.end("sig"), m.start() + 1)
         groups = m.groupdict()
         name = next((groups[k] for k in ("n1", "n2", "n3", "n4") if groups.get(k)), "").strip("`").split(".")[-1].split("::")[-1]
         description = describe(m.group("doc"))

@@ -59,3 +59,22 @@ def test_frame(spark):
     assert sorted(map(tuple, D.documented_functions(df).collect())) == [(1, "c0", "one"), (1, "c0", "two")]
     assert D.code_description_pairs(df).count() == 2
     assert D.documented_functions(df.limit(0)).count() == 0
+
+
+def test_functions_in_bodies():
+    for suffix, code in {
+        ".js": f"// setup\nfunction make() {{\n  // {LONG}\n  function inner(a) {{ return a; }}\n\n  /** {LONG} */\n  const other = (b) => {{\n    return b;\n  }};\n  return inner;\n}}\n",
+        ".go": f"// setup\nfunc outer() {{\n// {LONG}\nfunc inner() {{\n}}\n}}\n",
+        ".R": f"# setup\nouter <- function(a) {{\n  # {LONG}\n  inner <- function(b) {{ b }}\n  inner\n}}\n",
+        ".sh": f"# setup\nouter() {{\n  # {LONG}\n  inner() {{\n    :\n  }}\n}}\n",
+        ".cs": f"// setup\npublic int outer() {{\n  // {LONG}\n  int inner(int a) {{ return a; }}\n  return inner(1);\n}}\n",
+    }.items():
+        assert names(code, "a" + suffix) == (["inner", "other"] if suffix == ".js" else ["inner"]), suffix
+
+
+def test_languages_by_content():
+    for suffix in (".js", ".java", ".go", ".R", ".sh", ".sql", ".c", ".cs", ".py"):
+        assert names(CASES[suffix], "a.inc") == ["one", "two"], suffix
+    for suffix in (".R", ".js"):
+        assert names(f"Notebook a.ipynb, code cell 1 (cells 1-1):\n{CASES[suffix]}", "a.ipynb") == ["one", "two"], suffix
+    assert names("The function of this text is to say something, and no more than that.\n", "a.md") == []
