@@ -213,7 +213,25 @@ def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _weigh(pair: Pair, line: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+_POLISH = re.compile(
+    r"(?<=[aeiouyóêæ])œ|œ(?=[æwpk])|ñ(?=[bcdfghjklmnprstwz])|(?<=[a-zóœæ])ñ(?!\w)|(?<=[aeiyuóœ])æ(?!\w)|(?<=i)ê(?=[cdkgbp]|(?!\w))|(?<=z)ê(?!\w)|(?<=[a-zóœæê])[ŸŒ](?=[a-zœæê]|(?!\w))"
+    r"|(?<=[a-zó])[¼¶](?=[a-z])"
+)
+#: Of pairs that turn letters into letters: where no language that writes the garbled letters has them.
+MISPLACED = {("cp1250", "cp1252"): _POLISH, ("iso8859-2", "latin-1"): _POLISH, ("mac_roman", "cp1252"): re.compile(r"(?<=[a-zš§])[ŠŸŽ](?=[a-zš§]|(?!\w))")}
+_MAY_BE_MISPLACED = re.compile("[œñæêŸŒ¼¶ŠŽ]")
+#: Misplaced letters in a document from which its lines with such letters are garbled.
+MISPLACED_LEAST = 2
+
+
+def _misplaced(text: str) -> frozenset[tuple[str, str]]:
+    """The pairs for which the letters of a whole text, without quoted ones, are evidence enough."""
+    if not _MAY_BE_MISPLACED.search(text):
+        return frozenset()
+    return frozenset(k for k, p in MISPLACED.items() if sum(not _quoted(text, *m.span()) for m in p.finditer(text)) >= MISPLACED_LEAST)
+
+
+def _weigh(pair: Pair, line: str, spans: list[tuple[int, int]], pooled: frozenset = frozenset()) -> list[tuple[int, int]]:
     """The spans that count as garbled; none if the evidence of the pair in this line is too weak."""
     if pair.kind == "utf8":
         return spans
@@ -247,7 +265,9 @@ def _weigh(pair: Pair, line: str, spans: list[tuple[int, int]]) -> list[tuple[in
             strong += 1 + (near[0] and near[1])
         elif any(near):
             weak += 1
-    if strong >= 2 and (strong >= 3 or weak >= 1):
+    key = pair.true, pair.wrong
+    at = {m.start() for m in MISPLACED[key].finditer(line)} if key in pooled else ()
+    if strong >= 2 and (strong >= 3 or weak >= 1) or any(a in at for a, _ in spans):
         # runs of them are parts of words too
         return [x for a, b in _runs(spans) if (a and line[a - 1].isalpha()) or (b < len(line) and line[b].isalpha()) for x in spans if a <= x[0] < b]
     return []
@@ -319,13 +339,13 @@ def _best(line: str, weighed: dict[Pair, list[tuple[int, int]]]) -> Pair:
     return max(tied, key=lambda p: (ordinary(p), p.kind == "utf8", -UTF8_READ_AS.index(p.wrong) if p.kind == "utf8" else 0))
 
 
-def _line(line: str) -> tuple[str, bool, bool]:
+def _line(line: str, pooled: frozenset = frozenset()) -> tuple[str, bool, bool]:
     """(the line restored, whether it was garbled, whether some of it couldn't be restored)."""
     garbled = lost = False
     for _ in range(ROUNDS):
         if line.isascii():
             break
-        weighed = {p: w for p, s in _spans(line).items() if (w := _weigh(p, line, s))}
+        weighed = {p: w for p, s in _spans(line).items() if (w := _weigh(p, line, s, pooled))}
         if not weighed:
             break
         garbled = True
@@ -360,9 +380,10 @@ def repair(text: str | None) -> tuple[str | None, bool, bool]:
         return text, False, True
     garbled = lost = False
     lines = text.split("\n")
+    pooled = _misplaced(text)
     for i, line in enumerate(lines):
         if not line.isascii():
-            lines[i], g, x = _line(line)
+            lines[i], g, x = _line(line, pooled)
             garbled |= g
             lost |= x
     return ("\n".join(lines) if garbled else text), garbled, not lost

@@ -71,3 +71,16 @@ def test_frame(spark):
     assert sorted(r.doc_id for r in M.garbled_documents(df).collect()) == [1, 5]
     assert {r.text for r in M.repaired(df).where("doc_id = 1").collect()} == {TEXTS[0]}
     assert M.garbled_documents(df.limit(0)).count() == 0
+
+
+def test_letters_read_as_letters():
+    for t in ("Proszę wyjaśnić, dlaczego wartość jest pusta po kroku 927.", "Później późniejsza odpowiedź zostanie usunięta z pamięci."):
+        for true, bad in (("cp1250", "cp1252"), ("iso8859-2", "latin-1")):
+            assert M.repair("".join(M.TABLES[bad][b] for b in t.encode(true)))[:2] == (t, True), (t, true)
+    # evidence of short lines counts together
+    t = "Trzeba to\nwyjaśnić\ndziś, bo jest\nwartość\npusta"
+    assert M.repair(t.encode("cp1250").decode("cp1252"))[:2] == (t, True)
+    t = "Die Prüfung läuft für alle Träger und Märkte."
+    assert M.repair(t.encode("mac_roman").decode("cp1252"))[:2] == (t, True)
+    for t in ("El niño añade una señal.\nVocê lê a ciência e a experiência.\nLe cœur, l’œdème et le fœtus.", "Hun skal være med og læse; larvæ, formulæ.", "Škoda řídí, Žižka šel; MŠMT", "DŸ"):
+        assert M.repair(t) == (t, False, True), t
