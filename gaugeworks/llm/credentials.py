@@ -85,7 +85,7 @@ PLACED = {
     "basic_call": _d(r"(?:basicauth|basic_auth|credentials?|login|getconnection|usernamepassword[a-z]*)[ ]?\([^()\n]{0,120}?,[ ]*" + _QUOTED),
     "connection": _d(r"(?:pwd|password)=(?P<v>(?=(?:[^;\s\"'$<{&]|\$(?![{(A-Za-z_])){6})(?:[^;\s\"'$<{&]++|\$(?![{(A-Za-z_]))++)[;\"']"),
     "sql": _d(r"(?:password|identified by)[ ]+" + _QUOTED),
-    "prose": _d(r"(?:password|passwort|passphrase|mot de passe|contraseña|senha|token|secret|api key)(?:[ ]+is|[ ]*:)?[ ]+[`\"']?(?P<v>[^\s`\"',;()]{8,})"),
+    "prose": _d(r"(?:password|passwort|passphrase|mot de passe|contrase[ñÑ]a|senha|token|secret|api key)(?:[ ]+is|[ ]*:)?[ ]+[`\"']?(?P<v>[^\s`\"',;()]{8,})"),
     "compare": _d(r"[!=]=[ ]*(?P<q>[\"'])(?P<v>(?=\S)(?:(?!(?P=q))[^\\\n]|\\[\s\S]){8,}+)(?P=q)[^\n]{0,40}(?:#|//|--)[^\n]{0,60}(?:login|passw|admin|auth|secret)"),
     "named": _d(NAME + r"[a-z0-9_\-]{0,24}[\"'\]]{0,2}[ \t]*(?::[ ]*[a-z]{3,12}[ ]*)?(?:=>|<-|:=|={1,2}|:|,)[ \t]*\(?\s*" + _QUOTED),
     "named_bare": _d(NAME + r"[a-z0-9_\-]{0,24}[ \t]*(?:=|:)[ \t]*" + _BARE),

@@ -2,7 +2,8 @@
 
 ``query_of(pattern)`` walks the parsed expression and returns a formula in conjunctive form: a list of clauses, each a
 set of alternatives, each a set of trigrams that must all occur. A text that the expression can match satisfies every
-clause, so postings decide which texts are worth a run of the expression. Everything is folded to lower-case ASCII bytes.
+clause, so postings decide which texts are worth a run of the expression. Both sides are UTF-8 bytes with ASCII letters in
+lower case; letters beyond ASCII keep their case, as they do in expressions compiled with ``re.A``.
 """
 
 import re
@@ -18,16 +19,22 @@ MAX_CLASS = 8
 
 
 def _trigrams(s: str) -> frozenset[str]:
+    """The trigrams of the UTF-8 bytes of a string, each byte written as one character."""
+    s = s.encode("utf-8").decode("latin-1")
     return frozenset(s[i : i + 3] for i in range(len(s) - 2))
 
 
+def _fold(c: int) -> str:
+    return chr(c).lower() if c < 128 else chr(c)
+
+
 def _class(items) -> set[str] | None:
     out: set[str] = set()
     for op, arg in items:
         if op is sre.LITERAL:
-            out.add(chr(arg).lower())
+            out.add(_fold(arg))
         elif op is sre.RANGE and arg[1] - arg[0] < MAX_CLASS:
-            out |= {chr(c).lower() for c in range(arg[0], arg[1] + 1)}
+            out |= {_fold(c) for c in range(arg[0], arg[1] + 1)}
         else:
             return None
         if len(out) > MAX_CLASS:
@@ -64,7 +71,7 @@ def _strings(seq) -> set[str] | None:
     out = {""}
     for op, arg in seq:
         if op is sre.LITERAL:
-            more = {chr(arg).lower()}
+            more = {_fold(arg)}
         elif op is sre.IN:
             more = _class(arg)
         elif op is sre.SUBPATTERN:
@@ -127,6 +134,8 @@ def prefixes_of(pattern: re.Pattern) -> list[str]:
     seq, out = list(parser.parse(pattern.pattern, pattern.flags)), {""}
     for item in seq:
         more = _strings([item])
+        # places are looked for in the text in lower case
+        more = None if more is None else {x.lower() for x in more}
         if more is None or len(out) * len(more) > MAX_STRINGS:
             break
         out = {a + b for a in out for b in more}
