@@ -1,12 +1,14 @@
 """Evaluation texts that leaked into documents.
 
-Items and documents become sequences of words. Wu-Manber search over words finds the places where ``SEED`` consecutive
+Items and documents become sequences of words. Wu-Manber search over words finds the places where a few consecutive
 words of an item stand in a document: a shift table over blocks of two words skips what can't end a pattern, a hash of
 the pattern's last words selects the patterns of a place, direct comparison confirms. From each seed the match is
 extended word by word, and a document is reported with an item if at least ``MIN_WORDS`` consecutive words of it are
-there with at most one word in ``PER_CHANGE`` changed or left out.
+there with at most one word in ``PER_CHANGE`` changed or left out. A match begins and ends with words that agree.
 
-The seed length follows from that: in n >= 12 words with at most n // 8 changes some run of unchanged words has five.
+The length of the patterns follows from that (``least_run``): in n >= 12 words with at most n // 8 changes some run of
+unchanged words has five; where marks of options stand between the words, which count but may be written in any way, a
+run may be shorter, and so are the patterns then.
 
 The items are the stated query set (broadcast after a check of their size, in blocks beyond it); every document is read
 whole. Defined results: null or empty texts match nothing; an item with fewer than ``MIN_WORDS`` words never leaks;
@@ -24,18 +26,20 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.spread import spread
 
+#: Words of a pattern at most; items whose matches may hold only shorter runs shorten it for all.
 SEED = 5
 BLOCK = 2
 MIN_WORDS = 12
 PER_CHANGE = 8
-#: Changes in a row without a word that agrees, after which a match ends.
-GIVE_UP = 3
 #: Characters of item texts that one pass over the documents searches for; more items are searched in several passes.
 PASS_CHARS = 20_000_000
 
 # words: letters and digits with what holds identifiers and contractions together
 _WORD = re.compile(r"[^\W_]+(?:[_'][^\W_]+)*")
-_MARKUP = re.compile(r"<(?:/?[A-Za-z][^<>\n]{0,200}|!--.{0,200}?--)>", re.S)
+# tags of any length: in one line, or over several lines if all of it is attributes with values; comments up to their end
+_MARKUP = re.compile(
+    r"<(?:/?[A-Za-z][^<>\n]*+>|[A-Za-z][\w:-]*+(?:\s++[\w:@.-]++\s*+=\s*+(?:\"[^\"<>]*+\"|'[^'<>]*+'|[^\s\"'<>=]++))++\s*+/?>|!--(?:[^-]|-(?!->))*+-->)"
+)
 _SOFT = {"’": "'", "‘": "'", "ʼ": "'", "\u00ad": "", "\u200b": "", "\u200c": "", "\u200d": "", "\ufeff": "", "\u2060": ""}
 #: Marks of options: they stand between the words of an item but may be written in any way.
 _MARKERS = frozenset("a b c d e f g h 1 2 3 4 5 6 7 8 i ii iii iv v vi reason grund begründung raison justification".split())
@@ -61,8 +65,25 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def least_run(place: list[int]) -> int:
+    """The longest run of unchanged words that every match of an item must hold; ``place``: of its words among all words."""
+    least, n = SEED, len(place)
+    for a in range(n):
+        changes, b = 1, a
+        while changes <= n:
+            span = max(MIN_WORDS, PER_CHANGE * changes)
+            while b < n and place[b] - place[a] + 1 < span:
+                b += 1
+            if b == n:
+                break
+            changes = (place[b] - place[a] + 1) // PER_CHANGE
+            least = min(least, -(-(b - a + 1 - changes) // (changes + 1)))
+            changes += 1
+    return max(least, BLOCK)
+
+
 class Searcher:
-    """Wu-Manber tables for all windows of ``SEED`` words of the items."""
+    """Wu-Manber tables for all windows of ``self.seed`` words of the items."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids = [i for i, _ in items]
@@ -75,22 +96,23 @@ class Searcher:
             kept = [(p, w) for p, w in enumerate(all_words) if w not in _MARKERS]
             self.items.append([self.number.setdefault(w, len(self.number) + 1) for _, w in kept])
             self.place.append([p for p, _ in kept])
-        self.default = SEED - BLOCK + 1
+        long_enough = [k for k, p in enumerate(self.place) if p and p[-1] - p[0] + 1 >= MIN_WORDS]
+        self.seed = seed = min((least_run(self.place[k]) for k in long_enough), default=SEED)
+        self.default = seed - BLOCK + 1
         self.shift: dict[int, int] = {}
         self.bucket: dict[int, list[tuple[int, int]]] = {}
-        for k, seq in enumerate(self.items):
-            if not seq or self.place[k][-1] + 1 < MIN_WORDS:
-                continue
-            for at in range(len(seq) - SEED + 1):
-                for j in range(BLOCK, SEED + 1):
+        for k in long_enough:
+            seq = self.items[k]
+            for at in range(len(seq) - seed + 1):
+                for j in range(BLOCK, seed + 1):
                     block = seq[at + j - BLOCK] << 32 | seq[at + j - 1]
-                    self.shift[block] = min(self.shift.get(block, self.default), SEED - j)
-                self.bucket.setdefault(self._suffix(seq, at + SEED - 1), []).append((k, at))
+                    self.shift[block] = min(self.shift.get(block, self.default), seed - j)
+                self.bucket.setdefault(self._suffix(seq, at + seed - 1), []).append((k, at))
 
-    @staticmethod
-    def _suffix(seq: list[int], end: int) -> int:
-        """Hash of the last three words of a pattern."""
-        return (seq[end - 2] * 1_000_003 + seq[end - 1]) * 1_000_003 + seq[end]
+    def _suffix(self, seq: list[int], end: int) -> int:
+        """Hash of the last words of a pattern, three at most."""
+        h = seq[end - 1] * 1_000_003 + seq[end]
+        return h if self.seed == BLOCK else h + seq[end - 2] * 998_244_353_000_003
 
     def encode(self, text: str | None) -> list[int]:
         """Numbers of the words of a document; 0 for words that are in no item."""
@@ -98,23 +120,23 @@ class Searcher:
         return [get(w, 0) for w in words(text) if w not in _MARKERS]
 
     def seeds(self, seq: list[int]):
-        """(item, place in item, place in document) of every window of ``SEED`` words that an item shares."""
-        shift, bucket, items, default = self.shift, self.bucket, self.items, self.default
-        n, at = len(seq), SEED - 1
+        """(item, place in item, place in document) of every window of ``self.seed`` words that an item shares."""
+        shift, bucket, items, default, seed = self.shift, self.bucket, self.items, self.default, self.seed
+        n, at = len(seq), seed - 1
         while at < n:
             step = shift.get(seq[at - 1] << 32 | seq[at], default)
             if step:
                 at += step
                 continue
             for k, start in bucket.get(self._suffix(seq, at), ()):
-                if items[k][start : start + SEED] == seq[at - SEED + 1 : at + 1]:
-                    yield k, start, at - SEED + 1
+                if items[k][start : start + seed] == seq[at - seed + 1 : at + 1]:
+                    yield k, start, at - seed + 1
             at += 1
 
     def leaked(self, text: str | None) -> list[int]:
         """Ids of the items that the text holds."""
         seq = self.encode(text)
-        if len(seq) < SEED:
+        if len(seq) < self.seed:
             return []
         hit: set[int] = set()
         # of each diagonal the place in the document up to which an exact run was extended
@@ -123,7 +145,7 @@ class Searcher:
             # seeds of one exact run belong to one match; each run of a diagonal is extended both ways
             if k in hit or at < tried.get((k, at - start), 0):
                 continue
-            item, b, j = self.items[k], start + SEED, at + SEED
+            item, b, j = self.items[k], start + self.seed, at + self.seed
             while b < len(item) and j < len(seq) and item[b] == seq[j]:
                 b, j = b + 1, j + 1
             tried[k, at - start] = j
@@ -133,8 +155,8 @@ class Searcher:
 
     def _matches(self, k: int, start: int, seq: list[int], at: int) -> bool:
         item, place = self.items[k], self.place[k]
-        a, b, end_i, end_d = start, start + SEED, len(item), len(seq)
-        j = at + SEED
+        a, b, end_i, end_d = start, start + self.seed, len(item), len(seq)
+        j = at + self.seed
         while b < end_i and j < end_d and item[b] == seq[j]:
             b, j = b + 1, j + 1
         i = at
@@ -142,8 +164,10 @@ class Searcher:
             a, i = a - 1, i - 1
         if place[b - 1] - place[a] + 1 >= MIN_WORDS:
             return True
-        right = _extend(item, b, 1, seq, j)
-        left = _extend(item, a - 1, -1, seq, i - 1)
+        # no match of the item can hold more changes
+        most = (place[-1] - place[0] + 1) // PER_CHANGE
+        right = _extend(item, b, 1, seq, j, most)
+        left = _extend(item, a - 1, -1, seq, i - 1, most)
         # left and right ends by their cost: the window is long enough if both together stay within one change in eight
         for cost_l, reach_l in enumerate(left):
             lo = a if reach_l < 0 else reach_l
@@ -155,28 +179,25 @@ class Searcher:
         return False
 
 
-def _extend(item: list[int], at: int, step: int, seq: list[int], j: int) -> list[int]:
-    """Per number of changes the furthest place of the item beyond ``at`` that agrees (-1: none).
+def _extend(item: list[int], at: int, step: int, seq: list[int], j: int, most: int) -> list[int]:
+    """Per number of changes, up to ``most``, the furthest place of the item beyond ``at`` that agrees (-1: none).
 
-    A change replaces a word, leaves it out or puts one in. The search ends once ``GIVE_UP`` further changes bring no
-    further word that agrees.
+    A change replaces a word, leaves it out or puts one in.
     """
     n, m = len(item), len(seq)
     # of each diagonal the furthest place of the item that the present number of changes reaches
     front = {j - at: (at, j)}
     best: list[int] = []
-    reach, idle = -1, 0
-    while front and idle <= GIVE_UP:
-        further = False
+    reach, last = -1, n - 1 if step > 0 else 0
+    while front and len(best) <= most and reach != last:
         for d, (p, q) in front.items():
             p0 = p
             while 0 <= p < n and 0 <= q < m and item[p] == seq[q]:
                 p, q = p + step, q + step
             front[d] = (p, q)
             if p != p0 and (reach < 0 or (p - step - reach) * step > 0):
-                reach, further = p - step, True
+                reach = p - step
         best.append(reach)
-        idle = 0 if further else idle + 1
         new: dict[int, tuple[int, int]] = {}
         for p, q in front.values():
             if not 0 <= p < n:
