@@ -73,16 +73,16 @@ _BARE = (
 )
 #: Expressions that find a value by what stands before it.
 PLACED = {
-    "url_user": _d(r"[a-z][a-z0-9+.\-]{1,15}://[^\s/:@\"'`]{0,60}:(?P<v>[^\s/@\"'`]{4,})@"),
+    "url_user": _d(r"[a-z][a-z0-9+.\-]{1,15}://[^\s/:@\"'`]*+:(?P<v>[^\s/@\"'`]{4,})@"),
     "url_query": _d(r"[?&](?:key|api_?key|token|access_token|auth|secret|sig|signature|password)=(?P<v>[A-Za-z0-9_\-.%+/]{12,})"),
     "header": _d(r"(?:bearer|basic|token|apikey)[ ]+(?P<v>[A-Za-z0-9+/=_\-.~]{12,})(?=[\"'`\s]|$)"),
     "header_item": _d(
         r"[\"'](?:x-auth|x-api-key|x-auth-token|x-access-token|x-token|x-secret|api-key|apikey|authorization|private-token)[\"']\]?[ ]*[=:,][ ]*"
         + _QUOTED
     ),
-    "curl_user": _d(r"curl\b[^\n|;]{0,200}?[ ](?:-u|--user)[ =]+[\"']?[A-Za-z0-9_.\-]+:(?P<v>[^\s\"'@]{6,})"),
-    "client_flag": _d(r"(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;]{0,120}?[ ]-p(?P<v>[^\s\"'\-]\S{5,})"),
-    "basic_call": _d(r"(?:basicauth|basic_auth|credentials?|login|getconnection|usernamepassword[a-z]*)[ ]?\([^()\n]{0,120}?,[ ]*" + _QUOTED),
+    "curl_user": _d(r"curl\b[^\n|;]*?[ ](?:-u|--user)[ =]+[\"']?[A-Za-z0-9_.\-]+:(?P<v>[^\s\"'@]{6,})"),
+    "client_flag": _d(r"(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;]*?[ ]-p(?P<v>[^\s\"'\-]\S{5,})"),
+    "basic_call": _d(r"(?:basicauth|basic_auth|credentials?|login|getconnection|usernamepassword[a-z]*)[ ]?\([^()\n]*?,[ ]*" + _QUOTED),
     "connection": _d(r"(?:pwd|password)=(?P<v>(?=(?:[^;\s\"'$<{&]|\$(?![{(A-Za-z_])){6})(?:[^;\s\"'$<{&]++|\$(?![{(A-Za-z_]))++)[;\"']"),
     "sql": _d(r"(?:password|identified by)[ ]+" + _QUOTED),
     "prose": _d(r"(?:password|passwort|passphrase|mot de passe|contrase[ñÑ]a|senha|token|secret|api key)(?:[ ]+is|[ ]*:)?[ ]+[`\"']?(?P<v>[^\s`\"',;()]{8,})"),
@@ -114,6 +114,10 @@ if _UNINDEXED:
 _LOOKUP = re.compile(r"(?i)\$\{|\$\(|\{\{|%\(|<[^>]*>|^\$|^%[a-z_]+%$|getenv|environ|process\.env|settings\.|config\.|secrets?[./]|/run/|vault:")
 _MASK = re.compile(r"^(.)\1{3,}$|^[x*.\-_#]{4,}$", re.I)
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
+_KEY_NAME = re.compile(r"(?i)(?:api[_\-]?key|access[_\-]?key|auth[_\-]?key|client[_\-]?key|secret|secret[_\-]?key|token|passw(?:or)?d|pwd)$")
+# what may stand between the header of a key and its body: line ends, quotes, comment marks, and lines such as 'Version: 2'
+_KEY_GAP = r"(?:\\n|\\r|[\s\"'+\\,|>#*/;.-])*+"
+_KEY_BODY = re.compile(rf"{_KEY_GAP}(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):(?:[^\n\\]|\\(?![nr]))*+{_KEY_GAP})*+[A-Za-z0-9+/=:]{{16,}}")
 _PATH = re.compile(r"^(?:/|\./|~/|[A-Za-z]:\\)[\w./\\-]*$")
 _WORDY = re.compile(r"^[A-Za-z]+(?:[_\-. ][A-Za-z]+)*$")
 _COMMENT = re.compile(r"^\s*(?:#|//|--|\*|;|%|<!--)")
@@ -125,12 +129,23 @@ def entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in (s.count(x) for x in set(s))) if n else 0.0
 
 
+def _has_random_part(value: str) -> bool:
+    """Whether a part of a value is no word or count: letters and digits that alternate, and run in no order."""
+    for part in re.split(r"[_\-. ]+", value):
+        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(part, part[1:]))
+        if len(part) >= 8 and turns >= 3:
+            kinds = ["".join(c for c in part if c.isdigit() == d) for d in (True, False)]
+            if not all(x in run or len(set(x)) == 1 for x, run in zip(kinds, ("01234567890", "abcdefghijklmnopqrstuvwxyz"))):
+                return True
+    return False
+
+
 def is_live(value: str) -> bool:
     """Whether a literal may be a credential rather than a stand-in, a lookup, a path or a plain word."""
     low = value.lower().strip("\"'` ")
     if len(low) < 6 or _LOOKUP.search(value) or _MASK.match(low) or _UUID.match(low) or _PATH.match(value):
         return False
-    if any(low == s or low.startswith((s + "_", s + "-")) or low.endswith(("_" + s, "-" + s)) for s in STAND_INS):
+    if any(low == s or low.startswith((s + "_", s + "-")) or low.endswith(("_" + s, "-" + s)) for s in STAND_INS) and not _has_random_part(low):
         return False
     if re.search(r"(?i)your|example|dummy|change.?me|replace|insert|placeholder|x{5,}", low) and not re.search(r"\d{3}", low):
         return False
@@ -185,7 +200,7 @@ def _accept(detector: str, m: re.Match, text: str, file: str) -> bool:
     if detector in MARKED:
         if detector == "private_key":
             # a key has a body; a mention of the header alone hasn't
-            return bool(re.match(r"(?:\\n|\\r|[\s\"'+\\,|>#*/;.-])*[A-Za-z0-9+/=:]{16,}", text[m.end() : m.end() + 400])) or "ENCRYPTED" in value
+            return bool(_KEY_BODY.match(text, m.end())) or "ENCRYPTED" in value
         return bool(_EXACT[detector].match(text, m.start())) and not re.search(r"(?i)x{6,}|example", value)
     if detector in ("named", "named_bare", "pw_bare"):
         end = m.start("v") - m.start()
@@ -236,6 +251,9 @@ def _accept(detector: str, m: re.Match, text: str, file: str) -> bool:
         return False
     if detector == "named" and re.search(r"(?i)sha\d*[-:]|^(?:sha|md5)", value):
         return False
+    if detector in ("named", "named_bare", "header_item") and _UUID.match(value.strip("\"'` ")):
+        # ids of runs and records are written so too: the name must say that it is a key
+        return bool(_KEY_NAME.search(re.match(r"[\"']?[A-Za-z0-9_\-]*", m.group()).group()))
     return is_live_quoted(value) if "q" in m.re.groupindex else is_live(value)
 
 
@@ -262,8 +280,8 @@ def find(text: str, file: str, detectors: Iterable[str]) -> list[tuple[int, int,
 
 
 def _key_end(text: str, at: int) -> int:
-    end = text.find("-----END", at)
-    if 0 <= end < at + 20_000:
+    end, other = text.find("-----END", at), text.find("-----BEGIN", at)
+    if 0 <= end and not 0 <= other < end:
         close = text.find("-----", end + 8)
         return close + 5 if close >= 0 else len(text)
     # no end line: the lines of base64 that follow
