@@ -3,10 +3,6 @@
 import json
 import re
 
-#: How often a text may hold another JSON text before it is taken as unreadable.
-MAX_ENCODINGS = 4
-
-
 _NUMBER = re.compile(r"\s*[A-Za-z_#]{0,3}[\s:#_-]*(\d{1,19})(?:\.0*)?\s*", re.A)
 
 
@@ -20,14 +16,13 @@ def decode(text):
     None for None; Unreadable for a text that isn't JSON at any level.
     """
     value = text
-    for _ in range(MAX_ENCODINGS + 1):
-        if not isinstance(value, str):
-            return value
+    # each decoding of a text takes its quotes away, so there is a last one
+    while isinstance(value, str):
         try:
             value = json.loads(value)
         except (ValueError, RecursionError) as e:
             raise Unreadable from e
-    raise Unreadable
+    return value
 
 
 def plain_number(value) -> int | None:

@@ -18,11 +18,14 @@ def hot_keys(df: DataFrame, keys: list[str], n_rows: int | None = None, least: i
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """``left`` joined to ``right`` (one row a key) on ``keys``; rows of hot keys are split by ``spread`` (a hash of the row).
 
-    The rows of ``right`` of a hot key are repeated once a part; all others stay single. The list of hot keys is
-    broadcast: it has ``HOT_PARTS`` rows at most.
+    The rows of ``right`` of a hot key are repeated once a part; all others stay single. The list of hot keys is counted
+    once and broadcast: it has ``HOT_PARTS`` rows at most. Without any, it is a plain join.
     """
     hot = hot_keys(left, keys) if hot is None else hot
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    listed = hot.select(*keys).collect()
+    if not listed:
+        return left.join(right, keys, how)
+    marked = F.broadcast(left.sparkSession.createDataFrame(listed, hot.select(*keys).schema).withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     a = left.join(marked, keys, "left").withColumn("_salt", salt).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

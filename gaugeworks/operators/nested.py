@@ -13,15 +13,19 @@ parent holds twice is listed once.
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.jsonio import Unreadable, decode, plain_number
+from gaugeworks.functions.repeats import once_per_key
 from gaugeworks.functions.spread import spread
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: States of the automaton after which it starts anew, so that a worker that lives long doesn't grow with what it has seen.
+MOST_STATES = 200_000
 
 #: Which column of which table holds which kinds of children.
 COLUMNS = {
@@ -146,6 +150,10 @@ def _classify(kind: str, state: int) -> str | None:
 
 
 def variant_of(kind: str, value) -> str | None:
+    global _automaton
+    if len(_automaton.terms) > MOST_STATES:
+        _automaton = TreeAutomaton(STRUCTURE)
+        _variants.clear()
     state = _automaton.run(value)
     at = (kind, state)
     if at not in _variants:
@@ -160,6 +168,14 @@ def _letter(v) -> str | None:
     return v.strip().upper() or None if isinstance(v, str) else None
 
 
+def _by_place(i: int) -> str:
+    """The letter of a place: A to Z, then AA, AB, ..."""
+    out = ""
+    while i >= 0:
+        out, i = LETTERS[i % 26] + out, i // 26 - 1
+    return out
+
+
 def _text(v) -> str | None:
     """The text of a value that may be given plainly or as {plain, html}."""
     if isinstance(v, str):
@@ -176,7 +192,7 @@ def _text(v) -> str | None:
 def _unwrap(kind: str, value):
     """(variant path, the value inside its wrappers), or (None, None) for unknown shapes."""
     path = ""
-    for _ in range(4):
+    while True:
         v = variant_of(kind, value)
         if v is None:
             return None, None
@@ -189,7 +205,6 @@ def _unwrap(kind: str, value):
                 value = decode(value)
             except Unreadable:
                 return None, None
-    return None, None
 
 
 def read_options(value) -> Iterator[tuple]:
@@ -216,7 +231,7 @@ def read_options(value) -> Iterator[tuple]:
             meta = x.get("meta")
             if isinstance(meta, dict) and isinstance(meta.get("shuffled"), bool):
                 shuffled = meta["shuffled"]
-        letter = _letter(key) or (LETTERS[i] if i < 26 else f"{LETTERS[i // 26 - 1]}{LETTERS[i % 26]}" if i < 702 else str(i))
+        letter = _letter(key) or _by_place(i)
         yield "option", letter, i, variant, text, html, shuffled
 
 
@@ -239,7 +254,7 @@ def read_justifications(value) -> Iterator[tuple]:
                     break
         if text is None or not text.strip():
             continue
-        letter = _letter(key) or (LETTERS[i] if i < 26 else str(i))
+        letter = _letter(key) or _by_place(i)
         yield "justification", letter, i, variant, text
 
 
@@ -321,11 +336,11 @@ def _parse(text):
         return None
 
 
-def _input(df: DataFrame, column: str) -> DataFrame:
-    return spread(df.select(F.col("id").cast("bigint").alias("id"), F.col(column).cast("string").alias("j")).where("id is not null and j is not null"))
+def _input(df: DataFrame) -> DataFrame:
+    return df.withColumn("id", F.col("id").cast("bigint")).where("id is not null")
 
 
-def child_keys(df: DataFrame, table: str, column: str) -> DataFrame:
+def _child_keys(df: DataFrame, table: str, column: str) -> DataFrame:
     """(parent_table, parent_id, child_kind, child_key) of all children in a column: the supertype's keys."""
     reader = READERS[column]
     schema = pa.schema([("parent_id", pa.int64()), ("child_kind", pa.string()), ("child_key", pa.string())])
@@ -346,7 +361,8 @@ def child_keys(df: DataFrame, table: str, column: str) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds), pa.array(keys)], schema=schema)
 
-    out = _input(df, column).mapInArrow(run, "parent_id bigint, child_kind string, child_key string")
+    values = df.select("id", F.col(column).cast("string").alias("j")).where("j is not null")
+    out = spread(values).mapInArrow(run, "parent_id bigint, child_kind string, child_key string")
     return out.select(F.lit(table).alias("parent_table"), "parent_id", "child_kind", "child_key")
 
 
@@ -372,17 +388,27 @@ def subtype_table(df: DataFrame, table: str, child_kind: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return _input(df, column).mapInArrow(run, ddl).distinct()
+    def read(part: DataFrame) -> DataFrame:
+        return spread(part.select("id", F.col(column).cast("string").alias("j")).where("j is not null")).mapInArrow(run, ddl)
+
+    # a parent that comes more than once may hold a child in several rows; all other children are distinct as they are read
+    return once_per_key(_input(df.select("id", column)), "id", read)
 
 
 def children(questions: DataFrame, attempts: DataFrame) -> DataFrame:
     """(parent_table, parent_id, child_kind, child_key): one row per child of both tables."""
-    tables = {"questions": questions, "attempts": attempts}
-    parts = [child_keys(tables[t], t, c) for t, c in COLUMNS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    out = None
+    for table, df in (("questions", questions), ("attempts", attempts)):
+        columns = [c for t, c in COLUMNS if t == table]
+
+        def read(part: DataFrame) -> DataFrame:
+            keys = [_child_keys(part, table, c) for c in columns]
+            return reduce(DataFrame.unionByName, keys)
+
+        # a parent that comes more than once may hold a child in several rows; all other children are distinct as they are read
+        one = once_per_key(_input(df.select("id", *columns)), "id", read)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def shape_report(df: DataFrame, table: str, column: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """References to records that do not exist, are deleted, or came later than the reference.
 
-References are parsed once and kept (they feed both ways). A Bloom filter of the parents' keys, of fixed size and so safe
-to broadcast, proves definite orphans; only references that pass it are verified by an exact join, whose hot keys are
-split. What is left without a parent is told apart by the log of deletions.
+A Bloom filter of the parents' keys proves definite orphans. It is sized by the counted keys up to 64 MB, which serves 53
+million of them; beyond that the exact join does without one. References are parsed and tested once and kept; only those
+that pass the filter are verified by an exact join, whose hot keys are split. What is left without a parent is told apart
+by the log of deletions.
 
 Defined results: null, blank and cut-off values hold no references; a reference that a row holds twice counts once; a
 reference without a row id is skipped; a null project in a question means that its evidence has no parent (missing); a
@@ -103,18 +104,23 @@ def _row():
 
 def orphan_references(assessments: DataFrame, attempts: DataFrame, questions: DataFrame, projects: DataFrame, tombstones: DataFrame) -> DataFrame:
     """(ref_table, ref_id, ref_time, target_key, reason) of the references without a parent at their time."""
-    to_questions = materialise(
-        _references(assessments, "assessments", "question_ids_json", "created_at", question_ids).unionByName(_references(attempts, "attempts", "responses_json", "submitted_at", response_ids))
+    to_questions = _references(assessments, "assessments", "question_ids_json", "created_at", question_ids).unionByName(
+        _references(attempts, "attempts", "responses_json", "submitted_at", response_ids)
     )
-    to_chunks = materialise(_references(questions, "questions", "evidence_json", "created_at", chunk_numbers, "project_id"))
+    to_chunks = _references(questions, "questions", "evidence_json", "created_at", chunk_numbers, "project_id")
     return _to_questions(to_questions, questions, tombstones).unionByName(_to_chunks(to_chunks, projects, tombstones))
 
 
+def _tested(refs: DataFrame, keys: DataFrame, h, known: str = "true") -> DataFrame:
+    """The references with ``maybe``: whether their key may be among ``keys`` (``h``: its hash), kept for both ways they go."""
+    might = bloom_filter(keys, h)
+    return materialise(refs.withColumn("maybe", F.expr(known) & (might(h) if might else F.lit(True))))
+
+
 def _to_questions(refs: DataFrame, questions: DataFrame, tombstones: DataFrame) -> DataFrame:
     refs = refs.withColumnRenamed("target", "key").drop("parent_id")
-    parents = _times(questions)
-    might = bloom_filter(questions.where("id is not null").select(F.col("id").cast("bigint").alias("key")), F.xxhash64("key"))
-    tested = refs.withColumn("maybe", might(F.xxhash64("key")))
+    parents = materialise(_times(questions))
+    tested = _tested(refs, parents.select("key"), F.xxhash64("key"))
     certain = tested.where("not maybe").drop("maybe")
     checked = salted_join(tested.where("maybe").drop("maybe"), parents, ["key"], _row())
     late = checked.where("there and since > ref_time").select("ref_table", "ref_id", "ref_time", F.col("key").cast("string").alias("target_key"), F.lit("late").alias("reason"))
@@ -126,8 +132,7 @@ def _to_questions(refs: DataFrame, questions: DataFrame, tombstones: DataFrame)
 
 def _to_chunks(refs: DataFrame, projects: DataFrame, tombstones: DataFrame) -> DataFrame:
     keys = materialise(chunk_keys(projects))
-    might = bloom_filter(keys, F.xxhash64("parent_id", "target"))
-    tested = refs.withColumn("maybe", F.col("parent_id").isNotNull() & might(F.xxhash64("parent_id", "target")))
+    tested = _tested(refs, keys, F.xxhash64("parent_id", "target"), "parent_id is not null")
     certain = tested.where("not maybe").drop("maybe")
     checked = salted_join(tested.where("maybe").drop("maybe"), keys.withColumn("there", F.lit(True)), ["parent_id", "target"], _row())
     # what has its chunk may still be late, what hasn't may have lost its project: both ask for the project

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.repeats import without_repeats
 from gaugeworks.operators import privacy
 from gaugeworks.plans.registry import query
 from gaugeworks.sources import read_table
@@ -33,7 +34,7 @@ def privacy_scan_docs(spark, d):
     f"select id, array_to_string(list_sort(list_distinct(flatten([a, b]))), ',') as categories from (select id, {_categories('source')} as a, {_categories('chunks_json')} as b from (select distinct id, source, chunks_json from projects)) where len(a) + len(b) > 0"
 )
 def privacy_scan_projects(spark, d):
-    rows = read_table(spark, d, "projects").select("id", "source", "chunks_json").distinct()
+    rows = without_repeats(read_table(spark, d, "projects").select("id", "source", "chunks_json"), "id")
     return privacy.scan(rows, "id", ["source", "chunks_json"]).select("id", F.array_join("categories", ",").alias("categories"))
 
 

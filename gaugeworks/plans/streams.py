@@ -5,6 +5,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.materialise import checkpoint_dir
+from gaugeworks.functions.repeats import without_repeats
 from gaugeworks.operators import evidence, parse
 from gaugeworks.plans.registry import query
 from gaugeworks.sources import read_table
@@ -74,7 +75,7 @@ def run_state_replay(spark, d):
 
 
 def _sources(spark, d):
-    p = read_table(spark, d, "projects").select("id", "chunks_json").distinct()
+    p = without_repeats(read_table(spark, d, "projects").select("id", "chunks_json"), "id")
     c = evidence.chunks(p, ["id", "kind", "text", "file"]).where("file <> '' and kind in ('function', 'notebook_cell', 'source', 'module_var')")
     code = F.regexp_replace("text", r"(?s)^(?:.*?\nCode:\n|Notebook [^\n]*:\n|[^\n]* file [^\n]*\nContent [^\n]*\n)", "")
     return c.select("project_id", F.col("id").alias("chunk_id"), "file", code.alias("code"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.repeats import without_repeats
 from gaugeworks.functions.text import TOKENS_SQL, tokens
 from gaugeworks.operators import alignment, bm25, entities, evidence, graph
 from gaugeworks.plans.registry import query
@@ -18,8 +19,7 @@ bare as (select distinct project_id, string_split(src, '::')[2] as src, dst from
 
 
 def _chunks(spark, d, fields):
-    projects = read_table(spark, d, "projects").select("id", "chunks_json").distinct()
-    return evidence.chunks(projects, fields)
+    return evidence.chunks(without_repeats(read_table(spark, d, "projects").select("id", "chunks_json"), "id"), fields)
 
 
 def _listed(spark, d):

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import random
 
+from gaugeworks.functions import bloom
 from gaugeworks.functions.bloom import bloom_filter
 from gaugeworks.functions.skew import hot_keys, salted_join
 from gaugeworks.operators import orphans
@@ -46,6 +47,20 @@ def test_reasons(spark):
     assert orphans.orphan_references(*empty).count() == 0
 
 
+def test_bloom_is_sized_by_its_keys():
+    assert [bloom.log2_bits(n) for n in (0, 1, 6_553, 6_554, 30_000_000, 53_000_000, 54_000_000)] == [16, 16, 16, 17, 29, 29, None]
+    # share of other keys that pass, of full filters
+    assert all((1 - 2.718281828 ** (-bloom.HASHES * n / 2 ** bloom.log2_bits(n))) ** bloom.HASHES < 0.02 for n in (6_000, 30_000_000, 53_000_000))
+
+
+def test_no_filter_beyond_the_largest(spark, monkeypatch):
+    rows = ([(1, "[1, 2]", day(2), "n")], [(5, '{"1": "A", "3": "B"}', day(2))], [(1, 9, '[{"chunk_id": "c0"}, "c4"]', day(1))], [(9, json.dumps([{"id": "c0"}]), day(0))], [("questions", 2, day(1))])
+    want = sorted(map(tuple, orphans.orphan_references(*tables(spark, *rows)).drop("ref_time").collect()))
+    assert want == [("assessments", 1, "2", "deleted"), ("attempts", 5, "3", "missing"), ("questions", 1, "c4", "missing")]
+    monkeypatch.setattr(bloom, "MOST_LOG2", 1)
+    assert sorted(map(tuple, orphans.orphan_references(*tables(spark, *rows)).drop("ref_time").collect())) == want
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(5_000).select((F.col("id") * 3).alias("k"))
     might = bloom_filter(keys, F.xxhash64("k"))
