@@ -21,6 +21,7 @@ import zlib
 from pathlib import PurePosixPath
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,8 +211,7 @@ def windows(code: str) -> list[int | None]:
 
 def hash64(s: str) -> int:
     """The same on every executor, other than hash()."""
-    raw = s.encode("utf-8", "replace")
-    return zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x5EED)
+    return xxhash.xxh64_intdigest(s.encode("utf-8", "replace"))
 
 
 def judge(rows: list[tuple]) -> list[list]:

@@ -16,6 +16,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.repeats import once_per_key
 from gaugeworks.llm.chunks import chunks_of, map_blocks, text_of
 from gaugeworks.llm.trigrams import Index, matches, prefixes_of, query_of
 
@@ -341,7 +342,7 @@ def _found_rows(rows: list[tuple]) -> list[list]:
 
 
 def _redacted_rows(rows: list[tuple]) -> list[list]:
-    out = [(pid, cid, file, len(spans), redact(text, spans)) for pid, cid, file, text, spans in _scan(rows)]
+    out = dict.fromkeys((pid, cid, file, len(spans), redact(text, spans)) for pid, cid, file, text, spans in _scan(rows))
     return [list(x) for x in zip(*out)] if out else []
 
 
@@ -356,4 +357,4 @@ def find_credentials(projects: DataFrame) -> DataFrame:
 
 def redact_credentials(projects: DataFrame) -> DataFrame:
     """(project_id, chunk_id, file, n_values, text) of the chunks that held credentials, with the values redacted."""
-    return map_blocks(_input(projects), _redacted_rows, "project_id bigint, chunk_id string, file string, n_values int, text string").distinct()
+    return once_per_key(_input(projects), "id", lambda df: map_blocks(df, _redacted_rows, "project_id bigint, chunk_id string, file string, n_values int, text string"))

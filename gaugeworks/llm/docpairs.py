@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.repeats import once_per_key
 from gaugeworks.llm.chunks import chunks_of, map_blocks, text_of
 
 MIN_WORDS = 6
@@ -37,39 +38,59 @@ _JS = regex.compile(
     rf"(?:<[^>\n]*+>)?(?:(?&par)|[A-Za-z_$][\w$]*+)(?:[ ]*+:[^={{\n]*+)?(?:[ ]*+=>)?"
     rf"|(?:(?:public|private|protected|static|async|override|readonly|get|set)[ ]++)*+{_NOT_A_NAME}(?P<n3>[A-Za-z_$#][\w$]*+)[ ]*+(?:[:=][ ]*+(?:async[ ]*+)?function\b[ ]*+)?(?:<[^>\n]*+>)?(?&par)(?:[ ]*+:[^{{\n;]*+)?"
     rf"|(?P<n4>[A-Za-z_$][\w$.]*+)[ ]*+=[ ]*+(?:async[ ]*+)?function\b[ ]*+[\w$]*+[ ]*+(?&par)"
-    rf")\s*+{_BRACES % _C_SKIP}"
+    # a body in braces, or after an arrow an expression
+    rf")\s*+(?:{_BRACES % _C_SKIP}|(?<==>|=>[ ])(?:{_STRINGS}|(?&par)|[^\s;(){{}}\"'`]++|[ ](?![ ]*+[{{]))++;?)"
 )
 _TYPED = regex.compile(
     rf"(?m)^{_C_DOC}{_C_NOTE}[ \t]*+(?P<sig>(?:[\w.<>\[\],?*&:]++[ \t*&]++)++{_NOT_A_NAME}\*?(?P<n1>[A-Za-z_~][\w:]*+)[ ]*+{_PARENS % _STRINGS}"
     rf"(?:[ ]*+(?:const|override|noexcept|final|throws[ ]++[\w.,\s]++|where[^{{]*+))*+)\s*+(?:=>[^;\n]*+;|{_BRACES % _C_SKIP})"
 )
-_GO = regex.compile(rf"(?m)^{_C_DOC}[ \t]*+(?P<sig>func[ ]++(?:\([^)\n]*+\)[ ]*+)?(?P<n1>\w++)(?:\[[^\]\n]*+\])?{_PARENS % _STRINGS}[^{{\n]*+){_BRACES % _C_SKIP}")
+_GO = regex.compile(rf"(?m)^{_C_DOC}[ \t]*+(?P<sig>func[ ]++(?:\([^)\n]*+\)[ ]*+)?(?P<n1>\w++)(?:\[[^\]\n]*+\])?{_PARENS % _STRINGS}(?:[ ]*+(?&par))?[^{{\n]*+){_BRACES % _C_SKIP}")
+_KT = regex.compile(
+    rf"(?m)^{_C_DOC}{_C_NOTE}[ \t]*+(?P<sig>(?:(?:public|private|protected|internal|open|final|abstract|override|inline|suspend|tailrec|operator|infix|actual)[ ]++)*+fun[ ]++"
+    rf"(?:<[^>\n]*+>[ ]*+)?(?:[\w<>?, ]++\.)*+(?P<n1>\w++|`[^`\n]++`)[ ]*+{_PARENS % _STRINGS}(?:[ ]*+:[^={{\n]++)?)\s*+(?:{_BRACES % _C_SKIP}|=[^\n]++)"
+)
+_RS = regex.compile(
+    rf"(?m)^{_C_DOC}(?:[ \t]*+#\[[^\]\n]*+\][ \t]*+\n)*+[ \t]*+(?P<sig>(?:pub(?:\([^)\n]*+\))?[ ]++)?(?:(?:const|async|unsafe|extern[ ]++\"[^\"\n]*+\")[ ]++)*+fn[ ]++(?P<n1>\w++)[ ]*+"
+    rf"(?:<[^(){{}}]*+>)?{_PARENS % '(?!)'}[^{{;]*+){_BRACES % _C_SKIP}"
+)
 _HASH_DOC = r"(?P<doc>(?:[ \t]*+#(?!!)[^\n]*+\n)++)"
 _R = regex.compile(rf"(?m)^{_HASH_DOC}[ \t]*+(?P<sig>(?P<n1>`[^`\n]++`|[A-Za-z.][\w.]*+)[ ]*+(?:<<?-|=)[ ]*+function[ ]*+{_PARENS % _HASH_SKIP})\s*+(?:{_BRACES % _HASH_SKIP}|[^\n{{]++)")
-_SH = regex.compile(rf"(?m)^{_HASH_DOC}[ \t]*+(?P<sig>(?:function[ ]++(?P<n1>[\w\-.:]++)[ ]*+(?:\([ ]*+\))?|(?P<n2>[\w\-.:]++)[ ]*+\([ ]*+\)))\s*+{_BRACES % _HASH_SKIP}")
+_SH = regex.compile(rf"(?m)^{_HASH_DOC}[ \t]*+(?P<sig>(?:function[ ]++(?P<n1>[\w\-.:]++)[ ]*+(?:\([ ]*+\))?|(?P<n2>[\w\-.:]++)[ ]*+\([ ]*+\)))\s*+(?:{_BRACES % _HASH_SKIP}|{_PARENS % _HASH_SKIP})")
+_SQL_SKIP = rf"(?:{_STRINGS}|--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)"
+_SQL_ENDS = r"\bend[ ]++(?:if|loop|while|case|repeat|for)\b"
+# statements between BEGIN and END, in which CASE has an END of its own
+_SQL_BLOCK = (
+    rf"(?P<block>\bbegin\b(?:{_SQL_SKIP}|(?&block)|(?P<case>\bcase\b(?:{_SQL_SKIP}|(?&case)|{_SQL_ENDS}|(?!\bend\b)(?:\w++|\W))*+\bend\b)"
+    rf"|{_SQL_ENDS}|(?!\bend\b)(?:\w++|\W))*+(?:\bend\b|\Z))"
+)
 _SQL = regex.compile(
     r"(?mi)^(?P<doc>(?:[ \t]*+--[^\n]*+\n)++|[ \t]*+/\*(?:[^*]|\*(?!/))*+\*/[ \t]*+\n)[ \t]*+"
     r"(?P<sig>create[ ]++(?:or[ ]++(?:replace|alter)[ ]++)?(?:function|procedure)[ ]++(?:if[ ]++not[ ]++exists[ ]++)?(?:[\w\"]++\.)?\"?(?P<n1>\w++)\"?[ ]*+"
-    rf"{_PARENS % _STRINGS})(?P<body>(?:\$(?P<tag>\w*+)\$.*?\$(?P=tag)\$|[^;$])*+(?:;|\Z))",
+    rf"{_PARENS % _STRINGS})(?P<body>(?:\$(?P<tag>\w*+)\$.*?\$(?P=tag)\$|{_SQL_SKIP}|{_SQL_BLOCK}|\w++|[^;$\w])*+(?:;|\Z))",
     regex.S,
 )
 _PY_STRING = r"""[rRuUbB]{0,2}(?:\"\"\"(?:[^"\\]|\\.|"(?!""))*+(?:\"\"\"|\Z)|'''(?:[^'\\]|\\.|'(?!''))*+(?:'''|\Z)|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
 _PY = regex.compile(
     rf"(?m)^(?P<doc>(?:[ \t]*+#(?!!)[^\n]*+\n)*+)(?:[ \t]*+@[\w.]++[ ]*+(?:(?&par))?[^\n]*+\n)*+(?P<ind>[ \t]*+)(?P<sig>(?:async[ ]++)?def[ ]++(?P<n1>\w++)[ ]*+(?:\[[^\]\n]*+\])?"
-    rf"(?P<par>\((?:{_PY_STRING}|\#[^\n]*+|[^()\"'\#]++|(?&par)|[\"'])*+\))[^:\n]*+):[ \t]*+(?:\#[^\n]*+)?\n"
-    rf"(?:[ \t]*+(?:\#[^\n]*+)?\n)*+(?P=ind)[ \t]++(?P<string>{_PY_STRING})?(?P<body>[^\n]*+(?:\n(?:(?P=ind)[ \t]++[^\n]*+|[ \t]*+(?=\n|\Z)))*+)",
+    rf"(?P<par>\((?:{_PY_STRING}|\#[^\n]*+|[^()\"'\#]++|(?&par)|[\"'])*+\))(?:{_PY_STRING}|(?P<sq>[\[{{](?:{_PY_STRING}|[^\[\]{{}}\"']++|(?&sq))*+[\]}}])|(?&par)|[^:\n\[{{(\"'])*+):"
+    # the body below, further in, or behind the colon
+    rf"(?:[ \t]*+(?:\#[^\n]*+)?\n(?:[ \t]*+(?:\#[^\n]*+)?\n)*+(?P=ind)[ \t]++(?P<string>{_PY_STRING})?(?P<body>[^\n]*+(?:\n(?:(?P=ind)[ \t]++[^\n]*+|[ \t]*+(?=\n|\Z)))*+)"
+    rf"|[ \t]*+(?P<string1>{_PY_STRING})[^\n]*+)",
     regex.S,
 )
 
 BY_SUFFIX = {
     ".js": _JS, ".jsx": _JS, ".mjs": _JS, ".cjs": _JS, ".ts": _JS, ".tsx": _JS, ".vue": _JS,
-    ".java": _TYPED, ".cs": _TYPED, ".c": _TYPED, ".h": _TYPED, ".cc": _TYPED, ".cpp": _TYPED, ".hpp": _TYPED, ".kt": _TYPED,
+    ".java": _TYPED, ".cs": _TYPED, ".c": _TYPED, ".h": _TYPED, ".cc": _TYPED, ".cpp": _TYPED, ".hpp": _TYPED, ".kt": _KT, ".kts": _KT, ".rs": _RS,
     ".go": _GO, ".r": _R, ".sh": _SH, ".bash": _SH, ".sql": _SQL, ".py": _PY, ".ipynb": _PY,
 }
 #: What tells a language where the suffix doesn't.
 _SIGNS = (
     (_PY, re.compile(r"(?m)^[ \t]*(?:async[ ]+)?def[ ]+\w+[ ]*(?:\[[^\]\n]*\])?\(")),
     (_GO, re.compile(r"(?m)^func[ ]+(?:\([^)\n]*\)[ ]*)?\w+(?:\[[^\]\n]*\])?\(")),
+    (_KT, re.compile(r"(?m)^[ \t]*(?:[a-z]+[ ]+)*fun[ ]+(?:<[^>\n]*>[ ]*)?[\w.<>?`]+[ ]*\(")),
+    (_RS, re.compile(r"(?m)^[ \t]*(?:pub(?:\([^)\n]*\))?[ ]+)?(?:(?:const|async|unsafe)[ ]+)*fn[ ]+\w+[ ]*[<(]")),
     (_R, re.compile(r"<<?-[ ]*function[ ]*\(")),
     (_SQL, re.compile(r"(?mi)^[ \t]*create[ ]+(?:or[ ]+(?:replace|alter)[ ]+)?(?:function|procedure)[ ]")),
     (_SH, re.compile(r"(?m)^[ \t]*(?:function[ ]+[\w\-.:]+[ ]*(?:\([ ]*\))?|[\w\-.:]+[ ]*\([ ]*\))\s*\{")),
@@ -77,7 +98,7 @@ _SIGNS = (
     (_TYPED, re.compile(r"(?m)^[ \t]*(?:[\w.<>\[\],?*&:]+[ \t*&]+)+[A-Za-z_~][\w:]*[ ]*\([^;{}]*\)[^;{}()]*\{")),
 )
 #: What a chunk of a language must hold at least for a documented function.
-_NEEDS = {_JS: ("//", "/*"), _TYPED: ("//", "/*"), _GO: ("//", "/*"), _R: ("#",), _SH: ("#",), _SQL: ("--", "/*")}
+_NEEDS = {_JS: ("//", "/*"), _TYPED: ("//", "/*"), _GO: ("//", "/*"), _KT: ("//", "/*"), _RS: ("//", "/*"), _R: ("#",), _SH: ("#",), _SQL: ("--", "/*")}
 
 _HEAD = re.compile(r"^(?:Async f|F)unction ([\w.$]+) in [^\n]*\n(?:Parameters:[^\n]*\n)?Docstring: ?([^\n]*(?:\n(?!Code:)[^\n]*)*)\nCode:")
 _EDGE = re.compile(r"^\s*(?:/\*[*!]?|\*+/|///?!?|\*(?!/)|#'|#+|--+|<!--)[ \t]?|\*+/\s*$|-->\s*$")
@@ -197,7 +218,7 @@ def _python(code: str) -> list[tuple[str, str, str, str]]:
         # functions nested in a body are looked at too
         at = max(m.end("sig"), m.start() + 1)
         name = m.group("n1")
-        for doc in (_unquote(m.group("string") or ""), m.group("doc")):
+        for doc in (_unquote(m.group("string") or m.group("string1") or ""), m.group("doc")):
             description = describe(doc)
             if says_something(description, name):
                 out.append((name, description, m.group("sig").strip(), code[m.start("sig") : m.end()]))
@@ -236,6 +257,5 @@ def documented_functions(projects: DataFrame) -> DataFrame:
 
 def code_description_pairs(projects: DataFrame) -> DataFrame:
     """(project_id, chunk_id, file, function_name, description, signature, code), one row per documented function."""
-    return map_blocks(
-        _input(projects), _pair_rows, "project_id bigint, chunk_id string, file string, function_name string, description string, signature string, code string"
-    ).distinct()
+    schema = "project_id bigint, chunk_id string, file string, function_name string, description string, signature string, code string"
+    return once_per_key(_input(projects), "id", lambda df: map_blocks(df, _pair_rows, schema))

@@ -82,7 +82,7 @@ def infer(symbols: np.ndarray, text: np.ndarray, n_texts: int, block: int = 1 <<
     )
 
 
-def _infer(symbols: np.ndarray, text: np.ndarray, n_texts: int, rounds: int = 64) -> Grammars:
+def _infer(symbols: np.ndarray, text: np.ndarray, n_texts: int) -> Grammars:
     s = symbols.astype(U)
     t = text.astype(np.int64)
     size = np.ones(len(s), np.int64)
@@ -96,9 +96,8 @@ def _infer(symbols: np.ndarray, text: np.ndarray, n_texts: int, rounds: int = 64
     found: list[tuple[np.ndarray, ...]] = []
     active = np.ones(n_texts, bool)
     done: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
+    # every round shortens some text, so there is a last one
+    while len(s) >= 2:
         same = t[1:] == t[:-1]
         name = pair_name(s[:-1], s[1:])
         key = mix(name + t[:-1].astype(U) * _M1)

@@ -4,7 +4,7 @@ For every pair (true encoding, wrong encoding) the garbled form of each characte
 all forms go into one Aho-Corasick automaton. Its matches in a paragraph are weighed per pair; a paragraph is garbled if
 the evidence of a pair is enough (``_weigh``). Only matched spans are replaced (a span takes in its neighbours only if the
 wrong encoding can have made all of it and all of it can be undone), and spans that a sentence merely quotes
-are left alone, so text that is right stays untouched. Text that was decoded twice is restored in several rounds.
+are left alone, so text that is right stays untouched. Text that was decoded several times is restored in as many rounds.
 
 A replacement character inside a word is a garbled place that can't be restored.
 
@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.spread import spread
 
-#: Rounds of restoring: text may have been decoded wrongly more than once.
-ROUNDS = 3
-
 # Encodings that text is written in, and those that it is wrongly read in.
 UTF8_READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp1254", "cp1257", "iso8859-2", "iso8859-15")
 WIDE_READ_AS = ("latin-1", "cp1252", "mac_roman", "cp1251")  # of gb18030
@@ -342,9 +339,10 @@ def _best(line: str, weighed: dict[Pair, list[tuple[int, int]]]) -> Pair:
 def _line(line: str, pooled: frozenset = frozenset()) -> tuple[str, bool, bool]:
     """(the line restored, whether it was garbled, whether some of it couldn't be restored)."""
     garbled = lost = False
-    for _ in range(ROUNDS):
-        if line.isascii():
-            break
+    seen: set[str] = set()
+    # text may have been decoded wrongly more than once; a form that was there before ends the search
+    while not line.isascii() and line not in seen:
+        seen.add(line)
         weighed = {p: w for p, s in _spans(line).items() if (w := _weigh(p, line, s, pooled))}
         if not weighed:
             break
