@@ -4,11 +4,11 @@ Matrices are long tables of their non-zero cells. Defined results: without targe
 point distribution; weights that sum to nothing give no rows; equal values are ordered by id.
 """
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.text import tokens
+from gaugeworks.functions.materialise import materialise
+from gaugeworks.functions.text import casefold, tokens
 
 MARK_CAP = 2.0
 LEXICAL_FLOOR = 0.35
@@ -108,51 +108,47 @@ def gate(candidates: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
 
 
 def pair_penalty(a: str, b: str) -> Column:
-    """What plan ``b`` loses beside plan ``a`` (columns points, template, subject, evidence of two aliases)."""
+    """What plan ``b`` loses beside plan ``a`` (columns points, template, subject, evidence of two aliases); subjects are
+    compared without case, and empty ones are no subject."""
+    subject = lambda x: casefold(F.col(f"{x}.subject").cast("string"))
     shared = F.size(F.array_intersect(f"{a}.points", f"{b}.points"))
     same = F.col(f"{a}.template") == F.col(f"{b}.template")
     evidence = F.size(F.array_intersect(f"{a}.evidence", f"{b}.evidence"))
     return F.round(
         SHARED_POINT * shared + F.when(same, SAME_TEMPLATE).otherwise(0.0) + F.when(same & (shared > 0), BOTH).otherwise(0.0)
-        + F.when(F.col(f"{a}.subject") == F.col(f"{b}.subject"), SAME_SUBJECT).otherwise(0.0) + SHARED_EVIDENCE * F.least(evidence, F.lit(3)), 4,
+        + F.when((subject(a) == subject(b)) & (subject(b) != ""), SAME_SUBJECT).otherwise(0.0) + SHARED_EVIDENCE * F.least(evidence, F.lit(3)), 4,
     )
 
 
-def select_plans(candidates: DataFrame, group: str, count: int, code_share: float = 0.5) -> DataFrame:
+def select_plans(candidates: DataFrame, group: str, count: int, code_share: float = 0.5, seed: int = 0) -> DataFrame:
     """(group, position, plan_key, score): greedy choice within each group, one plan after the other.
 
-    Columns: plan_key, points, template, subject, evidence, shows_code, relevance. Groups are plan requests with some
-    thousand candidates at most, as the gates leave them; each is one task of Python.
-    """
+    Columns: plan_key, points, template, subject, evidence, shows_code, relevance. Either kind of plan, with code and
+    without, loses ``QUOTA_PENALTY`` once it has had its share. Ties go to the smaller hash of the seed and the plan's key.
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = pdf.sort_values(["template", "plan_key"]).to_dict("records")
-        chosen: list[dict] = []
-        out = []
-        quota = code_share * count
-        while rest and len(chosen) < count:
-            with_code = sum(bool(c["shows_code"]) for c in chosen)
-            best, at = None, None
-            for i, r in enumerate(rest):
-                penalty = sum(_penalty(c, r) for c in chosen)
-                over = QUOTA_PENALTY if r["shows_code"] and with_code >= quota else 0.0
-                value = round(r["relevance"] - penalty - over, 6)
-                if best is None or value > best:
-                    best, at = value, i
-            r = rest.pop(at)
-            chosen.append(r)
-            out.append((r[group], len(chosen), r["plan_key"], best))
-        return pd.DataFrame(out, columns=[group, "position", "plan_key", "score"])
-
-    kind = candidates.schema[group].dataType.simpleString()
-    return candidates.groupBy(group).applyInPandas(choose, f"{group} {kind}, position int, plan_key string, score double")
-
-
-def _penalty(a: dict, b: dict) -> float:
-    shared = len(set(a["points"]) & set(b["points"]))
-    same = a["template"] == b["template"]
-    evidence = len(set(a["evidence"]) & set(b["evidence"]))
-    return round(SHARED_POINT * shared + SAME_TEMPLATE * same + BOTH * (same and shared > 0) + SAME_SUBJECT * (a["subject"] == b["subject"]) + SHARED_EVIDENCE * min(evidence, 3), 4)
+    A round takes the best plan of each group as an aggregate, so a group of any size is combined before it is shuffled
+    and fits no single task; what was chosen, ``count`` rows a group at most, is joined back for the next round's penalties.
+    """
+    rest = candidates.select(group, "plan_key", "points", "template", "subject", "evidence", F.col("shows_code").alias("code"), "relevance")
+    rest = materialise(rest.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "plan_key"))).withColumn("_lost", F.lit(0.0)))
+    with_code = round(count * code_share)
+    out = None
+    taken = rest.select(group).where(F.lit(False)).withColumn("n_code", F.lit(0)).withColumn("n_plain", F.lit(0))
+    for position in range(1, count + 1):
+        scored = rest.join(taken, group, "left")
+        full = F.when(F.col("code"), F.coalesce("n_code", F.lit(0)) >= with_code).otherwise(F.coalesce("n_plain", F.lit(0)) >= count - with_code)
+        value = F.round(F.col("relevance") - F.col("_lost") - F.when(full, QUOTA_PENALTY).otherwise(0.0), 6)
+        plan = F.struct("plan_key", "points", "template", "subject", "evidence", "code", value.alias("score"))
+        best = scored.groupBy(group).agg(F.min_by(plan, F.struct((-value).alias("v"), "_h", "plan_key")).alias("_p"))
+        best = materialise(best.select(group, F.lit(position).alias("position"), "_p"))
+        out = best if out is None else out.unionByName(best)
+        if position == count:
+            break
+        taken = out.groupBy(group).agg(F.count_if("_p.code").cast("int").alias("n_code"), F.count_if(~F.col("_p.code")).cast("int").alias("n_plain"))
+        left = rest.join(best.select(group, F.col("_p").alias("_a")), group).where(F.col("plan_key") != F.col("_a.plan_key"))
+        lost = left.withColumn("_b", F.struct("points", "template", "subject", "evidence")).withColumn("_lost", F.col("_lost") + pair_penalty("_a", "_b"))
+        rest = materialise(lost.drop("_a", "_b"))
+    return out.select(group, "position", F.col("_p.plan_key").alias("plan_key"), F.col("_p.score").alias("score"))
 
 
 def interleave(df: DataFrame, group: list[str], kind: str, order: list[Column]) -> DataFrame:

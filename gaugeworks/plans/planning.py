@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.repeats import without_repeats
 from gaugeworks.functions.text import TOKENS_SQL
 from gaugeworks.operators import catalog, planner
 from gaugeworks.plans.registry import query
@@ -106,10 +107,28 @@ def interleave(spark, d):
     return planner.interleave(docs, ["repo_key"], "code", [F.col("doc_id")]).select("repo_key", "doc_id", F.col("position").cast("int").alias("position"))
 
 
-@query()
+_PLANS = """cand as (select distinct project_id, id::varchar as plan_key, coalesce(regexp_extract_all(assessment_point_ids_json, '"([a-z_]+)"', 1), []) as points, coalesce(slot, '') as template, replace(lower(coalesce(stem, '')), 'ß', 'ss') as subject,
+list_distinct(coalesce(regexp_extract_all(evidence_json, '"[cC]?([0-9]+)"', 1), [])) as evidence, coalesce(contains(stem, '_'), false) as code, coalesce(confidence, 5) / 10.0 as relevance, md5('0:' || id) as h from questions where project_id is not null)"""
+_PENALTY = (
+    "list_sum(list_transform(chosen, lambda c: round(0.35 * len(list_intersect(c.points, cand.points)) + (c.template = cand.template)::int * (0.15 + 0.25 * (len(list_intersect(c.points, cand.points)) > 0)::int) "
+    "+ 0.40 * (c.subject = cand.subject and cand.subject <> '')::int + 0.10 * least(len(list_intersect(c.evidence, cand.evidence)), 3), 4)))"
+)
+
+
+@query(
+    f"""with recursive {_PLANS},
+g as (select project_id, 0 as position, []::struct(plan_key varchar, points varchar[], template varchar, subject varchar, evidence varchar[], code boolean)[] as chosen, null::varchar as plan_key, null::double as score from (select distinct project_id from cand)
+union all select project_id, position + 1, list_append(chosen, {{'plan_key': k, 'points': points, 'template': template, 'subject': subject, 'evidence': evidence, 'code': code}}), k, score from (
+select project_id, position, chosen, k, points, template, subject, evidence, code, score, row_number() over (partition by project_id order by score desc, h, k) as r from (
+select g.project_id, g.position, g.chosen, cand.plan_key as k, cand.points, cand.template, cand.subject, cand.evidence, cand.code, cand.h,
+round(cand.relevance::double - coalesce({_PENALTY}, 0) - 0.55 * (len(list_filter(chosen, lambda c: c.code = cand.code)) >= 2)::int, 6)::double as score
+from g join cand on cand.project_id = g.project_id where g.position < 4 and not list_contains(list_transform(chosen, lambda c: c.plan_key), cand.plan_key))) where r = 1)
+select project_id, position::int as position, plan_key, score from g where position > 0"""
+)
 def greedy_select(spark, d):
     """Of the questions of each project up to four that differ in points, template, subject and evidence."""
-    q = read_table(spark, d, "questions").dropDuplicates(["id"])
+    columns = ("project_id", "id", "assessment_point_ids_json", "slot", "stem", "evidence_json", "confidence")
+    q = without_repeats(read_table(spark, d, "questions").select(*columns), "id")
     ids = lambda c, p: F.coalesce(F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(p), F.lit(1)), F.array())
     candidates = q.where("project_id is not null").select(
         "project_id", F.col("id").cast("string").alias("plan_key"), ids("assessment_point_ids_json", '"([a-z_]+)"').alias("points"), F.coalesce("slot", F.lit("")).alias("template"),

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import quality, review
+from gaugeworks.plans import nested_sql
 from gaugeworks.plans.registry import query
 from gaugeworks.sources import read_table
 
@@ -23,7 +24,20 @@ def score_attempts(spark, d):
     return quality.score_answers(answers, keys)
 
 
-@query()
+def _score_json_sql() -> str:
+    given = f"select row_number() over () as rid, id, v from ({nested_sql.decoded('attempts', 'responses_json')})"
+    letters, once = nested_sql._letters, nested_sql._once
+    keys = "case when json_type(x) = 'OBJECT' then json_extract(x, '$.keys') else x end"
+    return f"""with given as ({given}),
+picked as (select rid, id, to_json(entry) as q, json_extract(v, '$."' || entry || '"') as x from (select *, unnest(json_keys(v)) as entry from given where json_type(v) = 'OBJECT')
+union all select rid, id, json_extract(e, '$.question_id'), json_extract(e, '$.selected') from (select *, unnest(json_extract(v, '$[*]')) as e from given where json_type(v) = 'ARRAY') where json_type(e) = 'OBJECT'),
+answered as (select distinct id as attempt_id, n as question_id, {once('ls')} as selected from (select id, {nested_sql.number('q')} as n, coalesce({letters('y')}, []) as ls from (select id, q, {keys} as y from picked)) where n is not null),
+keys as (select id as question_id, min({once('ls')}) as answer from (select id, coalesce({letters('v')}, []) as ls from ({nested_sql.decoded('questions', 'answer_json')}) where json_type(v) in ('ARRAY', 'VARCHAR')) group by id),
+g as (select attempt_id, sum((list_sort(selected) = list_sort(answer))::int)::bigint as n_correct, count(*) as n_total from answered join keys using (question_id) group by 1)
+select attempt_id, n_correct, n_total, round(n_correct * 100.0 / n_total, 1)::double as percent from g"""
+
+
+@query(_score_json_sql())
 def score_attempts_json(spark, d):
     """Attempts scored from their responses against the answers of their questions."""
     from gaugeworks.operators.scoring import responses, answer_keys

@@ -36,16 +36,36 @@ def sessions(spark, d):
 
 
 @query(
-    "select event_id, user_id, coalesce(sum((event_type = 'error')::int) over (partition by user_id order by epoch_us(ts) range between 43199999999 preceding and 1 preceding), 0)::int as n_failures from events"
+    "select event_id, user_id, coalesce(sum((event_type = 'error')::int) over (w range between 299999999 preceding and 1 preceding), 0)::int as n_failures, "
+    "coalesce(sum((event_type = 'error')::int) over (w range between 43199999999 preceding and 1 preceding), 0)::int as n_half_day from events window w as (partition by user_id order by epoch_us(ts))"
 )
 def failure_count_window(spark, d):
+    """Failures of a user in the five minutes before each event, and in the half day before."""
     e = read_table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
-    return streams.failure_count(e, "user_id", "ts", "event_id", F.col("event_type") == "error", 12 * _HOUR).select("event_id", "user_id", "n_failures")
+    failed = F.col("event_type") == "error"
+    five = streams.failure_count(e, "user_id", "ts", "event_id", failed, streams.WINDOW_SECONDS).withColumnRenamed("n_failures", "n_five")
+    half_day = streams.failure_count(five, "user_id", "ts", "event_id", failed, 12 * _HOUR)
+    return half_day.select("event_id", "user_id", F.col("n_five").alias("n_failures"), F.col("n_failures").alias("n_half_day"))
 
 
-@query()
+def _throttle_sql(limit: int, seconds: int) -> str:
+    """The fold of each user's events as a recursion over their places."""
+    return f"""with recursive e as (select user_id, event_id, epoch_us(ts) as t, event_type as k, row_number() over (partition by user_id order by epoch_us(ts), event_id) as r from events where ts is not null),
+f as (select user_id, 0::bigint as event_id, 0::bigint as r, false as blocked, []::bigint[] as recent from (select distinct user_id from e)
+union all select user_id, event_id, r, len(kept) >= {limit}, case when len(kept) >= {limit} then kept when k = 'signup' then []::bigint[] when k = 'error' then list_append(kept, t) else kept end
+from (select e.*, list_filter(f.recent, lambda x: e.t - x < {seconds * 1_000_000}) as kept from f join e on e.user_id = f.user_id and e.r = f.r + 1))
+select user_id, event_id, blocked from f where r > 0"""
+
+
+@query(_throttle_sql(streams.LIMIT, streams.WINDOW_SECONDS))
 def failure_throttle(spark, d):
-    """Which events of a user a throttle of two errors in two days would block; a signup clears it."""
+    """Which events of a user the throttle (five errors in five minutes) would block; a signup clears it."""
+    return streams.failure_throttle(read_table(spark, d, "events"), "user_id", "ts", "event_id", "event_type", "error", "signup")
+
+
+@query(_throttle_sql(2, 48 * _HOUR))
+def failure_throttle_days(spark, d):
+    """The same with two errors in two days, which the sparse events of the tables do reach."""
     return streams.failure_throttle(read_table(spark, d, "events"), "user_id", "ts", "event_id", "event_type", "error", "signup", limit=2, seconds=48 * _HOUR)
 
 
@@ -63,7 +83,14 @@ def _folder(spark, d):
     return f"{d}/[e]vents.parquet"
 
 
-@query()
+@query(
+    """with recursive s as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as attempt, event_type = 'purchase' as ok from events where event_type in ('error', 'purchase')),
+o as (select *, row_number() over (partition by user_id order by event_id) as r from s),
+f as (select user_id, 0::bigint as r, 0 as due, 'running' as state from (select distinct user_id from o)
+union all select o.user_id, o.r, case when state = 'running' and attempt = due then due + 1 else due end,
+case when state <> 'running' or attempt <> due then state when ok then 'complete' when due + 1 > 3 then 'rejected' else 'running' end from f join o on o.user_id = f.user_id and o.r = f.r + 1)
+select user_id, arg_max(state, r) as state, max(due)::int as attempts from f group by user_id"""
+)
 def run_state_replay(spark, d):
     """Generation runs replayed from events: a user's events are the steps of one run."""
     from pyspark.sql import Window
