@@ -63,33 +63,6 @@ def focus_breakdown(results: DataFrame, focus: str = "focus_areas", correct: str
     return e.groupBy("focus").agg(F.sum("c").cast("bigint").alias("n_correct"), F.count(F.lit(1)).alias("n_total"))
 
 
-# Patterns of the rules on wording.
-SUBJECTIVE = r"(?i)(^|[^A-Za-z0-9_])(why|best|better|preferable|preferred|ideal|recommended)([^A-Za-z0-9_]|$)"
-LOOKUP = r"(?i)(^|[^A-Za-z0-9_])(which|what)( of the following)? (function|method|class|module|file|component)([^A-Za-z0-9_]|$)"
-GIVEAWAY = r"(?i)(^|[^A-Za-z0-9_])(always|never|every time|regardless of|under (all|any) circumstances)([^A-Za-z0-9_]|$)"
-EXPOSED = r"(?i)(^|[^A-Za-z0-9_])((notebook )?cell #?[0-9]+|chunk [a-z]?[0-9]+)([^A-Za-z0-9_]|$)"
-
-
-def rule_flags(stem: Column, n_options: Column, n_distinct: Column, n_answer: Column, known: Column, n_evidence: Column, difficulty: Column, option_text: Column) -> Column:
-    """The sorted names of the rules that a question breaks: 'h_' for those that make it unusable, 's_' for style."""
-    stem = F.coalesce(strip(stem), F.lit(""))
-    rules = {
-        "h_short_stem": F.length(stem) < 10,
-        "h_exposed_id": stem.rlike(EXPOSED),
-        "h_option_count": ~n_options.between(2, 7),
-        "h_same_options": n_distinct < n_options,
-        "h_no_answer": n_answer == 0,
-        "h_unknown_answer": ~known,
-        "h_answer_count": (n_options > 0) & ~n_answer.between(1, n_options - 1),
-        "h_no_evidence": n_evidence == 0,
-        "h_difficulty": difficulty.isNull() | ~difficulty.between(1, 5),
-        "s_subjective": stem.rlike(SUBJECTIVE),
-        "s_lookup": stem.rlike(LOOKUP),
-        "s_giveaway": option_text.rlike(GIVEAWAY),
-    }
-    return F.array_sort(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()])))
-
-
 def token_sets(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(classes, members): the distinct token sets with a representative key each, and which key is in which class."""
     t = df.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("tokens")).distinct()

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import quality, review
+from gaugeworks.functions.repeats import without_repeats
+from gaugeworks.operators import quality, review, rules
 from gaugeworks.plans import nested_sql
 from gaugeworks.plans.registry import query
 from gaugeworks.sources import read_table
@@ -152,17 +153,56 @@ def confidence_clean(spark, d):
     return q.select("id", quality.confidence(F.col("confidence")).alias("confidence"), quality.band_midpoint(F.col("difficulty"), F.coalesce("confidence", "difficulty")).alias("midpoint"))
 
 
-@query(
-    f"""with q as (select distinct id, trim(coalesce(stem, '')) as stem, difficulty, explanation from questions)
-select id, array_to_string(list_sort(list_filter([case when length(stem) < 10 then 'h_short_stem' end, case when regexp_matches(stem, '{quality.EXPOSED}') then 'h_exposed_id' end,
-case when difficulty is null or not difficulty between 1 and 5 then 'h_difficulty' end, case when regexp_matches(stem, '{quality.SUBJECTIVE}') then 's_subjective' end,
-case when regexp_matches(stem, '{quality.LOOKUP}') then 's_lookup' end, case when regexp_matches(coalesce(explanation, ''), '{quality.GIVEAWAY}') then 's_giveaway' end], lambda x: x is not null)), ',') as flags from q"""
-)
+def _questions_sql(more: str = "") -> str:
+    """The structured questions in SQL: options in order, answers, justifications, number of pieces of evidence."""
+    letters = nested_sql._letters("v")
+    return f"""o as (select parent_id as id, list({{'key': child_key, 'text': text}} order by position) as options from ({nested_sql.option()}) group by 1),
+a as (select id, coalesce({letters}, []) as answer from ({nested_sql.decoded('questions', 'answer_json')}) where json_type(v) = 'ARRAY'),
+j as (select parent_id as id, map(list(child_key order by position), list(text order by position)) as why from ({nested_sql.justification()}) group by 1),
+e as (select parent_id as id, count(*) as n_evidence from ({nested_sql.evidence()}) group by 1),
+b as (select distinct id, regexp_replace(coalesce(stem, ''), '^\\s+|\\s+$', '', 'g') as stem, difficulty, coalesce(explanation, '') as explanation{more} from questions),
+q as (select b.*, coalesce(options, []) as options, coalesce(answer, []) as answer, coalesce(why, map()) as why, coalesce(n_evidence, 0) as n_evidence, list_transform(coalesce(options, []), lambda o: regexp_replace(coalesce(o.text, ''), '^\\s+|\\s+$', '', 'g')) as texts,
+len(coalesce(options, [])) as n, [chr(x::int) for x in range(65, 65 + least(len(coalesce(options, [])), 26)::int)] as letters from b left join o using (id) left join a using (id) left join j using (id) left join e using (id))"""
+
+
+def _rules_sql() -> str:
+    p = lambda x, r: f"regexp_matches({x}, '{getattr(rules, r)}')"
+    wrong = "list_filter(options, lambda o: not list_contains(answer, o.key))"
+    any_ = lambda xs, e: f"len(list_filter({xs}, lambda t: {e})) > 0"
+    code = f"lower(array_to_string(regexp_extract_all(stem, '{rules.CODE_BLOCK}', 1), chr(10)))"
+    text = "lower(array_to_string(texts, ' '))"
+    named = f"list_transform(regexp_extract_all(explanation, '{rules.NAMED_ANSWER}', 1), lambda x: upper(x))"
+    cases = {
+        "h_short_stem": "length(stem) < 10", "h_exposed_id": p("stem", "EXPOSED"), "h_unseen_evidence": p("stem", "UNSEEN"), "h_option_count": "n not between 2 and 7",
+        "h_option_keys": "list_transform(options, lambda o: o.key) <> letters", "h_blank_option": "list_contains(texts, '')", "h_same_options": "len(list_distinct(list_transform(texts, lambda t: lower(t)))) < n",
+        "h_no_answer": "len(answer) = 0", "h_unknown_answer": any_("answer", "not list_contains(letters, t)"), "h_repeated_answer": "len(list_distinct(answer)) < len(answer)",
+        "h_answer_count": "n > 0 and len(answer) not between 1 and n - 1", "h_explanation": any_(named, "not list_contains(answer, t)"), "h_difficulty": "difficulty is null or difficulty not between 1 and 5",
+        "h_no_evidence": "n_evidence = 0", "s_subjective": p("stem", "SUBJECTIVE"), "s_vague": any_("texts", p("t", "VAGUE")),
+        "s_lookup": f"{p('stem', 'LOOKUP')} or n >= 2 and not {any_('texts', 'not ' + p('t', 'BARE_NAME'))}", "s_broad": p("stem", "BROAD"), "s_hidden_condition": f"{p('stem', 'CONDITION')} and not {p('stem', 'CODE_BLOCK')}",
+        "s_quoted_line": p("stem", "QUOTED_LINE"), "s_return_unseen": f"{p('stem', 'CODE_BLOCK')} and {p(text, 'RETURNS')} and not {p(code, 'RETURN')}",
+        "s_return_none_unseen": f"{p('stem', 'CODE_BLOCK')} and {p(text, 'RETURNS_NONE')} and not {p(code, 'RETURN_NONE')}", "s_giveaway": any_(wrong, p("coalesce(t.text, '')", "GIVEAWAY")),
+        "s_unproven": any_(wrong, p("coalesce(why[t.key], '')", "UNPROVEN")),
+    }
+    found = ", ".join(f"case when {c} then '{k}' end" for k, c in cases.items())
+    return f"""with {_questions_sql()}, f as (select id, list_sort(list_filter([{found}], lambda x: x is not null)) as fs from q)
+select id, array_to_string(list_filter(fs, lambda x: x[1] = 'h'), ',') as hard, array_to_string(list_filter(fs, lambda x: x[1] = 's'), ',') as soft, len(list_filter(fs, lambda x: x[1] = 'h')) = 0 as usable from f"""
+
+
+_NESTED = ("options_json", "answer_json", "justifications_json", "evidence_json")
+
+
+def _structured(spark, d, *more):
+    keep = ("id", "stem", "difficulty", "explanation", *more)
+    return rules.structured(without_repeats(read_table(spark, d, "questions").select(*keep, *_NESTED), "id"), keep)
+
+
+@query(_rules_sql())
 def rule_flags(spark, d):
-    q = read_table(spark, d, "questions").select("id", F.trim(F.coalesce("stem", F.lit(""))).alias("stem"), "difficulty", "explanation").distinct()
-    ok = F.lit(3)
-    flags = quality.rule_flags(F.col("stem"), ok, ok, F.lit(1), F.lit(True), F.lit(1), F.col("difficulty"), F.coalesce("explanation", F.lit("")))
-    return q.select("id", F.array_join(flags, ",").alias("flags"))
+    """The rules that each question breaks, by its own options, answers, justifications and evidence."""
+    f = _structured(spark, d).select("id", rules.flags().alias("f"))
+    soft = F.filter("f", lambda x: F.startswith(x, F.lit("s_")))
+    hard = rules.hard(F.col("f"))
+    return f.select("id", F.array_join(hard, ",").alias("hard"), F.array_join(soft, ",").alias("soft"), (F.size(hard) == 0).alias("usable"))
 
 
 def _stems(spark, d):
