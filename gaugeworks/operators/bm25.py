@@ -1,13 +1,16 @@
 """BM25 retrieval.
 
-The statistics are those of the whole corpus; filters come after. Only postings of terms that some query asks for leave
-a partition, already counted per document, and scores are rounded before they are ranked, so that ties between equal
-texts fall to the smaller id and not to the order of a sum.
+The statistics are those of the whole corpus; filters come after. A document is one row, so it is scored where it stands:
+the terms of the queries are broadcast as postings, an Arrow batch of documents is multiplied with them, and each
+partition keeps only the best k of each query. No document and no score is exchanged but those. Scores are rounded
+before they are ranked, so that ties between equal texts fall to the smaller id and not to the order of a sum.
 
 Defined results: documents without a term of the query aren't ranked (``fill`` adds them after all others); null texts
 count as empty; an empty corpus gives no rows; queries without terms give none.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,33 +60,113 @@ def inverse_frequencies(vocabulary_: DataFrame, n_docs: float) -> DataFrame:
     return raw.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it was counted to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
-
-
-def score(corpus: DataFrame, terms: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, doc_id, *keep, score) of all documents that share a term with a query."""
-    known = vocabulary(corpus)
-    n_docs, avg_tokens = statistics(known)
-    weighted = _small(materialise(terms.join(inverse_frequencies(known, n_docs), "term").select("query_id", "term", (F.col("weight") * F.col("idf")).alias("w"))))
-    # dealt out by document once: neither the counts nor the scores need another exchange
-    found = corpus.select("doc_id", "n_tokens", *keep, F.explode("tokens").alias("term")).join(_small(weighted.select("term").distinct()), "term").repartition("doc_id")
-    counts = found.groupBy("doc_id", "n_tokens", "term", *keep).agg(F.count(F.lit(1)).cast("double").alias("f"))
-    length = K1 * (1 - B + B * F.col("n_tokens") / F.lit(avg_tokens or 1.0))
-    part = F.col("w") * F.col("f") * (K1 + 1) / (F.col("f") + length)
-    return counts.join(weighted, "term").groupBy("query_id", "doc_id", *keep).agg(F.sum(part).alias("score"))
-
-
-def top_k(scored: DataFrame, k: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, rank, doc_id, *keep, score): the best k of each query; ties by id."""
+class _Postings:
+    """The weighted terms of some queries as arrays, ready to be multiplied with documents."""
+
+    def __init__(self, query: np.ndarray, term: list[str], weight: np.ndarray) -> None:
+        self.ids, q = np.unique(query, return_inverse=True)
+        self.number = {t: i for i, t in enumerate(dict.fromkeys(term))}
+        t = np.fromiter((self.number[x] for x in term), np.int64, len(term))
+        order = np.argsort(t, kind="stable")
+        self.query, self.weight = q[order], weight[order]
+        self.start = np.searchsorted(t[order], np.arange(len(self.number) + 1))
+
+    def best(self, ids: np.ndarray, tokens: pa.ListArray, n_tokens: np.ndarray, k: int, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, doc_id, score) of the best k documents of each query."""
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        words = tokens.flatten().dictionary_encode()
+        known = np.fromiter((self.number.get(w, -1) for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        if not len(known):
+            return self.ids[:0], ids[:0], np.zeros(0)
+        term = known[words.indices.to_numpy(zero_copy_only=False)]
+        sizes = np.diff(tokens.offsets.to_numpy())
+        row = np.repeat(place, sizes)
+        row, term = row[term >= 0], term[term >= 0]
+        # how often each document has each term, then its part in the score of each query that asks for the term
+        pair, count = np.unique(row * len(self.number) + term, return_counts=True)
+        row, term = np.divmod(pair, len(self.number))
+        length = K1 * (1 - B + B * n_tokens[order][row] / mean)
+        part = count * (K1 + 1) / (count + length)
+        uses = (self.start[1:] - self.start[:-1])[term]
+        each = np.repeat(np.arange(len(term)), uses)
+        at = np.arange(len(each)) - np.repeat(np.cumsum(uses) - uses, uses) + self.start[term][each]
+        cell = self.query[at] * len(ids) + row[each]
+        cells, inverse = np.unique(cell, return_inverse=True)
+        score = np.bincount(inverse, part[each] * self.weight[at], len(cells)).round(6)
+        q, row = np.divmod(cells, len(ids))
+        return first_of_each(self.ids[q], ids[order][row], score, k)
+
+
+def first_of_each(query: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k rows of each query; ties by the document's id."""
+    order = np.lexsort((doc, -score, query))
+    query, doc, score = query[order], doc[order], score[order]
+    first = np.searchsorted(query, query)
+    kept = np.arange(len(query)) - first < k
+    return query[kept], doc[kept], score[kept]
+
+
+#: Cells of documents and queries that are worked on at once.
+MOST_CELLS = 4_000_000
+
+
+def search(corpus: DataFrame, terms: DataFrame, k: int = 6, where: Column | None = None, keep: tuple[str, ...] = (), known: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, *keep, score): the best k documents of each query that share a term with it; ties by id.
+
+    ``where``: which documents may be ranked; the statistics are those of all. Queries beyond ``BROADCAST_TERMS`` rows are
+    searched in blocks of that size. ``known``: the corpus' vocabulary, if several searches share it.
+    """
+    known = vocabulary(corpus) if known is None else known
+    n_docs, mean = statistics(known)
+    weighted = terms.join(inverse_frequencies(known, n_docs), "term").select(F.col("query_id").cast("bigint").alias("query_id"), "term", (F.col("weight") * F.col("idf")).alias("w"))
+    docs = corpus if where is None else corpus.where(where)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "tokens", "n_tokens").where("doc_id is not null")
+    found = None
+    for block in _blocks(materialise(weighted)):
+        one = _best_of_partitions(docs, block, k, mean or 1.0)
+        found = one if found is None else found.unionByName(one)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    ranked = scored.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", *keep, "score")
+    ranked = found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    if not keep:
+        return ranked
+    return ranked.join(corpus.select("doc_id", *keep), "doc_id").select("query_id", "rank", "doc_id", *keep, "score")
+
+
+def _blocks(weighted: DataFrame):
+    """The weighted terms of the queries as Arrow tables that are safe to broadcast; a query's terms stay together."""
+    n = weighted.count()
+    if n <= BROADCAST_TERMS:
+        yield weighted.toArrow()
+        return
+    parts = -(-n // (BROADCAST_TERMS // 2))
+    for i in range(parts):
+        yield weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).toArrow()
+
+
+def _best_of_partitions(docs: DataFrame, block: pa.Table, k: int, mean: float) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches):
+        table = sent.value
+        postings = _Postings(table["query_id"].to_numpy(), table["term"].to_pylist(), table["w"].to_numpy())
+        step = max(1, MOST_CELLS // max(1, len(postings.ids)))
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                more = postings.best(part.column(0).to_numpy(zero_copy_only=False), part.column(1), part.column(2).to_numpy(zero_copy_only=False), k, mean)
+                best = first_of_each(*(np.concatenate(x) for x in zip(best, more)), k)
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], schema=schema)
+
+    return docs.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
 
 
 def with_expansion(terms: DataFrame, expansion: DataFrame, weight: float = EXPANSION) -> DataFrame:
-    """The terms of queries with those of their expansion, at a lower weight; ``score`` adds both up."""
+    """The terms of queries with those of their expansion, at a lower weight; both add up."""
     both = terms.unionByName(expansion.select("query_id", "term", (F.col("weight") * weight).alias("weight")))
     return both.groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
 

@@ -53,12 +53,13 @@ def compact(c: Column, fallback: Column) -> Column:
     return F.when((F.length(plain) > 64) | (words > 8) | (plain == ""), fallback).otherwise(plain)
 
 
-def bundles(ranked: DataFrame, key: str, required: dict[str, int], optional: dict[str, int], most: int = 6) -> DataFrame:
+def bundles(ranked: DataFrame, key: str, required: dict[str, int], optional: dict[str, int], most: int = 6, fill: str | None = None) -> DataFrame:
     """(key, position, doc_id, group, missing): evidence for each key, group by group without repeats.
 
     ``ranked``: key, group, doc_id, rank. Groups are taken in the given order, required ones first, each its number of
     documents that no earlier group took. If a required one falls short the key has one row that names the missing
-    groups. A key's candidates are a ranked list, so they fit one task.
+    groups. Places up to ``most`` that are left go to the documents of the group ``fill``. A key's candidates are a ranked
+    list, so they fit one task.
     """
     kind = ranked.schema[key].dataType.simpleString()
 
@@ -72,8 +73,10 @@ def bundles(ranked: DataFrame, key: str, required: dict[str, int], optional: dic
                 if need and len(fresh) < n:
                     missing.append(g)
                 taken += [(x, g) for x in fresh]
-            if missing:
+            if need and missing:
                 return pd.DataFrame({key: [k], "position": [0], "doc_id": [None], "group": [None], "missing": [",".join(missing)]}).astype({"doc_id": "Int64"})
+        if fill:
+            taken += [(x, fill) for x in lists.get(fill, []) if x not in {t[0] for t in taken}]
         taken = taken[:most]
         return pd.DataFrame({key: k, "position": range(1, len(taken) + 1), "doc_id": pd.array([t[0] for t in taken], "Int64"), "group": [t[1] for t in taken], "missing": None})
 

@@ -90,13 +90,94 @@ def difficulty_band(low: Column, high: Column, specific: Column, n_kinds: Column
     return F.when(lo <= hi, F.struct(lo.alias("low"), hi.alias("high"))).when(wide_lo <= wide_hi, F.struct(wide_lo.alias("low"), wide_hi.alias("high")))
 
 
-def evidence_fit(types: Column, wanted: Column, specific: Column) -> Column:
-    share = F.coalesce(F.try_divide(F.size(F.array_intersect(types, wanted)).cast("double"), F.size(F.array_distinct(wanted)).cast("double")), F.lit(0.0))
-    return F.round(F.greatest(0.5 * share + 0.3 * F.least(F.size(types), F.lit(4)) / 4 + 0.2 * F.when(specific, 1.0).otherwise(0.7), F.lit(0.05)), 4)
+def evidence_fit(types: Column, allowed: Column, n_evidence: Column, linked: Column) -> Column:
+    """How well pieces of evidence of some types serve a point that allows others; 0.05 at least, 0 without evidence."""
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect(types, allowed)).cast("double"), F.size(F.array_distinct(allowed)).cast("double")), F.lit(0.5))
+    fit = 0.5 * share + 0.3 * F.least(n_evidence, F.lit(4)) / 4 + F.when(linked, 0.20).otherwise(0.14)
+    return F.when(n_evidence > 0, F.round(F.greatest(fit, F.lit(0.05)), 4)).otherwise(0.0)
 
 
-def plan_key(*parts: Column) -> Column:
-    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+def plan_key(points: Column, template: Column, subject: Column, evidence: Column) -> Column:
+    """16 hex digits that tell plans apart: points, template, subject without case, evidence in any order."""
+    whole = F.concat_ws("|", F.array_join(points, ","), template, casefold(subject), F.array_join(F.array_sort(evidence), ","))
+    return F.substring(F.sha2(whole, 256), 1, 16)
+
+
+def best_targets(targets: DataFrame, points: DataFrame) -> DataFrame:
+    """(point_id, target_id, overlap): of each point the target that shares most words with it, the first of equal ones.
+
+    ``targets``: target_id, text, position. The points are a table that people write: they are broadcast to the targets.
+    """
+    p = points.select("point_id", F.explode(F.array_distinct(tokens(F.concat_ws(" ", "name", "query")))).alias("w"))
+    t = targets.select("target_id", "position", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("w"))
+    n = t.join(F.broadcast(p), "w").groupBy("point_id", "target_id", "position").agg(F.count(F.lit(1)).alias("overlap"))
+    # an aggregate and no window: a point that all targets share words with fits no single task
+    best = n.groupBy("point_id").agg(F.min_by(F.struct("target_id", "overlap"), F.struct((-F.col("overlap")).alias("n"), "position", "target_id")).alias("b"))
+    return best.select("point_id", "b.target_id", F.col("b.overlap").cast("int").alias("overlap"))
+
+
+def point_groups(weights: DataFrame, primary: DataFrame, best: DataFrame) -> DataFrame:
+    """(rank, points, topic_id, target_id): each point alone, and with the next one below it that has its target and topic.
+
+    ``weights``: point_id, weight; ``primary``: point_id, topic_id; ``best``: point_id, target_id. Tables of the catalog's size.
+    """
+    ranked = weights.where("weight > 0").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("weight"), "point_id")))
+    known = ranked.join(F.broadcast(primary.select("point_id", "topic_id")), "point_id", "left").join(F.broadcast(best.select("point_id", "target_id")), "point_id", "left")
+    second = F.lead("point_id").over(Window.partitionBy("target_id", "topic_id").orderBy("rank"))
+    paired = known.withColumn("second", F.when(F.col("target_id").isNotNull() & F.col("topic_id").isNotNull(), second))
+    groups = F.array_compact(F.array(F.array("point_id"), F.when(F.col("second").isNotNull(), F.array("point_id", "second"))))
+    return paired.select("rank", F.explode(groups).alias("points"), "topic_id", "target_id")
+
+
+#: The gates of a candidate in the order in which they are asked.
+GATES = ("focus_point_incompatible", "point_template_incompatible", "required_evidence_missing", "evidence_type_mismatch", "variables_unresolved", "difficulty_out_of_range", "duplicate_plan_key")
+
+
+def candidates(requests: DataFrame, groups: DataFrame, catalog: dict[str, DataFrame], weights: DataFrame, evidence: DataFrame, target_words: DataFrame, low: int, high: int) -> DataFrame:
+    """All plans of all requests with ``reject_reason``, null for those that pass every gate.
+
+    ``requests``: request_id; ``evidence``: request_id, template_id, ids, types, words, subject (one row a template that the
+    request has evidence for); ``target_words``: target_id, words; ``low``, ``high``: the difficulty asked for. Columns:
+    request_id, points, template_id, topic_id, target_id, evidence, subject, band, relevance, plan_key, shows_code,
+    reject_reason. The grid of groups and templates has the catalog's size and is broadcast to the requests.
+    """
+    members = groups.select("rank", "points", "topic_id", F.explode("points").alias("point_id"))
+    detail = (
+        members.join(catalog["point"].select("point_id", "low", "high", "evidence_types"), "point_id").join(weights, "point_id")
+        .join(catalog["topic_point"].withColumnRenamed("fit", "focus_fit"), ["topic_id", "point_id"], "left")
+    )
+    per_group = detail.groupBy("rank", "points").agg(
+        F.avg("weight").alias("weight"), F.avg(F.coalesce("focus_fit", F.lit(0.0))).alias("focus_fit"), F.max("low").alias("low"), F.min("high").alias("high"),
+        F.sort_array(F.collect_list(F.struct("point_id", "evidence_types"))).alias("allowed"),
+    )
+    template = catalog["template"].select("template_id", "code_mode")
+    fits = members.crossJoin(template).join(catalog["point_template"], ["point_id", "template_id"], "left").groupBy("rank", "points", "template_id", "code_mode").agg(F.min(F.coalesce("fit", F.lit(0.0))).alias("fit"))
+    grid = fits.join(per_group, ["rank", "points"]).join(groups, ["rank", "points"]).join(target_words, "target_id", "left")
+    all_ = requests.crossJoin(F.broadcast(materialise(grid))).join(evidence, ["request_id", "template_id"], "left")
+    n = F.coalesce(F.size("ids"), F.lit(0))
+    kinds = F.coalesce("types", F.array().cast("array<string>"))
+    linked = F.coalesce(F.arrays_overlap("target_words", "words"), F.lit(False))
+    shows_code = F.col("code_mode") != "none"
+    fit_of = F.transform("allowed", lambda a: evidence_fit(kinds, a["evidence_types"], n, linked))
+    mean_fit = F.aggregate(fit_of, F.lit(0.0), lambda s, x: s + x) / F.size("allowed")
+    band = difficulty_band(F.col("low"), F.col("high"), F.col("target_id").isNotNull(), F.size(kinds), shows_code, n, F.lit(low), F.lit(high))
+    relevance = F.round(F.col("weight") * F.col("focus_fit") * F.col("fit") * mean_fit * F.when(F.col("target_id").isNotNull(), 1.0).otherwise(0.6), 6)
+    made = all_.withColumn("band", band).withColumn("relevance", relevance).withColumn("shows_code", shows_code).withColumn("plan_key", plan_key(F.col("points"), F.col("template_id"), F.col("subject"), F.col("ids")))
+    first = gate(made, list(zip(GATES, (
+        F.col("topic_id").isNull(), F.col("fit") <= 0, n == 0, F.exists("allowed", lambda a: ~F.arrays_overlap(a["evidence_types"], kinds)), F.coalesce(F.col("subject"), F.lit("")) == "", F.col("band").isNull(),
+    ))))
+    # a claim on the same topic, template and subject that a plan before makes is no other plan
+    claim = Window.partitionBy("request_id", "template_id", "topic_id", casefold(F.col("subject")), F.col("reject_reason").isNull()).orderBy("rank", F.size("points"))
+    again = F.col("reject_reason").isNull() & (F.row_number().over(claim) > 1)
+    named = first.withColumn("reject_reason", F.when(again, GATES[-1]).otherwise(F.col("reject_reason")))
+    return named.select("request_id", "points", "template_id", "topic_id", "target_id", F.col("ids").alias("evidence"), "subject", "band", "relevance", "plan_key", "shows_code", "reject_reason")
+
+
+def plot_series(plans: DataFrame, points: DataFrame) -> DataFrame:
+    """(plan_key, x, y_low, y_high, colour): names of a plan's points, its band, its template."""
+    each = plans.select("plan_key", "template_id", "band", F.posexplode("points").alias("i", "point_id")).join(F.broadcast(points.select("point_id", "name")), "point_id", "left")
+    g = each.groupBy("plan_key", "template_id", "band").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("name", "point_id").alias("name")))).alias("ns"))
+    return g.select("plan_key", F.array_join(F.transform("ns", lambda x: x["name"]), " + ").alias("x"), F.col("band.low").alias("y_low"), F.col("band.high").alias("y_high"), F.col("template_id").alias("colour"))
 
 
 def gate(candidates: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:

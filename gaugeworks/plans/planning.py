@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.repeats import without_repeats
-from gaugeworks.functions.text import TOKENS_SQL
-from gaugeworks.operators import catalog, planner
+from gaugeworks.functions.text import TOKENS_SQL, tokens
+from gaugeworks.operators import catalog, evidence, planner
 from gaugeworks.plans.registry import query
 from gaugeworks.sources import read_table
 
@@ -165,3 +165,98 @@ def unsupported_points(spark, d):
 def catalog_hash(spark, d):
     t = catalog.tables(spark)["topic_point"]
     return catalog.catalog_hash(t.select(F.col("topic_id").alias("a"), F.col("point_id").alias("b"), F.col("fit").alias("w")))
+
+
+# targets of the whole corpus of plans: evaluation items; requests: projects, with the chunks they have as evidence
+_BEST = f"""best as (select point_id, target_id, overlap from (select point_id, item_id as target_id, count(*)::int as overlap, row_number() over (partition by point_id order by count(*) desc, item_id) as r
+from (select item_id, unnest(list_distinct({TOKENS_SQL.format("coalesce(text, '')")})) as token from eval_items) join words using (token) group by 1, 2) where r = 1)"""
+
+
+@query(f"with {_FOCUS}, {_POINTS}, {_BEST} select * from best")
+def best_targets(spark, d):
+    """Of each point the evaluation item that shares most words with it."""
+    return planner.best_targets(_targets(spark, d), catalog.tables(spark)["point"])
+
+
+def _targets(spark, d):
+    return read_table(spark, d, "eval_items").select(F.col("item_id").alias("target_id"), "text", F.col("item_id").alias("position"))
+
+
+_PRIMARY = f"""prim as (select point_id, topic_id, fit as focus_fit from (select point_id, topic_id, fit, row_number() over (partition by point_id order by round(weight * fit, 6) desc, topic_id) as r from focus join {_T['topic_point']} using (topic_id) where round(weight * fit, 6) > 0) where r = 1)"""
+_GROUPS = f"""known as (select p.point_id, p.weight, prim.topic_id, best.target_id, row_number() over (order by p.weight desc, p.point_id) as rank from points p left join prim using (point_id) left join best using (point_id) where p.weight > 0),
+paired as (select *, case when target_id is not null and topic_id is not null then lead(point_id) over (partition by target_id, topic_id order by rank) end as second from known),
+groups as (select rank, [point_id] as points, topic_id, target_id from paired union all select rank, [point_id, second], topic_id, target_id from paired where second is not null)"""
+
+
+def _point_groups(spark, d):
+    points, focus, t = _points(spark, d)
+    primary = planner.focus_split(focus, t["topic_point"]).where("role = 'primary'")
+    best = planner.best_targets(_targets(spark, d), t["point"])
+    return planner.point_groups(points, primary, best), points, t
+
+
+@query(f"with {_FOCUS}, {_POINTS}, {_BEST}, {_PRIMARY}, {_GROUPS} select array_to_string(points, ',') as points, topic_id, target_id from groups")
+def point_groups(spark, d):
+    """Points alone and in pairs that share a target and a primary topic."""
+    return _point_groups(spark, d)[0].select(F.array_join("points", ",").alias("points"), "topic_id", "target_id")
+
+
+_EVIDENCE = f"""chunk as (select project_id, c.id as id, c.title as title, c.evidence_types as types from (select id as project_id, unnest(from_json(chunks_json, '[{{"id":"VARCHAR","title":"VARCHAR","evidence_types":["VARCHAR"]}}]')) as c from (select distinct id, chunks_json from projects where json_valid(chunks_json))) where c.id is not null),
+fits as (select project_id, template_id, chunk.id, title, types, row_number() over (partition by project_id, template_id order by length(chunk.id), chunk.id) as r from chunk, (select template_id, unnest(evidence_types) as wanted from {_T['template']}) t where list_contains(types, wanted)),
+evid as (select project_id as request_id, template_id, list(id order by r) as ids, list_distinct(flatten(list(types))) as types, list_distinct(flatten(list({TOKENS_SQL.format("coalesce(title, '')")}))) as words, max(case when r = 1 then title end) as subject from fits where r <= 4 group by 1, 2)"""
+_CANDIDATES = f"""with {_FOCUS}, {_POINTS}, {_BEST}, {_PRIMARY}, {_GROUPS}, {_EVIDENCE},
+member as (select rank, points as ps, topic_id, target_id, unnest(points) as point_id from groups),
+per as (select rank, ps, avg(weight) as weight, avg(coalesce(tp.fit, 0))::double as focus_fit, max(p.low) as low, min(p.high) as high, list({{'p': m.point_id, 'types': p.evidence_types}} order by m.point_id) as allowed
+from member m join {_T['point'].replace('as v(', 'as p(')} on p.point_id = m.point_id join points w on w.point_id = m.point_id left join {_T['topic_point'].replace('as v(', 'as tp(')} on tp.topic_id = m.topic_id and tp.point_id = m.point_id group by 1, 2),
+tf as (select m.rank, m.ps, t.template_id, t.code_mode, min(coalesce(f.fit, 0))::double as fit from member m cross join (select template_id, code_mode from {_T['template'].replace('evidence_types)', 'evidence_types)')}) t left join {_T['point_template'].replace('as v(', 'as f(')} on f.point_id = m.point_id and f.template_id = t.template_id group by all),
+grid as (select tf.*, per.* exclude (rank, ps), g.topic_id, g.target_id, tw.words as target_words from tf join per using (rank, ps) join groups g on g.rank = tf.rank and g.points = tf.ps left join (select item_id, list_distinct({TOKENS_SQL.format("coalesce(text, '')")}) as words from eval_items) tw on tw.item_id = g.target_id),
+every as (select r.request_id, grid.*, e.ids, coalesce(e.types, []) as types, e.words, e.subject, coalesce(len(e.ids), 0) as n_ids from (select distinct id as request_id from projects) r cross join grid left join evid e on e.request_id = r.request_id and e.template_id = grid.template_id),
+fitted as (select *, list_transform(allowed, lambda a: case when n_ids > 0 then round(greatest(0.5::double * len(list_intersect(types, a.types)) / len(list_distinct(a.types)) + 0.3::double * least(n_ids, 4) / 4 + (case when coalesce(list_has_any(target_words, words), false) then 0.20 else 0.14 end)::double, 0.05), 4) else 0 end) as efs,
+round((case when target_id is not null then 0.20 else 0.0 end)::double + 0.25::double * least(len(types), 4) / 4 + (case when code_mode <> 'none' then 0.20 else 0.0 end)::double + 0.20::double * least(n_ids, 6) / 6 + 0.15::double / 3, 6) as signal from every),
+b1 as (select *, least(low + round(greatest(high - low, 0) * signal)::int, high) as a, greatest(high - low, 0) as span from fitted),
+b2 as (select *, least(high, a + case when span > 0 then 1 else 0 end) as b from b1),
+b3 as (select *, case when greatest(a, 1) <= least(b, 3) then greatest(a, 1) when greatest(low, 1) <= least(high, 3) then greatest(low, 1) end as y_low, case when greatest(a, 1) <= least(b, 3) then least(b, 3) when greatest(low, 1) <= least(high, 3) then least(high, 3) end as y_high from b2),
+gated as (select *, case when topic_id is null then 'focus_point_incompatible' when fit <= 0 then 'point_template_incompatible' when n_ids = 0 then 'required_evidence_missing'
+when len(list_filter(allowed, lambda x: not list_has_any(x.types, types))) > 0 then 'evidence_type_mismatch' when coalesce(subject, '') = '' then 'variables_unresolved' when y_low is null then 'difficulty_out_of_range' end as why from b3),
+named as (select *, case when why is null and row_number() over (partition by request_id, template_id, topic_id, replace(lower(subject), 'ß', 'ss'), why is null order by rank, len(ps)) > 1 then 'duplicate_plan_key' else why end as reject_reason from gated),
+plans as (select request_id, ps as points, template_id, topic_id, target_id, ids, subject, y_low, y_high, round(weight * focus_fit * fit * list_sum(efs) / len(allowed) * (case when target_id is not null then 1.0 else 0.6 end)::double, 6) as relevance,
+substr(sha256(array_to_string(ps, ',') || '|' || template_id || '|' || replace(lower(subject), 'ß', 'ss') || '|' || array_to_string(list_sort(ids), ',')), 1, 16) as plan_key, reject_reason from named)"""
+
+
+def _candidates(spark, d):
+    groups, points, t = _point_groups(spark, d)
+    chunks = evidence.chunks(without_repeats(read_table(spark, d, "projects").select("id", "chunks_json"), "id"), ["id", "title", "evidence_types"])
+    wanted = F.broadcast(t["template"].select("template_id", F.explode("evidence_types").alias("wanted")))
+    kept = chunks.where("id is not null").withColumn("wanted", F.explode(F.array_distinct("evidence_types"))).join(wanted, "wanted")
+    # the first four of each template, as an aggregate of bounded size
+    first = F.slice(F.sort_array(F.collect_list(F.struct(F.length("id").alias("n"), "id", "title", "evidence_types"))), 1, 4)
+    per = kept.groupBy(F.col("project_id").alias("request_id"), "template_id").agg(first.alias("cs"))
+    have = per.select(
+        "request_id", "template_id", F.transform("cs", lambda c: c["id"]).alias("ids"), F.array_distinct(F.flatten(F.transform("cs", lambda c: c["evidence_types"]))).alias("types"),
+        F.array_distinct(tokens(F.array_join(F.transform("cs", lambda c: F.coalesce(c["title"], F.lit(""))), " \n "))).alias("words"), F.col("cs")[0]["title"].alias("subject"),
+    )
+    words = read_table(spark, d, "eval_items").select(F.col("item_id").alias("target_id"), F.array_distinct(tokens(F.coalesce("text", F.lit("")))).alias("target_words"))
+    requests = read_table(spark, d, "projects").where("id is not null").select(F.col("id").alias("request_id")).distinct()
+    return planner.candidates(requests, groups, t, points, have, words, 1, 3), t
+
+
+@query(f"{_CANDIDATES} select request_id, array_to_string(points, ',') as points, template_id, topic_id, target_id, array_to_string(ids, ',') as evidence, relevance, plan_key from plans where reject_reason is null")
+def plan_candidates(spark, d):
+    """The plans of each project that pass every gate, with their relevance."""
+    c = _candidates(spark, d)[0].where("reject_reason is null")
+    return c.select("request_id", F.array_join("points", ",").alias("points"), "template_id", "topic_id", "target_id", F.array_join("evidence", ",").alias("evidence"), "relevance", "plan_key")
+
+
+@query(f"{_CANDIDATES} select coalesce(reject_reason, 'passed') as reject_reason, count(*) as n from plans group by 1")
+def plan_rejections(spark, d):
+    """How many plans each gate turned away."""
+    return _candidates(spark, d)[0].groupBy(F.coalesce("reject_reason", F.lit("passed")).alias("reject_reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""{_CANDIDATES}, one as (select distinct plan_key, points, template_id, y_low, y_high from plans where reject_reason is null)
+select plan_key, array_to_string(list_transform(points, lambda p: (select name from {_T['point']} where point_id = p)), ' + ') as x, y_low::int as y_low, y_high::int as y_high, template_id as colour from one"""
+)
+def plot_series(spark, d):
+    c, t = _candidates(spark, d)
+    return planner.plot_series(c.where("reject_reason is null").select("plan_key", "points", "template_id", "band").distinct(), t["point"])

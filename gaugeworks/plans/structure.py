@@ -143,7 +143,7 @@ select query_id, case when max(score) >= 2.0 or max(overlap) >= 3 then 'strong'
 def target_coverage(spark, d):
     corpus = bm25.documents_as_corpus(read_table(spark, d, "documents"))
     items = read_table(spark, d, "eval_items")
-    top = bm25.top_k(bm25.score(corpus, bm25.query_terms(items, "item_id", "text")), 4)
+    top = bm25.search(corpus, bm25.query_terms(items, "item_id", "text"), 4)
     q = items.select(F.col("item_id").alias("query_id"), F.array_distinct(tokens(F.coalesce("text", F.lit("")))).alias("q"))
     both = top.join(q, "query_id").join(corpus.select("doc_id", F.array_distinct("tokens").alias("t")), "doc_id")
     scored = both.select("query_id", "score", F.size(F.array_intersect("q", "t")).alias("overlap"))
@@ -177,14 +177,53 @@ def entity_candidates(spark, d):
     return entities.candidates(_chunks(spark, d, ["text"]).where("text is not null"), "project_id", names)
 
 
-@query()
+#: Groups of a bundle: the words added to a query, its documents' sources, how many of them, and whether they are required.
+_GROUPS = [
+    ("talk", "function call code", ("code_explanation", "review_comments", "forum"), 2, True),
+    ("notes", "requirement stage task", ("lecture_notes", "assignment_spec"), 1, True),
+    ("other", "report", (), 2, False),
+]
+_SOURCES = [x for g in _GROUPS for x in g[2]]
+_MOST = 6
+
+
+def _group_sql(name: str, words: str, sources: tuple, count: int) -> str:
+    member = f"coalesce(source, '') in ({', '.join(repr(x) for x in sources)})" if sources else f"coalesce(source, '') not in ({', '.join(repr(x) for x in _SOURCES)})"
+    score = bm25.score_sql("select doc_id, coalesce(text, '') as text, source from documents", f"select item_id as query_id, coalesce(text, '') || ' {words}' as text from eval_items", keep="source")
+    return f"""select query_id, doc_id, '{name}' as grp, (((rank - 1 - query_id % 3) % n + n) % n + 1)::bigint as place from (select *, count(*) over (partition by query_id) as n from (
+{score} select query_id, s.doc_id, row_number() over (partition by query_id order by round(score, 6) desc, s.doc_id) as rank from scored s join lengths l using (doc_id) where {member}) where rank <= {max(8, 4 * count)})"""
+
+
+def _bundles_sql() -> str:
+    order = " ".join(f"when '{g[0]}' then {i}" for i, g in enumerate(_GROUPS))
+    counts = " ".join(f"when '{g[0]}' then {g[3]}" for g in _GROUPS)
+    short = ", ".join(f"case when count(*) filter (grp = '{g[0]}') < {g[3]} then '{g[0]}' end" for g in _GROUPS if g[4])
+    any_ = f"{bm25.score_sql(_CORPUS, _ITEMS)} select query_id, doc_id, 'fill' as grp, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as place from scored qualify place <= {4 * _MOST}"
+    return f"""with listed as ({' union all '.join(f'select * from ({_group_sql(g[0], g[1], g[2], g[3])})' for g in _GROUPS)}),
+taken as (select *, case grp {order} end as o from listed where place <= case grp {counts} end),
+state as (select query_id, array_to_string(list_filter([{short}], lambda x: x is not null), ',') as missing from taken group by 1),
+rest as (select query_id, doc_id, grp, place, 9 as o from ({any_}) a where not exists (select 1 from taken t where t.query_id = a.query_id and t.doc_id = a.doc_id)),
+whole as (select query_id, row_number() over (partition by query_id order by o, place)::int as position, doc_id, grp from (select query_id, doc_id, grp, place, o from taken union all select * from rest))
+select query_id, position, doc_id, grp as "group", null::varchar as missing from whole join state using (query_id) where missing = '' and position <= {_MOST}
+union all select query_id, 0, null, null, missing from state where missing <> ''"""
+
+
+@query(_bundles_sql())
 def evidence_bundles(spark, d):
-    """For each evaluation item two documents of code talk, one of notes, and further ones, from its best forty."""
+    """For each evaluation item two documents of code talk, one of notes, and further ones; candidates rotate by item."""
     corpus = bm25.documents_as_corpus(read_table(spark, d, "documents"), keep=("source",))
-    scored = bm25.score(corpus, bm25.query_terms(read_table(spark, d, "eval_items"), "item_id", "text"), keep=("source",))
-    top = bm25.top_k(scored, 40, keep=("source",))
-    group = F.when(F.col("source").isin("code_explanation", "review_comments", "forum"), "talk").when(F.col("source").isin("lecture_notes", "assignment_spec"), "notes").otherwise("other")
-    return entities.bundles(top.withColumn("group", group), "query_id", {"talk": 2, "notes": 1}, {"other": 2})
+    items = read_table(spark, d, "eval_items").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    listed, known = None, bm25.vocabulary(corpus)
+    for name, words, sources, count, _ in _GROUPS:
+        of = F.coalesce("source", F.lit("")).isin(*(sources or _SOURCES))
+        terms = bm25.query_terms(items.withColumn("text", F.concat("text", F.lit(f" {words}"))), "item_id", "text")
+        k = max(8, 4 * count)
+        ranked = bm25.rotate(bm25.search(corpus, terms, k, where=of if sources else ~of, known=known), F.col("query_id").cast("int") % 3, k)
+        one = ranked.select("query_id", "doc_id", F.col("place").alias("rank"), F.lit(name).alias("group"))
+        listed = one if listed is None else listed.unionByName(one)
+    fill = bm25.search(corpus, bm25.query_terms(items, "item_id", "text"), 4 * _MOST, known=known).select("query_id", "doc_id", "rank", F.lit("fill").alias("group"))
+    required, optional = ({g[0]: g[3] for g in _GROUPS if g[4] is want} for want in (True, False))
+    return entities.bundles(listed.unionByName(fill), "query_id", required, optional, _MOST, fill="fill")
 
 
 @query()

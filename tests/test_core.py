@@ -117,15 +117,15 @@ def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(1, "apple banana apple"), (2, "banana cherry"), (3, "cherry date egg fig"), (4, None)], "doc_id bigint, text string")
     queries = spark.createDataFrame([(1, "apple cherry cherry")], "q bigint, t string")
     corpus = bm25.documents_as_corpus(docs)
-    got = {r.doc_id: r.score for r in bm25.top_k(bm25.score(corpus, bm25.query_terms(queries, "q", "t")), 10).collect()}
+    got = {r.doc_id: r.score for r in bm25.search(corpus, bm25.query_terms(queries, "q", "t"), 10).collect()}
     idf = lambda df: math.log(4 - df + 0.5) - math.log(df + 0.5)
     part = lambda f, n: f * 2.5 / (f + 1.5 * (0.25 + 0.75 * n / (9 / 4)))
     mean = sum(map(idf, (1, 2, 2, 1, 1, 1))) / 6
     lift = lambda x: x if x >= 0 else 0.25 * mean
     want = {1: lift(idf(1)) * part(2, 3), 2: 2 * lift(idf(2)) * part(1, 2), 3: 2 * lift(idf(2)) * part(1, 4)}
     assert got == {k: pytest.approx(v, abs=1e-5) for k, v in want.items()}
-    assert bm25.top_k(bm25.score(corpus.limit(0), bm25.query_terms(queries, "q", "t"))).count() == 0
-    full = bm25.fill(bm25.top_k(bm25.score(corpus, bm25.query_terms(queries, "q", "t")), 4), queries.select(F.col("q").alias("query_id")), corpus, 4)
+    assert bm25.search(corpus.limit(0), bm25.query_terms(queries, "q", "t")).count() == 0
+    full = bm25.fill(bm25.search(corpus, bm25.query_terms(queries, "q", "t"), 4), queries.select(F.col("q").alias("query_id")), corpus, 4)
     assert sorted(r.doc_id for r in full.collect()) == [1, 2, 3, 4]
 
 
