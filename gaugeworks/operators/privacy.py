@@ -160,3 +160,27 @@ def manifest(parts: dict[str, DataFrame], checked: dict[str, str]) -> DataFrame:
 
 def random_record_id() -> Column:
     return F.concat(F.lit("sr_"), F.replace(F.uuid(), F.lit("-"), F.lit("")))
+
+
+def strings_in(json_text: Column) -> Column:
+    """All labels and texts of a JSON value at any depth; numbers and truth values are no text."""
+    return F.regexp_extract_all(json_text, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
+
+
+def record_problem(json_text: Column, exempt: str = "study_record_id") -> Column:
+    """Why a record (JSON of an object) may not be released: a forbidden key, an unknown one, a label or text at any depth
+    that gives something away; null if it may. The record's own id is no such text."""
+    keys = F.json_object_keys(json_text)
+    low = F.transform(keys, F.lower)
+    bad = F.arrays_overlap(low, F.array(*map(F.lit, FORBIDDEN_KEYS)))
+    unknown = F.size(F.array_except(keys, F.array(*map(F.lit, ALLOWED_KEYS)))) > 0
+    rest = F.regexp_replace(json_text, rf'"{exempt}"[ \t]*:[ \t]*"[^"]*"', f'"{exempt}":""')
+    gives_away = F.exists(strings_in(rest), lambda t: F.size(categories(t)) > 0)
+    return F.when(bad, "forbidden_key").when(unknown, "unknown_key").when(gives_away, "gives_away")
+
+
+def assert_clean(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df``, of which reading any row fails whose columns give something away; the message names categories, never a value."""
+    found = F.array_distinct(F.flatten(F.array(*[categories(F.col(c).cast("string")) for c in columns])))
+    refuse = F.when(F.size(found) > 0, F.raise_error(F.concat(F.lit("sensitive: "), F.array_join(found, ",")))).otherwise(F.lit(True))
+    return df.withColumn("_clean", refuse.cast("boolean")).where("_clean").drop("_clean")

@@ -254,8 +254,8 @@ def plan_rejections(spark, d):
 
 
 @query(
-    f"""{_CANDIDATES}, one as (select distinct plan_key, points, template_id, y_low, y_high from plans where reject_reason is null)
-select plan_key, array_to_string(list_transform(points, lambda p: (select name from {_T['point']} where point_id = p)), ' + ') as x, y_low::int as y_low, y_high::int as y_high, template_id as colour from one"""
+    f"""{_CANDIDATES}, one as (select distinct plan_key, points, template_id, y_low, y_high from plans where reject_reason is null), e as (select plan_key, template_id, y_low, y_high, unnest(points) as p, generate_subscripts(points, 1) as i from one)
+select plan_key, string_agg(coalesce(name, p), ' + ' order by i) as x, y_low::int as y_low, y_high::int as y_high, template_id as colour from e left join {_T['point'].replace('as v(', 'as n(')} on n.point_id = e.p group by plan_key, template_id, y_low, y_high"""
 )
 def plot_series(spark, d):
     c, t = _candidates(spark, d)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeworks.operators import nested, orphans
-from gaugeworks.plans import nested_sql, planning, privacy, retrieval, review, streams, structure  # noqa: F401  (they register their queries)
+from gaugeworks.plans import nested_sql, planning, privacy, records, retrieval, review, streams, structure  # noqa: F401  (they register their queries)
 from gaugeworks.plans.registry import QUERIES, SQL, query
 from gaugeworks.sources import read_table
 
