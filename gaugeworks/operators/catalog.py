@@ -5,12 +5,17 @@ built from the rows below; matrices hold only their non-zero cells.
 """
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Concepts of a lexicon at most.
+MOST_CONCEPTS = 1_000
+
+
 @dataclass
 class Catalog:
     """Focus areas (topics), points, templates and the two compatibility matrices."""
@@ -146,9 +151,16 @@ def catalog_hash(matrix: DataFrame) -> DataFrame:
 def expand_concepts(df: DataFrame, id_col: str, text: str, lexicon: DataFrame) -> DataFrame:
     """(id, concept, ordinal, aliases): the concepts of which a trigger stands in the text's tokens.
 
-    The lexicon is a table that people write; it is broadcast.
+    The lexicon is a table that people write, ``MOST_CONCEPTS`` rows at most: its triggers become expressions, so nothing
+    is joined.
     """
     from gaugeworks.functions.text import tokens
 
+    rows = lexicon.select("ordinal", "concept", "triggers", "aliases").limit(MOST_CONCEPTS + 1).collect()
+    if len(rows) > MOST_CONCEPTS:
+        raise ValueError("a lexicon that people write is smaller")
     joined = df.select(F.col(id_col).alias("id"), F.array_join(tokens(F.coalesce(F.col(text), F.lit(""))), " ").alias("joined"))
-    return joined.join(F.broadcast(lexicon), F.exists("triggers", lambda t: F.contains(F.col("joined"), t))).select("id", "concept", "ordinal", "aliases")
+    hit = lambda r: F.col("joined").rlike("|".join(re.escape(t) for t in r.triggers)) if r.triggers else F.lit(False)
+    one = lambda r: F.struct(F.lit(r.concept).alias("concept"), F.lit(r.ordinal).alias("ordinal"), F.array(*map(F.lit, r.aliases)).cast("array<string>").alias("aliases"))
+    fired = F.array_compact(F.array(*[F.when(hit(r), one(r)) for r in rows])) if rows else F.array().cast("array<struct<concept:string,ordinal:int,aliases:array<string>>>")
+    return joined.select("id", F.explode(fired).alias("x")).select("id", "x.concept", "x.ordinal", "x.aliases")

@@ -7,6 +7,8 @@ would close a cycle.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.materialise import materialise
+
 
 def endpoint(c: Column) -> Column:
     """An end of an arrow without place, remarks and quotes, 100 characters at most."""
@@ -47,12 +49,12 @@ def reach(edges: DataFrame, starts: DataFrame, group: list[str], depth: int = 4)
 
     One join a step on what the last step found; nodes that were found before aren't followed again.
     """
-    e = edges.select(*group, "src", "dst").distinct()
+    e = materialise(edges.select(*group, "src", "dst").distinct())
     frontier = starts.select(*group, F.col("node").alias("start"), "node").withColumn("depth", F.lit(0))
     seen = frontier
     for step in range(1, depth + 1):
         step_ = frontier.join(e.withColumnRenamed("src", "node"), [*group, "node"]).select(*group, "start", F.col("dst").alias("node")).distinct()
-        frontier = step_.join(seen.select(*group, "start", "node"), [*group, "start", "node"], "left_anti").withColumn("depth", F.lit(step))
+        frontier = materialise(step_.join(seen.select(*group, "start", "node"), [*group, "start", "node"], "left_anti").withColumn("depth", F.lit(step)))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -4,6 +4,8 @@ Detectors are patterns without look-around, so that every engine reads them alik
 nothing; unknown or unreadable durations are 'unknown'; a count of zero is a small cell.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ FORBIDDEN_KEYS = (
     "repository_url repo_url url file_path filesystem_path path"
 ).split()
 MIN_CELL = 5
+#: Terms up to which their table is broadcast.
+MOST_TERMS = 1_000_000
 REPO_ID = r"^[A-Za-z0-9_-]{1,32}$"
 VERSIONS = {"schema_version": "1", "deid_rule_version": "1", "suppression_rule_version": "1"}
 
@@ -64,12 +68,16 @@ def scan(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def with_forbidden_terms(df: DataFrame, key: str, column: str, terms: list[str]) -> DataFrame:
     """(key, term): known identifiers of three or more characters that stand in a text as words."""
     wanted = sorted({t.strip().lower() for t in terms if len(t.strip()) >= 3})
-    spark = df.sparkSession
-    table = spark.createDataFrame([(t,) for t in wanted], "term string")
+    single = [t for t in wanted if re.fullmatch("[a-z0-9_]+", t)]
     low = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(" "))
-    # a literal text, so the search needs no pattern of the term
-    words = df.select(key, F.array_distinct(F.split(low, "[^A-Za-z0-9_]+")).alias("words"), low.alias("low"))
-    return words.join(F.broadcast(table), F.array_contains("words", F.col("term")) | (F.col("term").rlike("[^a-z0-9_]") & F.contains("low", F.col("term")))).select(key, "term")
+    # the list is the caller's own and part of the plan: words meet as equal keys, other terms are searched for as they stand
+    table = df.sparkSession.createDataFrame([(t,) for t in single], "term string")
+    words = df.select(key, F.explode(F.array_distinct(F.split(low, "[^A-Za-z0-9_]+"))).alias("term")).join(F.broadcast(table) if len(single) <= MOST_TERMS else table, "term")
+    rest = [t for t in wanted if t not in set(single)]
+    if not rest:
+        return words.select(key, "term")
+    phrases = df.select(key, F.explode(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in rest]))).alias("term"))
+    return words.select(key, "term").unionByName(phrases)
 
 
 def duration_band(seconds: Column) -> Column:

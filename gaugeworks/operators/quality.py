@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.functions.skew import salted_join
+from gaugeworks.functions.materialise import materialise
+from gaugeworks.functions.skew import SALTS, hot_keys, salted_join
 from gaugeworks.functions.text import casefold, jaccard, strip, tokens
 
 #: Similarity from which two questions count as near-duplicates.
@@ -76,17 +77,27 @@ def alike(classes: DataFrame, least: float = ALIKE) -> DataFrame:
     """(a, b, similarity) of the classes whose token sets have a Jaccard similarity of ``least`` or more; a < b.
 
     Prefix filter: with tokens in order of rareness, two sets that are alike share one of the first
-    n - ceil(least * n) + 1 of each. Candidates of a token meet in parts, so a frequent token fits no single task; pairs
-    are verified on the sets. No pair is lost, and equal sets are one class before.
+    n - ceil(least * n) + 1 of each, at places that leave enough tokens behind. The classes of a frequent token meet in
+    parts, so it fits no single task; pairs are verified on the sets. No pair is lost, and equal sets are one class before.
     """
     df = classes.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     ranked = classes.select("class_id", F.size("tokens").alias("n"), F.explode("tokens").alias("t")).join(df, "t")
     order = F.array_sort(F.collect_list(F.struct("df", "t")))
     sets = ranked.groupBy("class_id", "n").agg(order.alias("o"))
-    prefix = sets.select("class_id", "n", F.explode(F.slice("o", 1, (F.col("n") - F.ceil(F.round(F.col("n") * least, 9)) + 1).cast("int"))).alias("x")).select("class_id", "n", F.col("x.t").alias("t"))
-    # lengths that can't be alike never meet
-    a, b = prefix.alias("a"), prefix.alias("b")
-    meet = (F.col("a.t") == F.col("b.t")) & (F.col("a.class_id") < F.col("b.class_id")) & (F.col("b.n") >= F.col("a.n") * least) & (F.col("a.n") >= F.col("b.n") * least)
+    length = (F.col("n") - F.ceil(F.round(F.col("n") * least, 9)) + 1).cast("int")
+    prefix = materialise(sets.select("class_id", "n", F.posexplode(F.slice("o", 1, length)).alias("i", "x")).select("class_id", "n", "i", F.col("x.t").alias("t")))
+    # one side of a hot token is dealt out, the other repeated for every part
+    hot = F.broadcast(materialise(hot_keys(prefix, ["t"])).withColumn("_hot", F.lit(True)))
+    marked = prefix.join(hot, "t", "left")
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64("class_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    a = marked.withColumn("part", part).alias("a")
+    b = marked.withColumn("part", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).alias("b")
+    # lengths that can't be alike never meet, nor do places behind which too few tokens are left
+    needed = F.ceil(F.round((F.col("a.n") + F.col("b.n")) * (least / (1 + least)), 9))
+    meet = (
+        (F.col("a.t") == F.col("b.t")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.class_id") < F.col("b.class_id")) & (F.col("b.n") >= F.col("a.n") * least)
+        & (F.col("a.n") >= F.col("b.n") * least) & (F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= needed)
+    )
     pairs = a.join(b, meet).select(F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct()
     s = classes.select("class_id", "tokens")
     full = pairs.join(s.select(F.col("class_id").alias("a"), F.col("tokens").alias("ta")), "a").join(s.select(F.col("class_id").alias("b"), F.col("tokens").alias("tb")), "b")

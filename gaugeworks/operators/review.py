@@ -7,6 +7,8 @@ go to the smaller id.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.materialise import materialise
+
 
 def rate(part: Column, whole: Column, digits: int = 3) -> Column:
     return F.round(F.try_divide(part.cast("double"), whole.cast("double")), digits)
@@ -41,19 +43,22 @@ def adaptive_next(items: DataFrame, answered: DataFrame, item: str, difficulty:
     """(person, item): the unanswered item nearest to the wanted difficulty.
 
     Wanted is 3 without a last answer, else one step up or down from it, within 1 to 5. ``answered`` holds person, item,
-    and (the same in all rows of a person) the last difficulty and whether it was correct. Only the first unanswered
-    item of each difficulty can be next; those a person has answered are few beside the items.
+    and (the same in all rows of a person) the last difficulty and whether it was correct. Difficulties are 1 to 5.
+
+    Of each difficulty the items are ranked by id, one more than anybody has answered; the first gap in the ranks that a
+    person has answered is the first item left, so people and items meet by equal keys only.
     """
     target = F.when(F.col(last).isNull(), 3).otherwise(F.least(F.greatest(F.col(last) + F.when(F.col(last_correct), 1).otherwise(-1), F.lit(1)), F.lit(5)))
-    wanted = answered.groupBy(person).agg(F.max(target).alias("target"), F.array_distinct(F.collect_list(item)).alias("done"))
-    most = wanted.agg(F.max(F.size("done"))).first()[0] or 0
-    # of each difficulty the smallest ids: one more than anybody has answered
-    first = newest(items.select(item, difficulty), [difficulty], [F.col(item)], most + 1)
-    ladder = first.groupBy(difficulty).agg(F.array_sort(F.collect_list(item)).alias("ids"))
-    ladders = ladder.agg(F.collect_list(F.struct(F.col(difficulty).alias("d"), "ids")).alias("l"))
-    open_ = F.transform("l", lambda x: F.struct(F.abs(x["d"] - F.col("target")).alias("gap"), F.element_at(F.array_except(x["ids"], "done"), 1).alias("id")))
-    choice = F.array_min(F.filter(open_, lambda x: x["id"].isNotNull()))
-    return wanted.join(F.broadcast(ladders)).select(person, "target", choice["id"].alias(item)).where(F.col(item).isNotNull())
+    done = materialise(answered.groupBy(person, item).agg(F.max(target).alias("target")))
+    wanted = done.groupBy(person).agg(F.max("target").alias("target"), F.count(F.lit(1)).alias("n"))
+    most = wanted.agg(F.max("n")).first()[0] or 0
+    by_id = Window.partitionBy(difficulty).orderBy(item)
+    ladder = materialise(items.select(item, difficulty).withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= most + 1))
+    ranks = done.join(ladder, item).select(person, difficulty, "rank", F.row_number().over(Window.partitionBy(person, difficulty).orderBy("rank")).alias("place"))
+    full = ranks.where("rank = place").groupBy(person, difficulty).agg(F.max("rank").alias("full"))
+    levels = wanted.select(person, "target", F.explode(F.sequence(F.lit(1), F.lit(5))).alias(difficulty))
+    next_ = levels.join(full, [person, difficulty], "left").withColumn("rank", F.coalesce("full", F.lit(0)) + 1).join(ladder, [difficulty, "rank"])
+    return next_.groupBy(person, "target").agg(F.min_by(item, F.struct(F.abs(F.col(difficulty) - F.col("target")).alias("gap"), item)).alias(item))
 
 
 def change_flags(old: DataFrame, new: DataFrame, key: str, content: list[str], other: list[str]) -> DataFrame:
