@@ -31,6 +31,10 @@ SEED = 5
 BLOCK = 2
 MIN_WORDS = 12
 PER_CHANGE = 8
+#: Changes that a match need hold at most. One with five or more falls into two at its middle change, with two or more
+#: changes each; together they have at least eight words a change, so one of them has, which makes 16 or more, and is a
+#: match itself. Option marks beside the middle belong to neither part: eight of them in a row leave the sum enough.
+MOST_CHANGES, MARKS_IN_A_ROW = 4, 8
 #: Characters of item texts that one pass over the documents searches for; more items are searched in several passes.
 PASS_CHARS = 20_000_000
 
@@ -82,6 +86,15 @@ def least_run(place: list[int]) -> int:
     return max(least, BLOCK)
 
 
+def _most_changes(place: list[int]) -> int:
+    """The changes that a match of an item need hold at most."""
+    if not place:
+        return 0
+    whole = (place[-1] - place[0] + 1) // PER_CHANGE
+    in_a_row = max((b - a - 1 for a, b in zip(place, place[1:])), default=0)
+    return min(whole, MOST_CHANGES) if in_a_row <= MARKS_IN_A_ROW else whole
+
+
 class Searcher:
     """Wu-Manber tables for all windows of ``self.seed`` words of the items."""
 
@@ -98,6 +111,7 @@ class Searcher:
             self.place.append([p for p, _ in kept])
         long_enough = [k for k, p in enumerate(self.place) if p and p[-1] - p[0] + 1 >= MIN_WORDS]
         self.seed = seed = min((least_run(self.place[k]) for k in long_enough), default=SEED)
+        self.most = [_most_changes(p) for p in self.place]
         self.default = seed - BLOCK + 1
         self.shift: dict[int, int] = {}
         self.bucket: dict[int, list[tuple[int, int]]] = {}
@@ -164,14 +178,27 @@ class Searcher:
             a, i = a - 1, i - 1
         if place[b - 1] - place[a] + 1 >= MIN_WORDS:
             return True
-        # no match of the item can hold more changes
-        most = (place[-1] - place[0] + 1) // PER_CHANGE
-        right = _extend(item, b, 1, seq, j, most)
-        left = _extend(item, a - 1, -1, seq, i - 1, most)
-        # left and right ends by their cost: the window is long enough if both together stay within one change in eight
+        most = self.most[k]
+        right, edge_r = _extend(item, b, 1, seq, j, most)
+        left, edge_l = _extend(item, a - 1, -1, seq, i - 1, most)
+        if self._long_enough(place, a, b, left, right, most):
+            return True
+        # where a word comes twice in a row another way to align may end further on, and leave the exact run before its
+        # end: asked, from each pattern in the run, only if the edges leave room
+        if not self._long_enough(place, a, b, edge_l, edge_r, most):
+            return False
+        for x in range(a, b - self.seed + 1):
+            y, end = i + x - a, x + self.seed
+            if self._long_enough(place, x, end, _align(item, x - 1, -1, seq, y - 1, most), _align(item, end, 1, seq, y + self.seed, most), most):
+                return True
+        return False
+
+    @staticmethod
+    def _long_enough(place: list[int], a: int, b: int, left: list[int], right: list[int], most: int) -> bool:
+        """Whether left and right ends, given by their cost, make a window that stays within one change in eight."""
         for cost_l, reach_l in enumerate(left):
             lo = a if reach_l < 0 else reach_l
-            for cost_r, reach_r in enumerate(right):
+            for cost_r, reach_r in enumerate(right[: most - cost_l + 1]):
                 hi = b - 1 if reach_r < 0 else reach_r
                 n = place[hi] - place[lo] + 1
                 if n >= MIN_WORDS and (cost_l + cost_r) * PER_CHANGE <= n:
@@ -179,17 +206,17 @@ class Searcher:
         return False
 
 
-def _extend(item: list[int], at: int, step: int, seq: list[int], j: int, most: int) -> list[int]:
-    """Per number of changes, up to ``most``, the furthest place of the item beyond ``at`` that agrees (-1: none).
-
-    A change replaces a word, leaves it out or puts one in.
-    """
+def _extend(item: list[int], at: int, step: int, seq: list[int], j: int, most: int) -> tuple[list[int], list[int]]:
+    """Per number of changes, up to ``most``, the furthest place of the item beyond ``at`` that agrees (-1: none), and the
+    furthest one that is reached at all. A change replaces a word, leaves it out or puts one in."""
     n, m = len(item), len(seq)
     # of each diagonal the furthest place of the item that the present number of changes reaches
     front = {j - at: (at, j)}
     best: list[int] = []
+    edge: list[int] = []
     reach, last = -1, n - 1 if step > 0 else 0
     while front and len(best) <= most and reach != last:
+        far = -1
         for d, (p, q) in front.items():
             p0 = p
             while 0 <= p < n and 0 <= q < m and item[p] == seq[q]:
@@ -197,7 +224,10 @@ def _extend(item: list[int], at: int, step: int, seq: list[int], j: int, most: i
             front[d] = (p, q)
             if p != p0 and (reach < 0 or (p - step - reach) * step > 0):
                 reach = p - step
+            if p != at and (far < 0 or (p - step - far) * step > 0):
+                far = p - step
         best.append(reach)
+        edge.append(far)
         new: dict[int, tuple[int, int]] = {}
         for p, q in front.values():
             if not 0 <= p < n:
@@ -209,6 +239,34 @@ def _extend(item: list[int], at: int, step: int, seq: list[int], j: int, most: i
                     if old is None or (p2 - old[0]) * step > 0:
                         new[d] = (p2, q2)
         front = new
+    return best, edge
+
+
+def _align(item: list[int], at: int, step: int, seq: list[int], j: int, most: int) -> list[int]:
+    """As the first part of ``_extend``, over all ways to align: row by row, within ``most`` diagonals of the seed's."""
+    best = [-1] * (most + 1)
+    # of each shift of the document against the item the fewest changes
+    row = {s: s for s in range(most + 1)}
+    p = at
+    while 0 <= p < len(item) and row:
+        new: dict[int, int] = {}
+        for s in range(-most, most + 1):
+            q = j + (p - at) + s * step
+            same = 0 <= q < len(seq) and item[p] == seq[q]
+            if same and s in row:
+                best[row[s]] = p
+            found = [row[s] + (not same)] if s in row and (same or 0 <= q < len(seq)) else []
+            if s + 1 in row:
+                found.append(row[s + 1] + 1)
+            if s - 1 in new:
+                found.append(new[s - 1] + 1)
+            if found and min(found) <= most:
+                new[s] = min(found)
+        row = new
+        p += step
+    for c in range(1, most + 1):
+        if best[c] < 0 or best[c - 1] >= 0 and (best[c - 1] - best[c]) * step > 0:
+            best[c] = best[c - 1]
     return best
 
 
