@@ -15,15 +15,18 @@ from gaugeworks.functions.text import assessable, casefold, label, mark_weight,
 MAX_TARGETS = 48
 STRONG_SCORE, STRONG_OVERLAP = 2.0, 3
 FLUSH_CHARS, SPLIT_CHARS, LEAST_CHARS = 700, 900, 12
-_BULLET = re.compile(r"^\s*(?:[-*•–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+")
-_SENTENCES = re.compile(r"(?<=[.!?])\s+")
+# What begins an item of a list, and where a sentence ends.
+_BULLET = re.compile(r"[ \t]*(?:[-*•▪◦]|[0-9]+[.)]|[A-Za-z][.)])[ \t\f\v]+")
+_SENTENCES = re.compile(r"(?<=[.!?])[ \t\f\v]+(?=[A-Z0-9])")
+_EDGE = " \t\r\f\v"
 
 
 def _packed(sentences: list[str], most: int):
     """Sentences joined as far as they fit into ``most`` characters."""
     part, size = [], 0
     for x in sentences:
-        if part and size + len(x) + 1 > most:
+        # what was joined so far, and the blank before the next one
+        if part and size + len(x) > most:
             yield " ".join(part)
             part, size = [], 0
         part.append(x)
@@ -33,30 +36,59 @@ def _packed(sentences: list[str], most: int):
 
 
 def split_blocks(text: str) -> list[str]:
-    """Paragraphs and bullets of a text; long ones are divided at sentences."""
+    """Paragraphs and bullets of a text; long ones are divided at sentences. Lines end at line feeds."""
     groups: list[list[str]] = [[]]
-    for line in map(str.strip, (text or "").splitlines()):
+    full = False
+    for line in (x.strip(_EDGE) for x in (text or "").split("\n")):
         bullet = _BULLET.match(line)
         lead_in = line.endswith(":") and len(line) < 100
-        full = sum(len(x) + 1 for x in groups[-1]) > FLUSH_CHARS
         if not line or bullet or lead_in or full:
             groups.append([])
         if line:
             groups[-1].append(line[bullet.end() :] if bullet else line)
-    whole = [" ".join(g) for g in groups]
+        # a list item or a lead-in is never too long to go on
+        full = bool(line) and not bullet and not lead_in and sum(len(x) + 1 for x in groups[-1]) > FLUSH_CHARS
+    whole = [" ".join(g).strip(_EDGE) for g in groups]
     return [part for b in whole if len(b) >= LEAST_CHARS for part in (_packed(_SENTENCES.split(b), SPLIT_CHARS) if len(b) > SPLIT_CHARS else [b])]
 
 
+_RATING = re.compile(r"excellent|good|satisfactory|fail|not solved")
+
+
 def rubric_rows(text: str) -> list[tuple[str, float, str]]:
-    """(criterion, most points, description) of a rubric given as lines: name, points, then what earns them all."""
-    lines = [x.strip() for x in (text or "").splitlines() if x.strip()]
-    low = [x.lower() for x in lines]
+    """(criterion, most points, what earns them all) of the tables in a text that begin 'Criteria Ratings Points'.
+
+    A table first names its criteria, each up to a line that ends in points reached and possible ('4/5 pts'), and then
+    gives their ratings in the same order; names and the descriptions below 'Excellent' are put together by their places.
+    """
+    lines = [x.strip() for x in (text or "").splitlines()]
     out = []
-    for i, x in enumerate(low):
-        if m := re.fullmatch(r"(?:/\s*)?(\d+(?:\.\d+)?)\s*(?:pts|points?|marks?)", x):
-            if i and not re.fullmatch(r"criteria|ratings|points", low[i - 1]):
-                after = next((lines[j + 1] for j in range(i + 1, len(lines) - 1) if low[j].startswith("excellent")), "")
-                out.append((lines[i - 1], float(m.group(1)), after))
+    heads = [i for i, x in enumerate(lines) if x.lower() == "criteria ratings points"]
+    for start, end in zip(heads, [*heads[1:], len(lines)]):
+        section = lines[start + 1 : end]
+        ratings = next((i for i, x in enumerate(section) if _RATING.fullmatch(x.lower())), None)
+        if ratings is None:
+            continue
+        names: list[tuple[str, float]] = []
+        words: list[str] = []
+        for x in section[:ratings]:
+            m = re.fullmatch(r"(?i)(.*?)[0-9]+(?:\.[0-9]+)?/([0-9]+(?:\.[0-9]+)?)\s*pts?", x)
+            words += [y for y in [m.group(1).strip() if m else x] if y]
+            if m:
+                if words:
+                    names.append((" ".join(words), float(m.group(2))))
+                words = []
+        earned: list[str] = []
+        inside: list[str] | None = None
+        for x in [*section[ratings:], "0 pts"]:
+            if inside is None:
+                inside = [] if x.lower() == "excellent" else None
+            elif re.fullmatch(r"(?i)[0-9]+(?:\.[0-9]+)?\s*pts?", x):
+                earned += [" ".join(inside)] if inside else []
+                inside = None
+            elif x and not _RATING.fullmatch(x.lower()):
+                inside.append(x)
+        out += [(n, most, what) for (n, most), what in zip(names, earned)]
     return out
 
 
@@ -107,14 +139,33 @@ def coverage(best: DataFrame, key: str) -> DataFrame:
     return g.select(key, F.when(strong, "strong").when(some, "partial").otherwise("unmatched").alias("coverage"), "best_score", "best_overlap")
 
 
+#: What a piece of shared evidence counts for beside a shared word.
+SHARED_EVIDENCE = 4
+
+
 def align_to_targets(questions: DataFrame, targets: DataFrame) -> DataFrame:
-    """(question_id, target_id, overlap): of each question the target with the most shared words, heavier ones on ties.
+    """(question_id, target_id, overlap): of each question the target with the most shared words and evidence.
 
-    ``questions``: question_id, group, text; ``targets``: group, target_id, text, weight. Words meet words within a
-    group, so only pairs with something in common arise.
+    ``questions``: question_id, group, text, evidence (array of text), place (a number); ``targets``: group, target_id,
+    text, evidence, weight, scope. Targets of the project's own scope are taken before all others of their group; heavier
+    ones win on ties. A question that shares nothing gets the target of its group at its place, counted round. Words and
+    evidence meet as equal keys within a group, so only pairs with something in common arise.
     """
-    q = questions.select("group", "question_id", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("w"))
-    t = targets.select("group", "target_id", "weight", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("w"))
-    hits = q.join(t, ["group", "w"]).groupBy("question_id", "target_id", "weight").agg(F.count(F.lit(1)).alias("overlap"))
-    best = Window.partitionBy("question_id").orderBy(F.desc("overlap"), F.desc("weight"), "target_id")
-    return hits.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("question_id", "target_id", F.col("overlap").cast("int").alias("overlap"))
+    first = targets.groupBy("group").agg(F.bool_or("scope").alias("_has"))
+    kept = targets.join(first, "group").where(F.col("scope") | ~F.col("_has"))
+    keys = lambda text, evidence: F.explode(
+        F.concat(
+            F.transform(F.array_distinct(tokens(F.coalesce(text, F.lit("")))), lambda w: F.struct(F.concat(F.lit("w:"), w).alias("k"), F.lit(1).alias("n"))),
+            F.transform(F.array_distinct(F.coalesce(evidence, F.array().cast("array<string>"))), lambda e: F.struct(F.concat(F.lit("e:"), e).alias("k"), F.lit(SHARED_EVIDENCE).alias("n"))),
+        )
+    ).alias("x")
+    q = questions.select("group", "question_id", keys(F.col("text"), F.col("evidence"))).select("group", "question_id", "x.k", "x.n")
+    t = kept.select("group", "target_id", "weight", keys(F.col("text"), F.col("evidence"))).select("group", "target_id", "weight", F.col("x.k").alias("k"))
+    hits = q.join(t, ["group", "k"]).groupBy("question_id", "target_id", "weight").agg(F.sum("n").alias("overlap"))
+    best = hits.groupBy("question_id").agg(F.min_by(F.struct("target_id", "overlap"), F.struct((-F.col("overlap")).alias("o"), (-F.col("weight")).alias("w"), "target_id")).alias("b"))
+    found = best.select("question_id", "b.target_id", F.col("b.overlap").cast("int").alias("overlap"))
+    # a group's targets are a list that people write
+    listed = kept.groupBy("group").agg(F.array_sort(F.collect_set("target_id")).alias("ids"))
+    open_ = questions.select("group", "question_id", "place").join(found.select("question_id"), "question_id", "left_anti").join(listed, "group")
+    rest = open_.select("question_id", F.get("ids", F.pmod(F.col("place"), F.size("ids")).cast("int")).alias("target_id"), F.lit(0).alias("overlap"))
+    return found.unionByName(rest)

@@ -5,6 +5,7 @@ that doesn't parse gives one row of kind 'error'; empty text gives none; names i
 """
 
 import ast
+import functools
 import io
 import re
 import textwrap
@@ -87,16 +88,92 @@ _DECLARED = re.compile(
 )
 
 
-def parse_declarations(text: str, most: int = 30) -> Iterator[Row]:
-    """Declared names of other languages, the first ``most`` (a listing), comments aside."""
-    plain = strip_comments(text, "c")
+def parse_declarations(text: str, language: str = "c", most: int = 30) -> Iterator[Row]:
+    """Declared names of other languages, the first ``most`` (a listing), comments and strings aside."""
+    plain = blank(text, language)
     for m in list(_DECLARED.finditer(plain))[:most]:
         line = plain.count("\n", 0, m.start()) + 1
         yield "declaration", next(g for g in m.groups() if g), line, line, [], None, []
 
 
-for _s in (".js", ".ts", ".java", ".cs", ".c", ".cpp", ".go", ".r", ".sh", ".sql", ".rb", ".php", ".rs", ".kt"):
+_CLASS = re.compile(r"(?m)^[ \t]*(?:(?:export|public|private|protected|static|final|abstract|default|sealed|partial)\s+)*(?:class|interface|struct|enum|trait|record|union)\s+([A-Za-z_$][\w$]*)[^;{}()]*\{")
+_FUNCTION = re.compile(
+    r"(?m)^[ \t]*(?:(?:export|default|public|private|protected|static|final|abstract|async|virtual|inline|override|extern|const)\s+)*"
+    r"(?:function\s*\*?\s*([A-Za-z_$][\w$]*)\s*\(|(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function\b[^(]*)?\(|(?:[\w$<>\[\],.?:*&]+[\s*&]+)*([A-Za-z_$~][\w$:]*)\s*\()"
+)
+_CALLED = re.compile(r"([A-Za-z_$][\w$]*)\s*\(")
+_WORDS = frozenset("if for while switch catch return function new throw sizeof typeof else do case delete await super this in of and or not".split())
+
+
+def _close(plain: str, at: int, pair: str) -> int:
+    """The place behind the bracket that closes the one at ``at``; the end of the text if none does."""
+    depth = 0
+    for m in re.compile(f"[{re.escape(pair)}]").finditer(plain, at):
+        depth += 1 if m.group() == pair[0] else -1
+        if not depth:
+            return m.end()
+    return len(plain)
+
+
+def parse_braced(text: str) -> Iterator[Row]:
+    """Classes and functions of languages with braces: name, lines, parameters, leading comment, called names.
+
+    Brackets are matched on the text without strings and comments; a text without such a declaration is read as
+    ``parse_declarations`` does.
+    """
+    plain, found = blank(text, "c"), []
+    lines = text.split("\n")
+    number = lambda at: plain.count("\n", 0, at) + 1
+    classes = []
+    for m in _CLASS.finditer(plain):
+        end = _close(plain, m.end() - 1, "{}")
+        classes.append((m.start(1), end, m.group(1)))
+        found.append(("class", m.group(1), number(m.start(1)), number(end - 1), [], _comment_above(lines, number(m.start(1))), []))
+    for m in _FUNCTION.finditer(plain):
+        name = next(g for g in m.groups() if g)
+        if name in _WORDS:
+            continue
+        inner = _close(plain, m.end() - 1, "()")
+        body = re.compile(r"[^;{}()=]*(?:=>\s*)?\{").match(plain, inner)
+        if not body:
+            continue
+        end = _close(plain, body.end() - 1, "{}")
+        names = [w[-1] for p in plain[m.end() : inner - 1].split(",") if (w := re.findall(r"[A-Za-z_$][\w$]*", re.split(r"[:=]", p)[0]))]
+        calls = sorted({c for c in _CALLED.findall(plain[body.end() : end]) if c not in _WORDS})
+        scope = [c for a, b, c in classes if a < m.start() < b]
+        line = number(m.start() + len(m.group()) - len(m.group().lstrip()))
+        found.append(("function", ".".join([*scope, name]), line, number(end - 1), names, _comment_above(lines, line), calls))
+    if not found:
+        yield from parse_declarations(text)
+    yield from sorted(found, key=lambda r: (r[2], r[1]))
+
+
+def _comment_above(lines: list[str], line: int) -> str | None:
+    """The text of the comment that ends on the line before ``line``."""
+    out: list[str] = []
+    i = line - 2
+    inside = i >= 0 and lines[i].strip().endswith("*/")
+    while i >= 0:
+        bare = lines[i].strip()
+        if not (inside or bare.startswith("//")):
+            break
+        out.append(re.sub(r"^(?:/\*+|\*+/|\*|//+)\s?|\s*\*+/$", "", bare).strip())
+        if inside and bare.startswith("/*"):
+            break
+        i -= 1
+    return "\n".join(x for x in reversed(out) if x) or None
+
+
+def _in_language(language: str) -> Callable[[str], Iterator[Row]]:
+    return lambda text: parse_declarations(text, language)
+
+
+for _s in (".js", ".jsx", ".ts", ".tsx", ".java", ".c", ".h", ".cpp", ".cc", ".hpp", ".cs"):
+    register_parser(_s, parse_braced)
+for _s in (".go", ".rs", ".kt", ".php"):
     register_parser(_s, parse_declarations)
+for _s, _l in ((".r", "hash"), (".sh", "hash"), (".rb", "hash"), (".sql", "sql")):
+    register_parser(_s, _in_language(_l))
 for _s in (".py", ".ipynb"):
     register_parser(_s, parse_python)
 
@@ -107,14 +184,25 @@ _LANGUAGE = {".py": "hash", ".r": "hash", ".sh": "hash", ".rb": "hash", ".yml":
 
 def strip_comments(text: str, language: str = "c") -> str:
     """The text without comments; strings and line ends stay as they are."""
+    return _pattern(language).sub(lambda m: m.group(1) if m.group(1) is not None else "\n" * m.group(2).count("\n"), text)
+
+
+def blank(text: str, language: str) -> str:
+    """The text with its comments and the insides of its strings as blanks: every other character keeps its place."""
+    hide = lambda x: re.sub(r"[^\n]", " ", x)
+    return _pattern(language).sub(lambda m: m.group(1)[0] + hide(m.group(1)[1:-1]) + m.group(1)[-1] if m.group(1) is not None else hide(m.group(2)), text)
+
+
+@functools.cache
+def _pattern(language: str) -> re.Pattern:
+    """Strings (first group) and comments (second group) of a language."""
     marks = _MARKS[language]
     line = [m for m in marks if m != "/*"]
     parts = [r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'", r"`(?:\\.|[^`\\])*`"]
     if language == "hash":
         parts = [r'"""(?:\\.|[^\\])*?"""', r"'''(?:\\.|[^\\])*?'''", *parts]
-    comment = "|".join([*(re.escape(m) + r"[^\n]*" for m in line), *([r"/\*.*?(?:\*/|\Z)"] if "/*" in marks else [])])
-    pattern = re.compile(f"({'|'.join(parts)})|({comment})", re.S)
-    return pattern.sub(lambda m: m.group(1) if m.group(1) is not None else "\n" * m.group(2).count("\n"), text)
+    comment = "|".join([*((r"(?<![^\s;])#" if m == "#" else re.escape(m)) + r"[^\n]*" for m in line), *([r"/\*.*?(?:\*/|\Z)"] if "/*" in marks else [])])
+    return re.compile(f"({'|'.join(parts)})|({comment})", re.S)
 
 
 def strip_python_comments(text: str) -> str:

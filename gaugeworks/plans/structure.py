@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.repeats import without_repeats
 from gaugeworks.functions.text import TOKENS_SQL, tokens
-from gaugeworks.operators import alignment, bm25, entities, evidence, graph
+from gaugeworks.operators import alignment, bm25, entities, evidence, graph, records
+from gaugeworks.plans import nested_sql
 from gaugeworks.plans.registry import query
 from gaugeworks.sources import read_table
 
@@ -112,18 +113,35 @@ k as (select *, regexp_replace(trim(replace(lower(block), 'ß', 'ss')), '\s+', '
  where not regexp_matches(st, '^#{1,6} ') and not (regexp_matches(st, ':$') and length(st) < 60) and not regexp_matches(lower(st), '^(total|sum|overall)([^a-z0-9_]|$)') and regexp_matches(st, '[A-Za-zÀ-ÿ\x{4E00}-\x{9FFF}]')),
 f as (select *, row_number() over (partition by doc_id, norm order by position) as dd from k),
 m as (select *, list_max(list_transform(regexp_extract_all(lower(block), '([0-9]+(?:\.[0-9]+)?) ?(?:marks?|points?|pts|%)', 1), lambda x: x::double)) as top from f where dd = 1),
-w as (select *, round(1.0 + case when top is not null then least(top / 3, 3.85) else 0.0 end, 2)::double as weight from m),
-r as (select *, row_number() over (partition by doc_id order by -weight, position) as r from w)
-select doc_id, 't' || (r - 1) as target_id, md5(block) as description_md5, weight from r where r <= 48"""
+w as (select *, round(1.0 + case when top is not null then least(top / 3, 3.85) else 0.0 end, 2)::double as weight, regexp_replace(regexp_replace(block, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') as flat from m),
+r as (select *, row_number() over (partition by doc_id order by -weight, position) as r, coalesce(nullif(regexp_extract(flat, '^(.*?[.!?])( |$)', 1), ''), flat) as line from w)
+select doc_id, 't' || (r - 1) as target_id, case when length(line) <= 110 then line else substr(line, 1, 107) || '...' end as label, md5(block) as description_md5, weight from r where r <= 48"""
 )
 def target_extract(spark, d):
     docs = read_table(spark, d, "documents").where("text is not null")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "block")).withColumn("base", F.lit(1.0)).withColumn("explicit", F.lit(False))
     t = alignment.build_targets(lines, "doc_id", "explicit")
-    return t.select("doc_id", "target_id", F.md5("description").alias("description_md5"), "weight")
-
-
-@query()
+    return t.select("doc_id", "target_id", "label", F.md5("description").alias("description_md5"), "weight")
+
+
+def _blocks_sql() -> str:
+    strip = lambda x: f"regexp_replace({x}, '^[ \\t\\r\\f\\v]+|[ \\t\\r\\f\\v]+$', '', 'g')"
+    last = lambda x: f"string_split({x}, chr(2))[-1]"
+    bullet = "'^[ \\t]*([-*•▪◦]|[0-9]+[.)]|[A-Za-z][.)])[ \\t\\f\\v]+'"
+    grown = f"case when acc = '' or right(acc, 1) = chr(2) then acc || x when regexp_matches(x, '^$') then acc else acc || ' ' || x end"
+    fold = (
+        f"case when x = '' then acc || chr(2) when regexp_matches(x, {bullet}) then acc || chr(2) || regexp_replace(x, {bullet}, '') when right(x, 1) = ':' and length(x) < 100 then acc || chr(2) || x "
+        f"else {grown} || case when length({last('(' + grown + ')')}) >= {alignment.FLUSH_CHARS} then chr(2) else '' end end"
+    )
+    pack = f"case when length({last('acc')}) + 1 + length(x) > {alignment.SPLIT_CHARS} then acc || chr(2) || x else acc || ' ' || x end"
+    sentences = "string_split(regexp_replace(b, '([.!?])[ \\t\\f\\v]+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+    return f"""with l as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: {strip('x')}) as ls from documents where text is not null),
+g as (select doc_id, list_filter(list_transform(string_split(list_reduce(list_prepend('', ls), lambda acc, x: {fold}), chr(2)), lambda x: {strip('x')}), lambda x: length(x) >= {alignment.LEAST_CHARS}) as bs from l),
+p as (select doc_id, flatten(list_transform(bs, lambda b: case when length(b) > {alignment.SPLIT_CHARS} then string_split(list_reduce({sentences}, lambda acc, x: {pack}), chr(2)) else [b] end)) as ps from g)
+select doc_id, (generate_subscripts(ps, 1) - 1)::int as position, unnest(ps) as block from p"""
+
+
+@query(_blocks_sql())
 def target_blocks(spark, d):
     """Paragraphs and bullets of the documents, as a reader would take them."""
     return alignment.blocks(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
@@ -150,16 +168,27 @@ def target_coverage(spark, d):
     return alignment.coverage(scored, "query_id")
 
 
-@query(
-    f"""with q as (select distinct id, project_id, stem from questions), qt as (select distinct project_id as g, id as question_id, unnest({TOKENS_SQL.format("coalesce(stem, '')")}) as w from q),
-a as (select id, project_id, title from assessments), t as (select distinct project_id as g, id as target_id, 1.0 + id % 3 as weight, unnest({TOKENS_SQL.format("coalesce(title, '')")}) as w from a),
-h as (select question_id, target_id, weight, count(*) as overlap from qt join t using (g, w) group by all)
-select question_id, target_id, overlap::int as overlap from (select *, row_number() over (partition by question_id order by overlap desc, weight desc, target_id) as r from h) where r = 1"""
-)
+_ALIGNED = f"""with q as (select id, min(project_id) as g, min(stem) as stem from questions group by id), a as (select id, min(project_id) as g, min(title) as title, min(status) as status, 1.0 + id % 3 as weight from assessments group by id),
+listed as (select distinct id, key from ({nested_sql._ids('assessments', 'question_ids_json', 'created_at', nested_sql._each("(case when json_type(v) = 'OBJECT' then coalesce(json_extract(v, '$.question_ids'), json_extract(v, '$.ids')) else v end)", 'question_id', 'id')).replace('id as ref_id', 'id')}) where key is not null),
+has as (select g, bool_or(status = 'published') as scoped from a group by g), kept as (select a.* from a join has using (g) where coalesce(status = 'published', false) or not coalesce(scoped, false)),
+qk as (select g, id as question_id, 'w:' || unnest(list_distinct({TOKENS_SQL.format("coalesce(stem, '')")})) as k, 1 as n from q union all select g, id, 'e:' || id, 4 from q),
+tk as (select g, id as target_id, weight, 'w:' || unnest(list_distinct({TOKENS_SQL.format("coalesce(title, '')")})) as k from kept union all select g, kept.id, weight, 'e:' || key from kept join listed using (id)),
+h as (select question_id, target_id, weight, sum(n) as overlap from qk join tk using (g, k) group by all),
+f as (select question_id, target_id, overlap::int as overlap from h qualify row_number() over (partition by question_id order by overlap desc, weight desc, target_id) = 1),
+ids as (select g, list_sort(list_distinct(list(id))) as ids from kept group by g)
+select * from f union all select q.id, ids[q.id % len(ids) + 1], 0 from q join ids using (g) where q.id not in (select question_id from f)"""
+
+
+@query(_ALIGNED)
 def question_alignment(spark, d):
-    q = read_table(spark, d, "questions").select(F.col("id").alias("question_id"), F.col("project_id").alias("group"), F.col("stem").alias("text")).distinct()
-    a = read_table(spark, d, "assessments").select(F.col("project_id").alias("group"), F.col("id").alias("target_id"), F.col("title").alias("text"), (F.lit(1.0) + F.col("id") % 3).alias("weight"))
-    return alignment.align_to_targets(q, a)
+    """Each question's assessment in its project, by words and by its own id among the listed ones; published ones first."""
+    q = read_table(spark, d, "questions").where("id is not null").groupBy(F.col("id").alias("question_id")).agg(F.min("project_id").alias("group"), F.min("stem").alias("text"))
+    q = q.select("*", F.array(F.col("question_id").cast("string")).alias("evidence"), F.col("question_id").alias("place"))
+    table = read_table(spark, d, "assessments")
+    lists = records.question_lists(table).groupBy("id").agg(F.collect_set(F.col("question_id").cast("string")).alias("evidence"))
+    a = table.groupBy("id").agg(F.min("project_id").alias("group"), F.min("title").alias("text"), F.min("status").alias("status")).join(lists, "id", "left")
+    targets = a.select("group", F.col("id").alias("target_id"), "text", "evidence", (F.lit(1.0) + F.col("id") % 3).alias("weight"), F.coalesce(F.col("status") == "published", F.lit(False)).alias("scope"))
+    return alignment.align_to_targets(q, targets)
 
 
 _NAMES = " union all ".join(f"select project_id, text, {i} as ord, '{k}' as kind, unnest(list_distinct(regexp_extract_all(text, '{p}', 1))) as value from chunks" for i, (k, p) in enumerate(entities.NAMES.items()))
@@ -232,3 +261,23 @@ def branch_conditions(spark, d):
     c = _chunks(spark, d, ["id", "kind", "text", "file"]).where("kind = 'function'")
     code = F.regexp_replace("text", r"(?s)^.*?\nCode:\n", "")
     return entities.branch_conditions(c.select("project_id", F.col("id").alias("chunk_id"), code.alias("code")), ["project_id", "chunk_id"], "code")
+
+
+@query()
+def flow_trees(spark, d):
+    """The tree of calls below each entry point of a project, as a reader sees it."""
+    names = _names(spark, d)
+    return graph.flow_trees(names, graph.entry_points(names, ["project_id"]), "project_id")
+
+
+@query(
+    f"""with {_CHUNKS}, l as (select project_id, kind, unnest(string_split(text, chr(10))) as line from chunks where text is not null and kind is not null),
+p as (select project_id, list_transform(string_split(replace(line, '→', '->'), '->'), lambda x: substr(regexp_replace(regexp_replace(regexp_replace(string_split(x, ';')[1], ' *[(]lines? [0-9, -]+[)] *$', ''), '[`''"]', '', 'g'), '^[ \\t]+|[ \\t]+$', '', 'g'), 1, 100)) as ps from l where contains(line, '->') or contains(line, '→')),
+e as (select project_id, unnest(range(1, len(ps))) as i, ps from p), r as (select distinct project_id, ps[i] as src, ps[i + 1] as dst from e where ps[i] <> '' and ps[i + 1] <> '' and ps[i] <> ps[i + 1])
+select project_id, (min((src, dst))).a as src, (min((src, dst))).b as dst from (select project_id, struct_pack(a := src, b := dst) as x, src, dst from r) group by project_id, lower(src), lower(dst)"""
+    .replace("(min((src, dst))).a", "min(x).a").replace("(min((src, dst))).b", "min(x).b")
+)
+def chunk_relations(spark, d):
+    """Relations that the chunks of a project state by arrows or outlines, one for each in any case."""
+    c = _chunks(spark, d, ["kind", "text"]).where("text is not null and kind is not null")
+    return graph.relations(c, ["project_id"], "kind", "text")

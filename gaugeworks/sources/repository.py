@@ -33,6 +33,33 @@ def read_tree(spark: SparkSession, folder: str) -> DataFrame:
     return df.select(rel.alias("path"), "length", "content")
 
 
+# Fixed value: what a repository's address looks like.
+REPOSITORY_URL = r"^https://github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+?(\.git)?/?$"
+
+
+def repository_name(url: Column) -> Column:
+    """'owner/name' of a repository's address, without '.git'; null for any other address."""
+    name = F.regexp_replace(F.regexp_replace(url, r"^https://github\.com/", ""), r"(\.git)?/?$", "")
+    return F.when(url.rlike(REPOSITORY_URL), name)
+
+
+def snapshot(files: DataFrame) -> str | None:
+    """The first 12 digits of the commit that a clone in the landing zone has checked out; None without one.
+
+    ``files``: path, content of the tree, its '.git' folder included. Cloning itself is done before: executors have no
+    need of the network.
+    """
+    few = files.where(F.col("path").rlike(r"(^|/)\.git/(HEAD|packed-refs|refs/heads/.+)$"))
+    head = {re.sub(r"^.*?\.git/", "", r.path): bytes(r.content).decode("utf-8", "replace") for r in few.where(F.col("path").rlike(r"(HEAD|packed-refs)$")).limit(2).collect()}
+    at = head.get("HEAD", "").strip()
+    if at.startswith("ref: "):
+        ref = at[5:]
+        found = few.where(F.endswith("path", F.lit(".git/" + ref))).limit(1).collect()
+        packed = re.search(rf"(?m)^([0-9a-f]{{40}}) {re.escape(ref)}$", head.get("packed-refs", ""))
+        at = bytes(found[0].content).decode("utf-8", "replace").strip() if found else packed.group(1) if packed else ""
+    return at[:12] if re.fullmatch(r"[0-9a-f]{40}", at) else None
+
+
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
@@ -112,7 +139,7 @@ def document_text(name: str, content: bytes) -> str | None:
     kind = name.rsplit(".", 1)[-1].lower()
     if len(content) > DOCUMENT_BYTES:
         return None
-    if kind in ("txt", "md", "rst", "csv", "json", "yml", "yaml", "html", "py", "tex"):
+    if kind in ("txt", "md", "rst", "csv", "tsv", "json", "yml", "yaml", "xml", "html", "htm", "py", "tex"):
         text = content.decode("utf-8", "replace")
     elif kind in ("docx", "pptx"):
         try:
@@ -126,6 +153,15 @@ def document_text(name: str, content: bytes) -> str | None:
             text = "\n".join(paragraphs)
         except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
             return None
+    elif kind == "pdf":
+        try:
+            from pypdf import PdfReader  # not everywhere: without it PDFs can't be read here
+        except ImportError:
+            return None
+        try:
+            text = "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages)
+        except Exception:  # noqa: BLE001  (damaged files raise anything)
+            return None
     else:
         return None
     text = re.sub(r"[ \t]+", " ", text.replace("\0", " ").replace("\r\n", "\n"))

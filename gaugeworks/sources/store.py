@@ -68,3 +68,28 @@ def print_view(questions: DataFrame, with_key: bool = False) -> DataFrame:
     body = F.concat(F.lit("<p>"), escape_html(F.coalesce("stem", F.lit(""))), F.lit("</p><ol>"), F.array_join(F.transform("options", item), ""), F.lit("</ol>"))
     key = F.concat(F.lit("<p>"), escape_html(F.array_join("answer", ", ")), F.lit("</p>")) if with_key else F.lit("")
     return questions.select("id", F.concat(body, key).alias("html"))
+
+
+def rows_where(df: DataFrame, where: str | None = None, values: dict | None = None, order: list[Column] | None = None) -> DataFrame:
+    """The rows that meet a condition with named values (':name'), by descending id unless another order is given."""
+    if where:
+        df = df.sparkSession.sql(f"select * from {{rows}} where {where}", args=values or {}, rows=df)
+    return df.orderBy(*(order or [F.desc("id")]))
+
+
+def lookup(df: DataFrame, **equal) -> dict | None:
+    """The first row, by ``id`` where there is one, whose columns have the given values (None: are null); None without one."""
+    for name, value in equal.items():
+        df = df.where(F.col(name).eqNullSafe(F.lit(value)))
+    rows = (df.orderBy("id") if "id" in df.columns else df).limit(1).collect()
+    return rows[0].asDict(recursive=True) if rows else None
+
+
+def append_log(entries: DataFrame, path: str, checkpoint: str | None = None):
+    """Appends entries to a Parquet log: a batch at once, a stream as long as it runs (``checkpoint`` on shared storage)."""
+    if not entries.isStreaming:
+        entries.write.mode("append").parquet(path)
+        return None
+    if not checkpoint:
+        raise ValueError("a stream needs a folder for its checkpoint")
+    return entries.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
