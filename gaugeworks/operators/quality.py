@@ -104,17 +104,55 @@ def alike(classes: DataFrame, least: float = ALIKE) -> DataFrame:
     return full.select("a", "b", F.round(jaccard(F.col("ta"), F.col("tb")), 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How much of two texts is the same in the same order."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])
-
-
-def question_similarity(stem_a: Column, stem_b: Column, options_a: Column, options_b: Column, shared_evidence: Column) -> Column:
-    """Order of the stems, their words and those of the options; less if the evidence differs."""
-    words = lambda c: F.array_distinct(tokens(F.coalesce(c, F.lit(""))))
-    s = 0.65 * sequence_ratio(casefold(stem_a), casefold(stem_b)) + 0.20 * jaccard(words(stem_a), words(stem_b)) + 0.15 * jaccard(words(options_a), words(options_b))
-    return F.round(F.when(shared_evidence, s).otherwise(s * 0.85), 4)
+#: Shares of a similarity: the order of the stems' characters, their words, the words of the options; and what is left of
+#: it where both cite evidence and none is shared.
+BY_ORDER, BY_WORDS, BY_OPTIONS, OTHER_EVIDENCE = 0.65, 0.20, 0.15, 0.85
+#: Share of words that the stems of a candidate pair have in common at least. The formula itself asks for none: two stems
+#: without it are similar only if their characters agree to 86 in 100 in order while three words in four differ.
+SHARED_WORDS = 0.25
+
+
+def similarity(stem_a: str, stem_b: str, words: float, options: float, disjoint: bool, least: float = 0.0) -> float:
+    """The similarity of two questions; 0 without looking closer where cheap bounds of it stay below ``least``."""
+    factor = OTHER_EVIDENCE if disjoint else 1.0
+    m = difflib.SequenceMatcher(None, stem_a, stem_b, autojunk=False)
+    rest = BY_WORDS * words + BY_OPTIONS * options
+    for bound in (m.real_quick_ratio, m.quick_ratio):
+        if factor * (BY_ORDER * bound() + rest) < least - 1e-9:
+            return 0.0
+    return round(factor * (BY_ORDER * m.ratio() + rest), 4)
+
+
+def similar_questions(structured: DataFrame, least: float = NEAR) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): of each question the most similar earlier one of its project, and which questions are alike in all.
+
+    ``structured``: id, project_id, stem, options (array<struct<key,text>>), chunks. Questions that are equal in stem,
+    words of options and evidence are one, named by their smallest id. Pairs (later, earlier, similarity) are of such
+    representatives whose stems share a ``SHARED_WORDS``-th of their words or more.
+    """
+    words = lambda c: F.array_sort(F.array_distinct(tokens(F.coalesce(c, F.lit("")))))
+    plain = F.array_join(F.regexp_extract_all(F.regexp_replace(casefold(F.coalesce("stem", F.lit(""))), r"(?s)```.*?```", " code "), F.lit(r"(?U)(\w+)"), F.lit(1)), " ")
+    q = structured.where("id is not null and project_id is not null").select(
+        "id", "project_id", plain.alias("stem"), words(F.array_join(F.transform("options", lambda o: F.coalesce(o["text"], F.lit(""))), " ")).alias("options"), F.array_sort("chunks").alias("chunks")
+    )
+    key = F.sha2(F.concat_ws("\u0001", F.col("project_id").cast("string"), "stem", F.array_join("options", " "), F.array_join("chunks", " ")), 256)
+    keyed = materialise(q.withColumn("k", key))
+    first = keyed.groupBy("k").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    members = keyed.select("id", "k").join(first.select("k", "class_id"), "k").select("id", "class_id").distinct()
+    one = materialise(keyed.join(first.select("k", F.col("class_id").alias("id")), ["k", "id"], "left_semi").dropDuplicates(["id"]).withColumn("words", words(F.col("stem"))))
+    # words of a project meet those of the same project only
+    of_project = F.transform("words", lambda w: F.concat_ws(":", F.col("project_id").cast("string"), w))
+    near = alike(one.select(F.col("id").alias("class_id"), of_project.alias("tokens")), SHARED_WORDS)
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series, w: pd.Series, o: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y, i, j, bool(k), least) for x, y, i, j, k in zip(a, b, w, o, d)])
+
+    side = lambda n: one.select(*[F.col(c).alias(f"{c}_{n}") for c in ("id", "stem", "options", "chunks")])
+    both = near.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.col("similarity").alias("w")).join(side("a"), "id_a").join(side("b"), "id_b")
+    apart = (F.size("chunks_a") > 0) & (F.size("chunks_b") > 0) & ~F.arrays_overlap("chunks_a", "chunks_b")
+    scored = both.select(F.col("id_b").alias("later"), F.col("id_a").alias("earlier"), ratio("stem_a", "stem_b", "w", jaccard(F.col("options_a"), F.col("options_b")), apart).alias("similarity"))
+    return nearest_earlier(scored, least), members
 
 
 def nearest_earlier(pairs: DataFrame, least: float = NEAR) -> DataFrame:

@@ -233,10 +233,5 @@ def similar_members(spark, d):
 
 @query()
 def similar_pairs_full(spark, d):
-    """Of each class of stems the most similar earlier one, by order and words."""
-    classes, _ = quality.token_sets(_stems(spark, d), "id", "stem")
-    stems = _stems(spark, d).groupBy("id").agg(F.min("stem").alias("stem"))
-    pairs = quality.alike(classes, 0.5).select(F.col("a").alias("earlier"), F.col("b").alias("later"))
-    both = pairs.join(stems.select(F.col("id").alias("earlier"), F.col("stem").alias("sa")), "earlier").join(stems.select(F.col("id").alias("later"), F.col("stem").alias("sb")), "later")
-    none = F.lit("")
-    return quality.nearest_earlier(both.select("later", "earlier", quality.question_similarity(F.col("sa"), F.col("sb"), none, none, F.lit(True)).alias("similarity")), 0.7)
+    """Of each question the most similar earlier one of its project, by order, words, options and evidence."""
+    return quality.similar_questions(_structured(spark, d, "project_id"))[0]
