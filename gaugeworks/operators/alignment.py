@@ -58,7 +58,7 @@ _RATING = re.compile(r"excellent|good|satisfactory|fail|not solved")
 def rubric_rows(text: str) -> list[tuple[str, float, str]]:
     """(criterion, most points, what earns them all) of the tables in a text that begin 'Criteria Ratings Points'.
 
-    A table first names its criteria, each up to a line that ends in points reached and possible ('4/5 pts'), and then
+    A table first names its criteria, each up to a line that ends in its points ('4/5 pts', or the possible ones alone), and then
     gives their ratings in the same order; names and the descriptions below 'Excellent' are put together by their places.
     """
     lines = [x.strip() for x in (text or "").splitlines()]
@@ -72,7 +72,7 @@ def rubric_rows(text: str) -> list[tuple[str, float, str]]:
         names: list[tuple[str, float]] = []
         words: list[str] = []
         for x in section[:ratings]:
-            m = re.fullmatch(r"(?i)(.*?)[0-9]+(?:\.[0-9]+)?/([0-9]+(?:\.[0-9]+)?)\s*pts?", x)
+            m = re.fullmatch(r"(?i)(.*?)(?:[0-9]+(?:\.[0-9]+)?/)?([0-9]+(?:\.[0-9]+)?)\s*(?:pts?|points?|marks?)", x)
             words += [y for y in [m.group(1).strip() if m else x] if y]
             if m:
                 if words:

@@ -19,6 +19,8 @@ NAMES = {
     "class": r"^Class ([A-Za-z0-9_.]+) in ",
     "constant": r"^Module-level constant[(]s[)] ([A-Za-z0-9_]+) in ",
     "table": r"(?:FROM|INTO|UPDATE|JOIN) ([A-Za-z_][A-Za-z0-9_]*)",
+    "file": r"^[A-Za-z0-9_+#]+ file ([^ \n:]+)",
+    "notebook": r"^Notebook ([^ \n:]+)",
     "route": r"@[A-Za-z_.]+[.](?:get|post|put|delete|route)[(]\"([^\"]+)\"",
 }
 RELATIONAL = ["callgraph", "flow", "import_graph", "imports"]
@@ -101,6 +103,73 @@ def conditions_of(source: str) -> list[str]:
     return [c for _, c in sorted(found)]
 
 
+_BOUNDARY = {ast.Lt: ast.LtE, ast.LtE: ast.Lt, ast.Gt: ast.GtE, ast.GtE: ast.Gt, ast.Eq: ast.NotEq, ast.NotEq: ast.Eq}
+
+
+def mutated(condition: str) -> str | None:
+    """A condition with its first comparison moved by one step or turned round; None if it compares nothing."""
+    try:
+        e = ast.parse(condition, mode="eval").body
+    except SyntaxError:
+        return None
+    for n in ast.walk(e):
+        if isinstance(n, ast.Compare) and type(n.ops[0]) in _BOUNDARY:
+            n.ops[0] = _BOUNDARY[type(n.ops[0])]()
+            return ast.unparse(e)
+    return None
+
+
+def requirements_of(source: str) -> list[str]:
+    """What a piece of Python demands of its callers: conditions that end in raise or an early return, asserted ones."""
+    try:
+        tree = ast.parse(textwrap.dedent(source or ""))
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    found = [(n.lineno, ast.unparse(n.test)) for n in ast.walk(tree) if isinstance(n, ast.Assert)]
+    found += [(n.lineno, negated(ast.unparse(n.test))) for n in ast.walk(tree) if isinstance(n, ast.If) and not n.orelse and isinstance(n.body[-1], (ast.Raise, ast.Return))]
+    return list(dict.fromkeys(c for _, c in sorted(found)))
+
+
+#: Lines of code that are shown at most.
+SHOWN_LINES = 12
+
+
+def snippets_of(source: str) -> list[dict]:
+    """The functions and compound statements of a piece of Python that are short enough to be shown whole."""
+    lines = (source or "").split("\n")
+    try:
+        tree = ast.parse(textwrap.dedent(source or ""))
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    out = []
+    for n in ast.walk(tree):
+        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.If, ast.For, ast.While, ast.With, ast.Try, ast.Match)) and n.end_lineno - n.lineno < SHOWN_LINES:
+            inside = any(isinstance(x, (ast.If, ast.Match, ast.While, ast.IfExp)) for x in ast.walk(n))
+            out.append({"start": n.lineno, "lines": n.end_lineno - n.lineno + 1, "condition": inside, "text": textwrap.dedent("\n".join(lines[n.lineno - 1 : n.end_lineno]))})
+    return out
+
+
+def display_pick(sources: DataFrame, contexts: DataFrame, group: str, with_condition: Column | None = None) -> DataFrame:
+    """(group, chunk_id, start, lines, text): of each group the piece of code to show: one with a condition where that is
+    asked for, then the one that shares most words with the context, the shorter one, the first.
+
+    ``sources``: group, chunk_id, code; ``contexts``: group, context (one row a group).
+    """
+    kind = "array<struct<start:int,lines:int,condition:boolean,text:string>>"
+
+    @F.pandas_udf(kind)
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(snippets_of)
+
+    each = sources.select(group, "chunk_id", F.explode(pieces("code")).alias("x")).select(group, "chunk_id", "x.*")
+    words = contexts.select(group, F.array_distinct(tokens(F.coalesce("context", F.lit("")))).alias("_c"))
+    shared = F.size(F.array_intersect("_c", F.array_distinct(tokens(F.col("text")))))
+    wanted = F.lit(True) if with_condition is None else with_condition
+    order = F.struct((~(F.col("condition") == wanted)).alias("a"), (-shared).alias("b"), "lines", "chunk_id", "start")
+    best = each.join(words, group).groupBy(group).agg(F.min_by(F.struct("chunk_id", "start", "lines", "text"), order).alias("p"))
+    return best.select(group, "p.*")
+
+
 def negated(condition: str) -> str:
     """A condition turned round, as a reader would write it."""
     try:
@@ -117,19 +186,20 @@ def negated(condition: str) -> str:
 
 
 def branch_conditions(sources: DataFrame, key: list[str], code: str) -> DataFrame:
-    """(key, position, condition, negation) of the branches in each source."""
+    """(key, position, condition, negation, mutation) of the branches in each source."""
 
-    @F.pandas_udf("array<struct<condition:string,negation:string>>")
+    @F.pandas_udf("array<struct<condition:string,negation:string,mutation:string>>")
     def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"condition": c, "negation": negated(c)} for c in conditions_of(t)])
+        return texts.map(lambda t: [{"condition": c, "negation": negated(c), "mutation": mutated(c)} for c in conditions_of(t)])
 
-    return sources.select(*key, F.posexplode(found(F.col(code))).alias("position", "_x")).select(*key, "position", "_x.condition", "_x.negation")
+    return sources.select(*key, F.posexplode(found(F.col(code))).alias("position", "_x")).select(*key, "position", "_x.*")
 
 
-def normalised_question(options: Column, answer: Column, seed: Column) -> Column:
-    """struct<options, answer>: options (array<struct<key,text>>) in the order of a hash, with new letters."""
-    letters = F.array(*[F.lit(x) for x in "ABCDEFGHIJ"])
-    order = F.array_sort(F.transform(options, lambda o: F.struct(F.xxhash64(seed, o["text"]).alias("h"), o["key"].alias("old"), o["text"].alias("text"))))
-    new = F.transform(order, lambda x, i: F.struct(F.element_at(letters, i + 1).alias("key"), x["text"].alias("text"), x["old"].alias("old")))
-    right = F.array_sort(F.transform(F.filter(new, lambda x: F.array_contains(answer, x["old"])), lambda x: x["key"]))
-    return F.struct(F.transform(new, lambda x: F.struct(x["key"].alias("key"), x["text"].alias("text"))).alias("options"), right.alias("answer"))
+def requirements(sources: DataFrame, key: list[str], code: str) -> DataFrame:
+    """(key, position, requirement) of the demands in each source."""
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(requirements_of)
+
+    return sources.select(*key, F.posexplode(found(F.col(code))).alias("position", "requirement"))

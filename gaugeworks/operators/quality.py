@@ -37,13 +37,6 @@ def band_midpoint(low: Column, high: Column) -> Column:
     return F.coalesce(F.least(F.greatest(F.floor((low + high) / 2).cast("int"), F.lit(1)), F.lit(5)), F.lit(3))
 
 
-def correct_count(mode: Column, exact: Column, n_options: Column, seed: Column) -> Column:
-    """How many options are to be correct: as asked, or drawn by a hash; always 1 to all but one."""
-    most = F.greatest(n_options - 1, F.lit(1))
-    drawn = F.pmod(F.xxhash64(seed), most.cast("bigint")).cast("int") + 1
-    return F.when(mode == "exact", F.least(F.greatest(exact, F.lit(1)), most)).otherwise(drawn)
-
-
 def score_answers(answers: DataFrame, keys: DataFrame) -> DataFrame:
     """(attempt_id, n_correct, n_total, percent) of exact matches.
 
@@ -170,9 +163,3 @@ def lines_in_order(shown: pd.Series, source: pd.Series) -> pd.Series:
         return all(any(x == y for y in rest) for x in (x.strip() for x in (a or "").split("\n")) if x)
 
     return pd.Series([one(a, b) for a, b in zip(shown, source)])
-
-
-def shuffled_options(options: Column, seed: Column) -> Column:
-    """The options in an order that a hash of seed and text gives; new letters are given by place."""
-    keyed = F.transform(options, lambda o: F.struct(F.xxhash64(seed, o).alias("h"), o.alias("o")))
-    return F.transform(F.array_sort(keyed), lambda x: x["o"])

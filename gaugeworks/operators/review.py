@@ -61,13 +61,6 @@ def adaptive_next(items: DataFrame, answered: DataFrame, item: str, difficulty:
     return next_.groupBy(person, "target").agg(F.min_by(item, F.struct(F.abs(F.col(difficulty) - F.col("target")).alias("gap"), item)).alias(item))
 
 
-def change_flags(old: DataFrame, new: DataFrame, key: str, content: list[str], other: list[str]) -> DataFrame:
-    """(key, content_changed, other_changed): null-safe comparison of two states of the same records."""
-    a, b = old.alias("a"), new.alias("b")
-    differs = lambda cs: F.array_max(F.array(*[~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cs]))
-    return a.join(b, key).select(key, differs(content).alias("content_changed"), differs(other).alias("other_changed"))
-
-
 def relevant_justifications(justifications: Column, answer: Column, selected: Column) -> Column:
     """Of a map letter -> text the entries that belong to the answer or the selection and have a text."""
     keep = F.array_union(answer, selected)

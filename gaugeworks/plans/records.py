@@ -280,3 +280,11 @@ def evidence_problems(spark, d):
     template = F.when(F.col("id") % 3 == 0, "interaction_flow").when(F.col("id") % 3 == 1, "contextual_use").otherwise("condition_outcome")
     problem = rules.evidence_problem(template, F.lit("none"), F.col("stem"), F.coalesce("kinds", F.array().cast("array<string>")), F.lit(""))
     return s.select("id", "stem").join(cited, "id", "left").groupBy(F.coalesce(problem, F.lit("meets")).alias("problem")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select count(*) as n, count(*) as n_distinct, count(*) as n_well_formed from (select distinct id from attempts where id is not null)")
+def record_ids(spark, d):
+    """Random ids for released records: each its own, all of one form."""
+    a = read_table(spark, d, "attempts").where("id is not null").select("id").distinct().select(privacy.random_record_id().alias("rid"))
+    per = a.groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_distinct"), F.sum(F.when(F.col("rid").rlike("^sr_[0-9a-f]{32}$"), F.col("n")).otherwise(0)).alias("n_well_formed"))

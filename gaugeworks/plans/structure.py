@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.repeats import without_repeats
 from gaugeworks.functions.text import TOKENS_SQL, tokens
-from gaugeworks.operators import alignment, bm25, entities, evidence, graph, records
+from gaugeworks.operators import alignment, bm25, entities, evidence, graph, quality, records
 from gaugeworks.plans import nested_sql
 from gaugeworks.plans.registry import query
 from gaugeworks.sources import read_table
@@ -255,12 +255,63 @@ def evidence_bundles(spark, d):
     return entities.bundles(listed.unionByName(fill), "query_id", required, optional, _MOST, fill="fill")
 
 
+def _functions(spark, d):
+    """(project_id, chunk_id, code) of the chunks that show a Python function."""
+    c = _chunks(spark, d, ["id", "kind", "text", "file"]).where("kind = 'function'")
+    return c.select("project_id", F.col("id").alias("chunk_id"), F.regexp_replace("text", r"(?s)^.*?\nCode:\n", "").alias("code"))
+
+
 @query()
 def branch_conditions(spark, d):
-    """Conditions of the branches in Python functions, and their negations."""
-    c = _chunks(spark, d, ["id", "kind", "text", "file"]).where("kind = 'function'")
-    code = F.regexp_replace("text", r"(?s)^.*?\nCode:\n", "")
-    return entities.branch_conditions(c.select("project_id", F.col("id").alias("chunk_id"), code.alias("code")), ["project_id", "chunk_id"], "code")
+    """Conditions of the branches in Python functions, their negations and mutations."""
+    return entities.branch_conditions(_functions(spark, d), ["project_id", "chunk_id"], "code")
+
+
+@query()
+def code_requirements(spark, d):
+    """What Python functions demand of their callers."""
+    return entities.requirements(_functions(spark, d), ["project_id", "chunk_id"], "code")
+
+
+@query()
+def display_code(spark, d):
+    """Of each project the piece of code with a condition that fits its name best."""
+    names = read_table(spark, d, "projects").groupBy(F.col("id").alias("project_id")).agg(F.min("name").alias("context"))
+    return entities.display_pick(_functions(spark, d), names, "project_id")
+
+
+@query()
+def code_grounding(spark, d):
+    """How many of the pieces to be shown stand line by line in the chunk they come from: all of them should."""
+    code = _functions(spark, d)
+    shown = display_code(spark, d).select("project_id", "chunk_id", F.col("text").alias("shown"))
+    both = shown.join(code, ["project_id", "chunk_id"])
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(quality.lines_in_order("shown", "code")).alias("n_grounded"))
+
+
+@query(
+    r"""with a as (select id, min(title) as title from assessments group by id), p as (select id, trim(regexp_replace(regexp_replace(coalesce(title, ''), '[*_`#>]', '', 'g'), '(?i)^(explain|describe|identify|understand|show|discuss) (how |what |why )?', '')) as plain from a)
+select id, case when length(plain) > 64 or len(regexp_split_to_array(plain, '\s+')) > 8 or plain = '' then 'the project' else plain end as context from p"""
+)
+def compact_contexts(spark, d):
+    """A short name of each assessment."""
+    a = read_table(spark, d, "assessments").groupBy("id").agg(F.min("title").alias("title"))
+    return a.select("id", entities.compact(F.coalesce("title", F.lit("")), F.lit("the project")).alias("context"))
+
+
+_FRAMES = ["What does {subject} hand to {object}?", "Which rows reach {object} after {subject} ran?", "When does {subject} skip {detail}?"]
+
+
+@query(
+    f"""with c as (select id, project_id, min(title) as title from assessments group by all), s as (select id, map(['subject', 'object'], ['assessment ' || id, coalesce(title, 'nothing')]) as m, {_FRAMES!r}[(id % 3 + 1)::int] as frame from c),
+r as (select id, replace(replace(frame, '{{subject}}', m['subject']), '{{object}}', m['object']) as stem from s)
+select id, case when not regexp_matches(stem, '[{{][a-z_]+[}}]') then stem end as stem from r"""
+)
+def rendered_stems(spark, d):
+    """Frames by turns, filled with what each assessment has; a frame with a place left open gives none."""
+    a = read_table(spark, d, "assessments").groupBy("id", "project_id").agg(F.min("title").alias("title"))
+    slots = F.create_map(F.lit("subject"), F.concat(F.lit("assessment "), F.col("id").cast("string")), F.lit("object"), F.coalesce("title", F.lit("nothing")))
+    return a.select("id", entities.render(F.array(*map(F.lit, _FRAMES)), F.col("id"), slots).alias("stem"))
 
 
 @query()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import text
-from gaugeworks.operators import alignment, bm25, catalog, evidence, graph, planner, privacy, quality, review
+from gaugeworks.operators import alignment, bm25, catalog, evidence, graph, planner, privacy, quality, records, review
 
 
 def one(spark, column, **values):
@@ -204,7 +204,7 @@ def test_review(spark):
     assert got == {1: (4, 8), 2: (1, 5), 3: (3, 2)}
     old = spark.createDataFrame([(1, "a", 1), (2, None, 1)], "id int, stem string, difficulty int")
     new = spark.createDataFrame([(1, "b", 1), (2, None, 2)], "id int, stem string, difficulty int")
-    assert {r.id: (r.content_changed, r.other_changed) for r in review.change_flags(old, new, "id", ["stem"], ["difficulty"]).collect()} == {1: (True, False), 2: (False, True)}
+    assert {r.id: (r.content_changed, r.other_changed) for r in records.after_edit(old, new, "id", ["stem"], ["difficulty"], []).collect()} == {1: (True, False), 2: (False, True)}
 
 
 def test_timestamps_are_untouched(spark):
@@ -221,7 +221,7 @@ def test_entities(spark):
     got = {(r.q, r.position): (r.doc_id, r.missing) for r in entities.bundles(ranked, "q", {"a": 2}, {"b": 1}).collect()}
     assert got == {(1, 1): (10, None), (1, 2): (11, None), (1, 3): (12, None), (2, 0): (None, "a")}
     q = spark.createDataFrame([([("A", "x"), ("B", "y"), ("C", "z")], ["B"])], "o array<struct<key:string,text:string>>, a array<string>")
-    r = q.select(entities.normalised_question(F.col("o"), F.col("a"), F.lit(7)).alias("n")).first().n
+    r = q.select(records.normalised(F.col("o"), F.col("a"), F.lit(7), F.lit("")).alias("n")).first().n
     assert [o.key for o in r.options] == ["A", "B", "C"] and {o.text for o in r.options if o.key in r.answer} == {"y"}
     frame = F.array(F.lit("What does {name} do?"), F.lit("Why {name} and {other}?"))
     render = lambda v: spark.range(1).select(entities.render(frame, F.lit(v), F.create_map(F.lit("name"), F.lit("load"))).alias("x")).first().x
