@@ -24,12 +24,11 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.materialise import materialise
 from gaugeworks.functions.spread import spread
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the split pattern that the byte-level vocabularies were made with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEED = 20240901
-#: Tokens of a budget that are left to the knapsack table at most, and lengths that it looks at.
-TABLE_TOKENS, TABLE_LENGTHS = 1 << 19, 96
+#: Tokens of a budget that are left to the knapsack table at most.
+TABLE_TOKENS = 1 << 19
 #: The last part of a budget in times of the longest document.
 FINISH_LENGTHS = 16
 #: Parts that the documents of one source and length are split into by hash, so that no part is ordered as a whole.
@@ -71,7 +70,7 @@ def _pieces(text: str):
     yield text[a:]
 
 
-def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
+def count_tokens(documents: DataFrame, tokenizer: str, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, source, n_tokens) of the documents that have a source, whole texts under the given tokenizer."""
 
     def run(batches):
@@ -115,30 +114,24 @@ def fit(lengths: list[int], counts: list[int], budget: int, seed: int) -> list[i
         if take[i] < counts[i] and 0 < lengths[i] <= left:
             take[i] += 1
             left -= lengths[i]
-    # the table looks at some lengths at a time; if it takes all of them, others come next
-    while left > 0:
-        more, all_taken = _knapsack(lengths, [c - x for c, x in zip(counts, take)], left, rng)
-        for i, x in more.items():
-            take[i] += x
-            left -= x * lengths[i]
-        if not more or not all_taken:
-            break
+    for i, x in _knapsack(lengths, [c - x for c, x in zip(counts, take)], left, rng).items():
+        take[i] += x
     return take
 
 
-def _knapsack(lengths: list[int], spare: list[int], budget: int, rng: random.Random) -> tuple[dict[int, int], bool]:
-    """Bounded subset sum: the fullest choice of spare documents within the budget, from a table of reachable sums; and
-    whether that are all documents of the lengths it looked at."""
+def _knapsack(lengths: list[int], spare: list[int], budget: int, rng: random.Random) -> dict[int, int]:
+    """Bounded subset sum: the fullest choice of spare documents within the budget, from a table of reachable sums.
+
+    All lengths take part, drawn in a seeded order, until the budget itself can be reached; if it never can, the table
+    knows the best sum below it.
+    """
     usable = [i for i in range(len(lengths)) if spare[i] > 0 and 0 < lengths[i] <= budget]
     if not usable or budget <= 0:
-        return {}, False
-    if len(usable) > TABLE_LENGTHS:
-        # the shortest ones make fine steps, the others are drawn
-        usable.sort(key=lambda i: lengths[i])
-        usable = usable[: TABLE_LENGTHS // 2] + rng.sample(usable[TABLE_LENGTHS // 2 :], TABLE_LENGTHS // 2)
+        return {}
+    rng.shuffle(usable)
     rest = sum(lengths[i] * spare[i] for i in usable)
     if rest <= budget:
-        return {i: spare[i] for i in usable}, True
+        return {i: spare[i] for i in usable}
     mask = (1 << (budget + 1)) - 1
     reach, steps = 1, []
     for i in usable:
@@ -149,13 +142,15 @@ def _knapsack(lengths: list[int], spare: list[int], budget: int, rng: random.Ran
             reach |= (reach << (k * lengths[i])) & mask
             left -= k
             size *= 2
+        if reach >> budget & 1:
+            break
     at = reach.bit_length() - 1
     out: dict[int, int] = {}
     for i, k, before in reversed(steps):
         if not before >> at & 1:
             out[i] = out.get(i, 0) + k
             at -= k * lengths[i]
-    return out, False
+    return out
 
 
 def _budgets(totals: pd.DataFrame, total_tokens: int | None) -> pd.DataFrame:
@@ -174,10 +169,10 @@ def _budgets(totals: pd.DataFrame, total_tokens: int | None) -> pd.DataFrame:
     return t
 
 
-def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None = None, seed: int = SEED, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
+def mix(documents: DataFrame, mix_targets: DataFrame, tokenizer: str, total_tokens: int | None = None, seed: int = SEED, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, source, n_tokens, repeats) of the documents of the mix; ``repeats`` times each of them is used.
 
-    ``total_tokens``: size of the mix; by default the largest at which every target with documents can be met.
+    ``tokenizer``: the vocabulary file, readable for every executor. ``total_tokens``: size of the mix; by default the largest at which every target with documents can be met.
     """
     wanted = targets(mix_targets)
     # as many rows as there are targets: a table that people write

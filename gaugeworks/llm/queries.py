@@ -36,13 +36,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
 
+def _tokenizer(spark: SparkSession) -> str:
+    """The vocabulary that sizes are counted with: ``spark.gaugeworks.tokenizer``, or the public one of this installation."""
+    return spark.conf.get("spark.gaugeworks.tokenizer", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+    return mixing.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"), _tokenizer(spark))
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = read_table(spark, d, "mix_targets")
-    return mixing.shares(mixing.mix(read_table(spark, d, "documents"), targets), targets)
+    return mixing.shares(mixing.mix(read_table(spark, d, "documents"), targets, _tokenizer(spark)), targets)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -37,6 +37,8 @@ def brute(item, doc):
                 if same:
                     ends = min(ends, row[j - 1])
             row = new
+            if min(row) * 8 > len(a):
+                break
             # option marks count as words of the item
             words = place[start + n - 1] - place[start] + 1
             if words >= 12 and ends * 8 <= words:
