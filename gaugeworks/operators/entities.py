@@ -161,13 +161,13 @@ def display_pick(sources: DataFrame, contexts: DataFrame, group: str, with_condi
     def pieces(texts: pd.Series) -> pd.Series:
         return texts.map(snippets_of)
 
-    each = sources.select(group, "chunk_id", F.explode(pieces("code")).alias("x")).select(group, "chunk_id", "x.*")
+    each = sources.select(group, "chunk_id", F.explode(pieces("code")).alias("_x")).select(group, "chunk_id", "_x.*")
     words = contexts.select(group, F.array_distinct(tokens(F.coalesce("context", F.lit("")))).alias("_c"))
     shared = F.size(F.array_intersect("_c", F.array_distinct(tokens(F.col("text")))))
     wanted = F.lit(True) if with_condition is None else with_condition
     order = F.struct((~(F.col("condition") == wanted)).alias("a"), (-shared).alias("b"), "lines", "chunk_id", "start")
-    best = each.join(words, group).groupBy(group).agg(F.min_by(F.struct("chunk_id", "start", "lines", "text"), order).alias("p"))
-    return best.select(group, "p.*")
+    best = each.join(words, group).groupBy(group).agg(F.min_by(F.struct("chunk_id", "start", "lines", "text"), order).alias("_pick"))
+    return best.select(group, "_pick.*")
 
 
 def negated(condition: str) -> str:

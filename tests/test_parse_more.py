@@ -34,7 +34,7 @@ const quick = async (q) => { run(q); };
     assert got["Store"][2:4] == (10, 16) and got["Store"][5] == "Keeps rows."
     assert got["Store.add"][4] == ["row", "n"] and got["Store.add"][5] == "one row" and got["Store.add"][6] == ["add", "check", "save"]
     assert got["quick"][6] == ["run"]
-    assert rows("int main(void) {\n  return work(1);\n", ".c")[0][1:4] == ("main", 1, 3)
+    assert rows("int main(void) {\n  return work(1);\n", ".c")[0][1:4] == ("main", 1, 2)
     assert rows("let t = `class InString {}`;\nif (a) { b(); }") == [] and rows("") == []
 
 
