@@ -129,7 +129,7 @@ def point_groups(weights: DataFrame, primary: DataFrame, best: DataFrame) -> Dat
     return paired.select("rank", F.explode(groups).alias("points"), "topic_id", "target_id")
 
 
-#: The gates of a candidate in the order in which they are asked.
+# The gates of a candidate in the order in which they are asked.
 GATES = ("focus_point_incompatible", "point_template_incompatible", "required_evidence_missing", "evidence_type_mismatch", "variables_unresolved", "difficulty_out_of_range", "duplicate_plan_key")
 
 

@@ -43,7 +43,7 @@ def repository_name(url: Column) -> Column:
     return F.when(url.rlike(REPOSITORY_URL), name)
 
 
-def snapshot(files: DataFrame) -> str | None:
+def checked_out(files: DataFrame) -> str | None:
     """The first 12 digits of the commit that a clone in the landing zone has checked out; None without one.
 
     ``files``: path, content of the tree, its '.git' folder included. Cloning itself is done before: executors have no

@@ -68,9 +68,9 @@ def test_repository_names_and_snapshots(spark):
     assert [r.n for r in df.select(repository.repository_name(F.col("u")).alias("n")).collect()] == ["a-b/c.d", "a/b", None, None, None, None]
     commit = "0123456789abcdef0123456789abcdef01234567"
     tree = lambda *fs: spark.createDataFrame([(p, bytearray(c.encode())) for p, c in fs], "path string, content binary")
-    assert repository.snapshot(tree((".git/HEAD", "ref: refs/heads/main\n"), (".git/refs/heads/main", commit + "\n"), ("a.py", "x"))) == commit[:12]
-    assert repository.snapshot(tree((".git/HEAD", "ref: refs/heads/main\n"), (".git/packed-refs", f"# pack\n{commit} refs/heads/main\n"))) == commit[:12]
-    assert repository.snapshot(tree((".git/HEAD", commit))) == commit[:12] and repository.snapshot(tree(("a.py", "x"))) is None
+    assert repository.checked_out(tree((".git/HEAD", "ref: refs/heads/main\n"), (".git/refs/heads/main", commit + "\n"), ("a.py", "x"))) == commit[:12]
+    assert repository.checked_out(tree((".git/HEAD", "ref: refs/heads/main\n"), (".git/packed-refs", f"# pack\n{commit} refs/heads/main\n"))) == commit[:12]
+    assert repository.checked_out(tree((".git/HEAD", commit))) == commit[:12] and repository.checked_out(tree(("a.py", "x"))) is None
 
 
 def test_documents_of_more_kinds():
