@@ -19,12 +19,21 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def identifiers(c: Column) -> Column:
+    """Lower-case identifiers and numbers of a text in order, repeated ones kept."""
+    return F.regexp_extract_all(F.lower(c), F.lit("([a-z_][a-z0-9_]+|[0-9]+)"), F.lit(1))
+
+
+def with_parts(found: Column) -> Column:
+    """Identifiers and, behind them, the longer parts of those with underscores."""
+    # only tokens with an underscore have parts, and no part of them is the token itself
+    joined = F.array_join(F.filter(found, lambda t: F.contains(t, F.lit("_"))), "_")
+    return F.concat(found, F.filter(F.split(joined, "_"), lambda p: F.length(p) >= MIN_PIECE))
+
+
 def tokens(c: Column) -> Column:
     """Lower-case identifiers and numbers, repeated ones kept, and the longer parts of snake_case identifiers."""
-    whole = F.regexp_extract_all(F.lower(c), F.lit("([a-z_][a-z0-9_]+|[0-9]+)"), F.lit(1))
-    # only tokens with an underscore have parts, and no part of them is the token itself
-    joined = F.array_join(F.filter(whole, lambda t: F.contains(t, F.lit("_"))), "_")
-    return F.concat(whole, F.filter(F.split(joined, "_"), lambda p: F.length(p) >= MIN_PIECE))
+    return with_parts(identifiers(c))
 
 
 #: The same in the second engine's SQL; ``{0}`` is the text.

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.materialise import materialise
 from gaugeworks.functions.spread import spread
-from gaugeworks.functions.text import tokens
+from gaugeworks.functions.text import identifiers, tokens, with_parts
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Weight of the terms that a query is expanded by.
@@ -28,7 +28,9 @@ BROADCAST_TERMS = 200_000
 def documents_as_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, tokens, n_tokens, *keep)"""
     texts = spread(documents.select(F.col(doc_id).alias("doc_id"), *keep, F.coalesce(F.col(text), F.lit("")).alias("_text")))
-    return texts.select("doc_id", *keep, tokens(F.col("_text")).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
+    # in two steps, so that the identifiers of a text are looked for once and not again for their parts
+    found = texts.select("doc_id", *keep, identifiers(F.col("_text")).alias("_found"))
+    return found.select("doc_id", *keep, with_parts(F.col("_found")).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -92,11 +94,16 @@ class _Postings:
         uses = (self.start[1:] - self.start[:-1])[term]
         each = np.repeat(np.arange(len(term)), uses)
         at = np.arange(len(each)) - np.repeat(np.cumsum(uses) - uses, uses) + self.start[term][each]
+        shape = len(self.ids), len(ids)
         cell = self.query[at] * len(ids) + row[each]
-        cells, inverse = np.unique(cell, return_inverse=True)
-        score = np.bincount(inverse, part[each] * self.weight[at], len(cells)).round(6)
-        q, row = np.divmod(cells, len(ids))
-        return first_of_each(self.ids[q], ids[order][row], score, k)
+        score = np.bincount(cell, part[each] * self.weight[at], shape[0] * shape[1]).round(6)
+        score[np.bincount(cell, minlength=len(score)) == 0] = -np.inf
+        score = score.reshape(shape)
+        # documents stand in the order of their ids, and equal scores keep it
+        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(score, top, 1)
+        found = np.isfinite(value)
+        return np.broadcast_to(self.ids[:, None], top.shape)[found], ids[order][top[found]], value[found]
 
 
 def first_of_each(query: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from gaugeworks.functions.text import TOKENS_SQL, tokens
+from gaugeworks.functions.spread import spread
+from gaugeworks.functions.text import TOKENS_SQL, identifiers, with_parts
 from gaugeworks.operators import bm25, catalog
 from gaugeworks.plans.registry import query
 from gaugeworks.sources import read_table
@@ -69,7 +70,7 @@ def bm25_bundle_rotate(spark, d):
     "select token, count(distinct doc_id) as df, count(*) as cf from t group by token order by cf desc, token limit 100"
 )
 def token_stats(spark, d):
-    docs = read_table(spark, d, "documents").where("text is not null").select("doc_id", tokens(F.col("text")).alias("t"))
+    docs = spread(read_table(spark, d, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", identifiers(F.col("text")).alias("f")).select("doc_id", with_parts(F.col("f")).alias("t"))
     # one count per document and token first: the second step needs no distinct
     per = docs.select("doc_id", F.explode("t").alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf")).orderBy(F.desc("cf"), "token").limit(100)
