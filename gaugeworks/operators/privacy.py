@@ -5,6 +5,7 @@ nothing; unknown or unreadable durations are 'unknown'; a count of zero is a sma
 """
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,11 @@ DETECTORS = {
     "secret_assignment": r"(?i)(^|[^A-Za-z0-9_])(password|passwd|pwd|secret|api[_-]?key|access[_-]?token|auth[_-]?token|bearer|client[_-]?secret|private[_-]?key)[ \t]*[:=]",
     "exact_timestamp": r"(^|[^0-9A-Za-z_])[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}",
 }
+#: What a text must hold for some detectors to find anything: looked for first, since it is found or missed faster.
+HINTS = {
+    "aws_key": ("AKIA", "ASIA", "AIDA", "AROA"), "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), "private_key": ("PRIVATE KEY",), "windows_path": (":\\",), "email": ("@",),
+}
+DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:"
 TOKEN = r"[A-Za-z0-9+/_=-]{24,}"
 ENTROPY_BITS = 3.5
 # Keys that a research record may have, and keys that it must never have.
@@ -52,17 +58,24 @@ def high_entropy(c: Column) -> Column:
     return F.exists(found, lambda t: F.round(entropy_bits(t), 6) >= ENTROPY_BITS)
 
 
+def _found(c: Column, name: str, pattern: str) -> Column:
+    hints = [F.contains(c, F.lit(x)) for x in HINTS.get(name, ())] or ([c.rlike(DATE)] if name == "exact_timestamp" else [])
+    return reduce(Column.__or__, hints) & c.rlike(pattern) if hints else c.rlike(pattern)
+
+
 def categories(c: Column) -> Column:
     """The sorted categories of what a text gives away."""
     c = F.coalesce(c, F.lit(""))
-    hits = [F.when(c.rlike(p), F.lit(n)) for n, p in DETECTORS.items()] + [F.when(high_entropy(c), F.lit("high_entropy"))]
+    hits = [F.when(_found(c, n, p), F.lit(n)) for n, p in DETECTORS.items()] + [F.when(high_entropy(c), F.lit("high_entropy"))]
     return F.array_sort(F.array_compact(F.array(*hits)))
 
 
 def scan(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, categories) of the rows of which some column gives something away."""
     found = F.array_sort(F.array_distinct(F.flatten(F.array(*[categories(F.col(x)) for x in columns]))))
-    return spread(df.select(key, *columns)).select(key, found.alias("categories")).where(F.size("categories") > 0)
+    # exploded and not filtered: a filter on the result would be pushed below it and search every text twice
+    some = F.filter(F.array(found), lambda c: F.size(c) > 0)
+    return spread(df.select(key, *columns)).select(key, F.explode(some).alias("categories"))
 
 
 def with_forbidden_terms(df: DataFrame, key: str, column: str, terms: list[str]) -> DataFrame:
