@@ -67,4 +67,4 @@ def numbered(parts: list[tuple[str, DataFrame, int]], group: str, order: list[st
 def dependencies(text: Column) -> Column:
     """The names in a dependency listing, one a line after its heading."""
     lines = F.split(text, "\n")
-    return F.array_distinct(F.filter(F.transform(F.slice(lines, 2, 100_000), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.slice(lines, F.lit(2), F.size(lines)), F.trim), lambda x: x != ""))

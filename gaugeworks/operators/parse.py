@@ -118,8 +118,7 @@ def _close(plain: str, at: int, pair: str) -> int:
 def parse_braced(text: str) -> Iterator[Row]:
     """Classes and functions of languages with braces: name, lines, parameters, leading comment, called names.
 
-    Brackets are matched on the text without strings and comments; a text without such a declaration is read as
-    ``parse_declarations`` does.
+    Brackets are matched on the text without strings and comments; the rows of ``parse_declarations`` come as well.
     """
     plain, found = blank(text, "c"), []
     lines = text.split("\n")
@@ -143,8 +142,8 @@ def parse_braced(text: str) -> Iterator[Row]:
         scope = [c for a, b, c in classes if a < m.start() < b]
         line = number(m.start() + len(m.group()) - len(m.group().lstrip()))
         found.append(("function", ".".join([*scope, name]), line, number(end - 1), names, _comment_above(lines, line), calls))
-    if not found:
-        yield from parse_declarations(text)
+    # the listing of declared names comes first, as for all other languages
+    yield from parse_declarations(text)
     yield from sorted(found, key=lambda r: (r[2], r[1]))
 
 
