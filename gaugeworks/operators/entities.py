@@ -85,6 +85,23 @@ def bundles(ranked: DataFrame, key: str, required: dict[str, int], optional: dic
     return ranked.groupBy(key).applyInPandas(take, f"{key} {kind}, position int, doc_id bigint, group string, missing string")
 
 
+def narrowed(types: Column, topic_types: Column) -> Column:
+    """The evidence types of a group that its topic has too; all of the group's if they have none in common."""
+    both = F.array_intersect(types, topic_types)
+    return F.when(F.size(both) > 0, both).otherwise(types)
+
+
+def assure_relational(taken: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
+    """(key, position, chunk_id): ``taken`` with, for keys of which no chunk shows relations, the best of ``fallback`` behind.
+
+    ``taken``: key, position, chunk_id, relational; ``fallback``: key, rank, chunk_id, of chunks that show relations.
+    """
+    state = taken.groupBy(key).agg(F.max("position").alias("_last"), F.bool_or("relational").alias("_has"))
+    best = fallback.groupBy(key).agg(F.min_by("chunk_id", F.struct("rank", "chunk_id")).alias("chunk_id"))
+    more = state.where("not _has").join(best, key).select(key, (F.col("_last") + 1).alias("position"), "chunk_id")
+    return taken.select(key, "position", "chunk_id").unionByName(more)
+
+
 def render(frames: Column, variant: Column, slots: Column) -> Column:
     """The frame that ``variant`` picks, its ``{name}`` places filled from the map ``slots``; null if one stays open."""
     frame = F.element_at(frames, (F.pmod(variant, F.size(frames)) + 1).cast("int"))

@@ -288,3 +288,40 @@ def record_ids(spark, d):
     a = read_table(spark, d, "attempts").where("id is not null").select("id").distinct().select(privacy.random_record_id().alias("rid"))
     per = a.groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
     return per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_distinct"), F.sum(F.when(F.col("rid").rlike("^sr_[0-9a-f]{32}$"), F.col("n")).otherwise(0)).alias("n_well_formed"))
+
+
+_TYPES_OF_TOPIC = f"(select topic_id, list_sort(list_distinct(flatten(list(p.evidence_types)))) as topic_types from {catalog.tables_sql()['topic_point'].replace('as v(', 'as tp(')} join {catalog.tables_sql()['point'].replace('as v(', 'as p(')} on p.point_id = tp.point_id group by 1)"
+
+
+@query(
+    f"""select template_id, topic_id, array_to_string(case when len(list_intersect(evidence_types, topic_types)) > 0 then list_filter(evidence_types, lambda x: list_contains(topic_types, x)) else evidence_types end, ',') as types
+from {catalog.tables_sql()['template']} cross join {_TYPES_OF_TOPIC} t"""
+)
+def narrowed_types(spark, d):
+    """The evidence types that each template asks for under each topic; both are tables that people write."""
+    from gaugeworks.operators.entities import narrowed
+
+    t = catalog.tables(spark)
+    topics = t["topic_point"].join(t["point"], "point_id").groupBy("topic_id").agg(F.array_distinct(F.flatten(F.collect_list("evidence_types"))).alias("topic_types"))
+    grid = t["template"].crossJoin(F.broadcast(topics))
+    return grid.select("template_id", "topic_id", F.array_join(narrowed(F.col("evidence_types"), F.col("topic_types")), ",").alias("types"))
+
+
+@query(
+    f"""with {_CHUNKS}, c as (select distinct project_id, chunk_id, kind in ('callgraph', 'flow', 'import_graph', 'imports') or (kind = 'structure' and contains(text, '->')) as relational from chunks where chunk_id is not null and kind is not null and text is not null),
+r as (select *, row_number() over (partition by project_id order by length(chunk_id), chunk_id, relational) as position from c), t as (select * from r where position <= 3),
+s as (select project_id, max(position) as last, bool_or(relational) as has from t group by 1), b as (select project_id, arg_min(chunk_id, (position, chunk_id)) as chunk_id from r where relational group by 1)
+select project_id, position::int as position, chunk_id from t union all select project_id, (last + 1)::int, chunk_id from s join b using (project_id) where not has"""
+)
+def relational_bundles(spark, d):
+    """The first three chunks of each project, and one that shows relations if none of them does."""
+    from pyspark.sql import Window
+
+    from gaugeworks.operators.entities import assure_relational, relational
+
+    c = _chunks(spark, d, ["id", "kind", "text"]).where("id is not null and kind is not null and text is not null")
+    c = c.select("project_id", F.col("id").alias("chunk_id"), relational(F.col("kind"), F.col("text")).alias("relational")).distinct()
+    placed = c.withColumn("position", F.row_number().over(Window.partitionBy("project_id").orderBy(F.length("chunk_id"), "chunk_id", "relational")))
+    fallback = placed.where("relational").select("project_id", F.col("position").alias("rank"), "chunk_id")
+    out = assure_relational(placed.where("position <= 3"), fallback, "project_id")
+    return out.select("project_id", F.col("position").cast("int").alias("position"), "chunk_id")
